@@ -3,7 +3,8 @@
 Word-level Levenshtein uses no UDF: each row's distinct tokens form a small
 vocabulary, every token becomes one BMP code point (from U+4E00 upward), and the
 built-in ``levenshtein`` runs on the two encoded strings. Safe for up to 35,000
-distinct tokens per pair (below the surrogate range).
+distinct tokens per pair (below the surrogate range). Functions return Spark SQL
+expression text over column names (see ``ngrams``); ``*_col`` wrap it as Columns.
 """
 
 from __future__ import annotations
@@ -15,49 +16,41 @@ BASE_CODE_POINT = 19968          # U+4E00
 MAX_VOCAB = 0xD800 - BASE_CODE_POINT
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def _encode(tokens: str, vocab: str) -> str:
+    return (f"concat_ws('', transform({tokens}, t -> decode(unhex(lpad(hex({BASE_CODE_POINT} + "
+            f"array_position({vocab}, t)), 4, '0')), 'UTF-16BE')))")
 
 
-def _encode(tokens: Column, vocab: Column) -> Column:
-    return F.concat_ws("", F.transform(tokens, lambda t: F.decode(
-        F.unhex(F.lpad(F.hex(F.lit(BASE_CODE_POINT) + F.array_position(vocab, t)), 4, "0")), "UTF-16BE")))
+def word_edit_distance(a: str, b: str, vocab: str | None = None) -> str:
+    """C11 ``word_level_edit_distance``: insert/delete/substitute cost 1 per token.
 
+    ``vocab`` may name a staged ``array_distinct(concat(a, b))`` column."""
+    a = f"coalesce({a}, cast(array() as array<string>))"
+    b = f"coalesce({b}, cast(array() as array<string>))"
+    vocab = vocab or f"array_distinct(concat({a}, {b}))"
+    return f"levenshtein({_encode(a, vocab)}, {_encode(b, vocab)})"
 
-def word_edit_distance(a, b) -> Column:
-    """C11 ``word_level_edit_distance``: insert/delete/substitute cost 1 per token."""
-    a, b = F.coalesce(_c(a), F.array().cast("array<string>")), F.coalesce(_c(b), F.array().cast("array<string>"))
-    vocab = F.array_distinct(F.concat(a, b))
-    return F.levenshtein(_encode(a, vocab), _encode(b, vocab))
 
+def lcs_length(a: str, b: str) -> str:
+    """Longest common subsequence length of two token arrays (row-wise DP: the DP
+    row over ``b`` is carried by ``aggregate`` over ``a``)."""
+    inner = (f"aggregate(sequence(1, greatest(size({b}), 1)), array(0), (row, j) -> if(j > size({b}), row, "
+             f"concat(row, array(if(element_at({b}, j) = tok, element_at(prev, j) + 1, "
+             f"greatest(element_at(prev, j + 1), element_at(row, j)))))))")
+    return f"element_at(aggregate({a}, array_repeat(0, size({b}) + 1), (prev, tok) -> {inner}), -1)"
 
-def lcs_length(a, b) -> Column:
-    """Longest common subsequence length of two token lists (row-wise DP).
 
-    The DP row over ``b`` is carried through ``aggregate`` over ``a``; each row is
-    rebuilt with an inner ``aggregate`` over positions of ``b``.
-    """
-    a, b = _c(a), _c(b)
-    m = F.size(b)
-    zero_row = F.array_repeat(F.lit(0), m + 1)
+def rouge_l(cand: str, ref: str, beta: float = 1.2) -> str:
+    """ROUGE-L F-score of one candidate against one reference token array."""
+    lcs = f"cast({lcs_length(ref, cand)} as double)"
+    p, r = f"({lcs} / size({cand}))", f"({lcs} / size({ref}))"
+    b2 = beta * beta
+    return f"if({p} != 0 and {r} != 0, ((1 + {b2}D) * {p} * {r}) / ({r} + {b2}D * {p}), 0.0D)"
 
-    def step(prev, tok):
-        return F.aggregate(
-            F.sequence(F.lit(1), F.greatest(m, F.lit(1))),
-            F.array(F.lit(0)),
-            lambda row, j: F.when(j > m, row).otherwise(F.concat(row, F.array(
-                F.when(F.element_at(b, j) == tok, F.element_at(prev, j) + 1)
-                .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(row, j)))))))
 
-    last = F.aggregate(a, zero_row, step)
-    return F.element_at(last, -1)
+def word_edit_distance_col(a: str, b: str) -> Column:
+    return F.expr(word_edit_distance(a, b))
 
 
-def rouge_l(cand_tokens, ref_tokens, beta: float = 1.2) -> Column:
-    """ROUGE-L F-score of one candidate against one reference (LCS based)."""
-    c, r = _c(cand_tokens), _c(ref_tokens)
-    lcs = lcs_length(r, c).cast("double")
-    prec = lcs / F.size(c)
-    rec = lcs / F.size(r)
-    b2 = beta * beta
-    return F.when((prec != 0) & (rec != 0), ((1 + b2) * prec * rec) / (rec + b2 * prec)).otherwise(F.lit(0.0))
+def lcs_length_col(a: str, b: str) -> Column:
+    return F.expr(lcs_length(a, b))

@@ -1,146 +1,103 @@
 """N-gram multiset functions and per-sentence metric statistics (C9, C10, A11 BLEU).
 
-A sentence is small (a comment), so its n-gram multisets are handled per row
-with higher-order array functions: no explode, no shuffle, JVM-side. A gram is
-its tokens joined by a single space (tokens never contain one after splitting).
-Multiset counts are ``size(filter(arr, x -> x = g))`` over distinct grams, i.e.
-quadratic in sentence length, which is what a per-sentence Counter costs too.
+A sentence is small (a comment), so its n-gram multisets are handled per row:
+no explode, no shuffle, JVM-side. Functions return Spark SQL expression text over
+column names; callers stage them with ``selectExpr`` so that each n-gram bag and
+its count map (``map<gram, count>``) is computed once per row and only referenced
+afterwards. A gram is its tokens joined by one space (tokens never contain one).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def ngrams(t: str, n: int) -> str:
+    """All contiguous n-grams of token array ``t``, in order (a bag)."""
+    return (f"if(size({t}) >= {n}, transform(sequence(1, size({t}) - {n} + 1), "
+            f"i -> array_join(slice({t}, i, {n}), ' ')), cast(array() as array<string>))")
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
 
+def count_map(bag: str) -> str:
+    """``Counter(bag)`` as ``map<string, int>``."""
+    return (f"map_from_entries(transform(array_distinct({bag}), "
+            f"g -> struct(g, size(filter({bag}, x -> x = g)))))")
 
-def ngrams(tokens, n: int) -> Column:
-    """C9 ``get_ngram_counts`` as a bag: all contiguous n-grams, in order."""
-    t = _c(tokens)
-    return F.when(F.size(t) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(t) - n + 1),
-        lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
+def _get(m: str, g: str = "g") -> str:
+    return f"coalesce(try_element_at({m}, {g}), 0)"
 
-def cnt(arr: Column, g: Column) -> Column:
-    return F.size(F.filter(arr, lambda x: x == g))
 
+def clipped_matches(mh: str, mr: str) -> str:
+    """O7 ``sum((Counter(h) & Counter(r)).values())`` from two count maps."""
+    return f"aggregate(map_keys({mh}), 0L, (a, g) -> a + least({mh}[g], {_get(mr)}))"
 
-def clipped_matches(h: Column, r: Column) -> Column:
-    """O7 ``sum((Counter(h) & Counter(r)).values())``."""
-    return F.aggregate(F.array_distinct(h), F.lit(0).cast("long"),
-                       lambda a, g: a + F.least(cnt(h, g), cnt(r, g)))
 
+def gleu_matches(mh: str, mr: str, ms: str) -> str:
+    """C9 GLEU numerator: max(sum(h & r) - sum(h & (s without keys of r)), 0)."""
+    minus = f"aggregate(map_keys({mh}), 0L, (a, g) -> a + if(try_element_at({mr}, g) is null, " \
+            f"least({mh}[g], {_get(ms)}), 0))"
+    return f"greatest({clipped_matches(mh, mr)} - {minus}, 0L)"
 
-def _has(arr: Column, g: Column) -> Column:
-    return F.array_contains(arr, g)
 
-
-# --- GLEU --------------------------------------------------------------------
-def gleu_stats(src, ref, hyp, order: int = 4) -> Column:
-    """C9 ``gleu_stats`` for one (source, reference, hypothesis) triple:
-    struct(c, r, m1, d1, ..., m4, d4) with
-    m_n = max(sum(h & r) - sum(h & (s minus keys of r)), 0), d_n = max(len(h)+1-n, 0)."""
-    s, r, h = _c(src), _c(ref), _c(hyp)
-    fields = [F.size(h).cast("long").alias("c"), F.size(r).cast("long").alias("r")]
-    for n in range(1, order + 1):
-        hn, rn, sn = ngrams(h, n), ngrams(r, n), ngrams(s, n)
-        sdiff = F.filter(sn, lambda g: ~_has(rn, g))         # get_ngram_diff: drop whole keys
-        m = F.greatest(clipped_matches(hn, rn) - clipped_matches(hn, sdiff), F.lit(0).cast("long"))
-        fields += [m.alias(f"m{n}"), F.greatest(F.size(h) + 1 - n, F.lit(0)).cast("long").alias(f"d{n}")]
-    return F.struct(*fields)
-
-
-def gleu_from_sums(c, r, ms: list, ds: list) -> Column:
+def gleu_from_sums(c: str, r: str, ms: list[str], ds: list[str]) -> str:
     """A7 ``gleu``: 0 if any statistic is 0, else exp(min(0, 1-r/c) + mean log(m/d))."""
-    stats = [c, r, *ms, *ds]
-    any_zero = None
-    for s in stats:
-        z = (s == 0)
-        any_zero = z if any_zero is None else (any_zero | z)
-    logp = None
-    for m, d in zip(ms, ds):
-        t = F.log(m.cast("double") / d)
-        logp = t if logp is None else logp + t
-    val = F.exp(F.least(F.lit(0.0), 1 - r.cast("double") / c) + logp / len(ms))
-    return F.when(any_zero, F.lit(0.0)).otherwise(val)
-
-
-# --- SARI --------------------------------------------------------------------
-def _f1(p: Column, r: Column) -> Column:
-    return F.when((p > 0) | (r > 0), 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-
-
-def _ratio(num: Column, den: Column) -> Column:
-    return F.when(den > 0, num / den).otherwise(F.lit(0.0))
-
-
-def sari_ngram(s: Column, c: Column, r_all: Column, numref: Column) -> Column:
-    """C10 ``SARIngram``: struct(keep F1, delete precision, add F1) for one order.
-
-    ``s``/``c`` are source/candidate n-gram bags, ``r_all`` the bag-sum of all
-    references' n-grams (O8); source and candidate counts are multiplied by
-    ``numref`` as in the reference formulas.
-    """
-    sk, ck, rk = F.array_distinct(s), F.array_distinct(c), F.array_distinct(r_all)
-    cs = lambda g: cnt(s, g) * numref          # noqa: E731
-    cc = lambda g: cnt(c, g) * numref          # noqa: E731
-    cr = lambda g: cnt(r_all, g)               # noqa: E731
-    keep_keys = F.filter(sk, lambda g: _has(ck, g))
-    good_keys = F.filter(keep_keys, lambda g: _has(rk, g))
-    all_keys = F.filter(sk, lambda g: _has(rk, g))
-    kt1 = F.aggregate(good_keys, F.lit(0.0), lambda a, g: a + F.least(cs(g), cc(g), cr(g)) / F.least(cs(g), cc(g)))
-    kt2 = F.aggregate(good_keys, F.lit(0.0), lambda a, g: a + F.least(cs(g), cc(g), cr(g)) / F.least(cs(g), cr(g)))
-    keep = _f1(_ratio(kt1, F.size(keep_keys)), _ratio(kt2, F.size(all_keys)))
-    del_keys = F.filter(sk, lambda g: cs(g) > cc(g))
-    dgood = F.filter(del_keys, lambda g: cs(g) - cc(g) > cr(g))
-    dt1 = F.aggregate(dgood, F.lit(0.0), lambda a, g: a + (cs(g) - cc(g) - cr(g)) / (cs(g) - cc(g)))
-    delete_p = _ratio(dt1, F.size(del_keys))
-    add_keys = F.filter(ck, lambda g: ~_has(sk, g))
-    add_good = F.size(F.filter(add_keys, lambda g: _has(rk, g)))
-    add_all = F.size(F.filter(rk, lambda g: ~_has(sk, g)))
-    add = _f1(_ratio(add_good.cast("double"), F.size(add_keys)), _ratio(add_good.cast("double"), add_all))
-    return F.struct(keep.alias("keep"), delete_p.alias("del"), add.alias("add"))
-
-
-def sari_sentence(src_text, cand_text, ref_texts) -> Column:
-    """C10 ``SARIsent``: texts are lower-cased and split on single spaces; the score
-    is the mean of keep, delete and add, each averaged over n = 1..4."""
-    s1 = F.split(F.lower(_c(src_text)), " ")
-    c1 = F.split(F.lower(_c(cand_text)), " ")
-    refs = F.transform(_c(ref_texts), lambda t: F.split(F.lower(t), " "))
-    numref = F.size(refs)
-    parts = []
-    for n in range(1, 5):
-        r_all = F.flatten(F.transform(refs, lambda rr: ngrams(rr, n)))
-        parts.append(sari_ngram(ngrams(s1, n), ngrams(c1, n), r_all, numref))
-    keep = sum((p["keep"] for p in parts[1:]), parts[0]["keep"]) / 4
-    dele = sum((p["del"] for p in parts[1:]), parts[0]["del"]) / 4
-    add = sum((p["add"] for p in parts[1:]), parts[0]["add"]) / 4
-    return (keep + dele + add) / 3
-
-
-# --- BLEU (corpus, closest reference length; public BLEU definition) ----------
-def bleu_stats(hyp_tokens, ref_tokens, order: int = 4) -> Column:
-    """Per-sentence BLEU statistics: struct(testlen, reflen, guess1..4, correct1..4)."""
-    h, r = _c(hyp_tokens), _c(ref_tokens)
-    fields = [F.size(h).cast("long").alias("testlen"), F.size(r).cast("long").alias("reflen")]
-    for n in range(1, order + 1):
-        fields.append(F.greatest(F.size(h) - n + 1, F.lit(0)).cast("long").alias(f"guess{n}"))
-        fields.append(clipped_matches(ngrams(h, n), ngrams(r, n)).alias(f"correct{n}"))
-    return F.struct(*fields)
-
-
-def bleu_from_sums(testlen, reflen, guesses: list, corrects: list) -> Column:
-    """Corpus BLEU-N from summed statistics (smoothing constants 1e-15 / 1e-9)."""
-    tiny, small = 1e-15, 1e-9
-    prod = None
-    for g, c in zip(guesses, corrects):
-        p = (c + F.lit(tiny)) / (g + F.lit(small))
-        prod = p if prod is None else prod * p
-    bleu = F.pow(prod, 1.0 / len(guesses))
-    ratio = (testlen + F.lit(tiny)) / (reflen + F.lit(small))
-    return F.when(ratio < 1, bleu * F.exp(1 - 1 / ratio)).otherwise(bleu)
+    zero = " or ".join(f"{x} = 0" for x in [c, r, *ms, *ds])
+    logs = " + ".join(f"ln(cast({m} as double) / {d_})" for m, d_ in zip(ms, ds))
+    return f"if({zero}, 0.0D, exp(least(0.0D, 1 - cast({r} as double) / {c}) + ({logs}) / {len(ms)}))"
+
+
+def _f1(p: str, r: str) -> str:
+    return f"if(({p}) > 0 or ({r}) > 0, 2 * ({p}) * ({r}) / (({p}) + ({r})), 0.0D)"
+
+
+def _ratio(num: str, den: str) -> str:
+    return f"if(({den}) > 0, ({num}) / ({den}), 0.0D)"
+
+
+def sari_ngram(ms: str, mc: str, mr: str, nr: str) -> tuple[str, str, str]:
+    """C10 ``SARIngram`` from count maps of source, candidate and all references
+    (bag-sum, O8); source/candidate counts are multiplied by ``nr`` (number of
+    references). Returns (keep F1, delete precision, add F1) expression texts."""
+    S = lambda g="g": f"({ms}[{g}] * {nr})"                          # noqa: E731
+    C = lambda g="g": f"({_get(mc, g)} * {nr})"                      # noqa: E731
+    R = lambda g="g": _get(mr, g)                                    # noqa: E731
+    has = lambda m: f"try_element_at({m}, g) is not null"            # noqa: E731
+    sk = f"map_keys({ms})"
+    keep_n = f"size(filter({sk}, g -> {has(mc)}))"
+    good = f"filter({sk}, g -> {has(mc)} and {has(mr)})"
+    all_n = f"size(filter({sk}, g -> {has(mr)}))"
+    kt1 = f"aggregate({good}, 0.0D, (a, g) -> a + least({S()}, {C()}, {R()}) / least({S()}, {C()}))"
+    kt2 = f"aggregate({good}, 0.0D, (a, g) -> a + least({S()}, {C()}, {R()}) / least({S()}, {R()}))"
+    keep = _f1(_ratio(kt1, keep_n), _ratio(kt2, all_n))
+    del_keys = f"filter({sk}, g -> {S()} > {C()})"
+    dt1 = (f"aggregate(filter({del_keys}, g -> {S()} - {C()} > {R()}), 0.0D, "
+           f"(a, g) -> a + ({S()} - {C()} - {R()}) / ({S()} - {C()}))")
+    delete_p = _ratio(dt1, f"size({del_keys})")
+    add_keys = f"filter(map_keys({mc}), g -> try_element_at({ms}, g) is null)"
+    add_good = f"cast(size(filter({add_keys}, g -> {has(mr)})) as double)"
+    add_all = f"size(filter(map_keys({mr}), g -> try_element_at({ms}, g) is null))"
+    add = _f1(_ratio(add_good, f"size({add_keys})"), _ratio(add_good, add_all))
+    return keep, delete_p, add
+
+
+def bleu_from_sums(testlen: str, reflen: str, guesses: list[str], corrects: list[str]) -> str:
+    """Corpus BLEU-N from summed statistics (smoothing constants 1e-15 / 1e-9,
+    brevity penalty from the closest = only reference length)."""
+    prod = " * ".join(f"(({c} + 1e-15D) / ({g} + 1e-9D))" for g, c in zip(guesses, corrects))
+    ratio = f"(({testlen} + 1e-15D) / ({reflen} + 1e-9D))"
+    return f"pow({prod}, {1.0 / len(guesses)}D) * if({ratio} < 1, exp(1 - 1 / {ratio}), 1.0D)"
+
+
+def sari_sentences(df, src_text: str, cand_text: str, ref_texts: str, out: str = "sari"):
+    """C10 ``SARIsent`` over a DataFrame: texts lower-cased and split on single
+    spaces; score = mean of keep, delete and add, each averaged over n = 1..4.
+    ``ref_texts`` is an array of reference strings."""
+    d = df.selectExpr("*", f"split(lower({src_text}), ' ') as __s", f"split(lower({cand_text}), ' ') as __c",
+                      f"transform({ref_texts}, t -> split(lower(t), ' ')) as __rs")
+    d = d.selectExpr("*", *[f"{ngrams('__s', n)} as __bs{n}" for n in range(1, 5)],
+                     *[f"{ngrams('__c', n)} as __bc{n}" for n in range(1, 5)],
+                     *[f"flatten(transform(__rs, rr -> {ngrams('rr', n)})) as __br{n}" for n in range(1, 5)])
+    d = d.selectExpr("*", *[f"{count_map(f'__b{x}{n}')} as __m{x}{n}" for x in "scr" for n in range(1, 5)])
+    parts = [sari_ngram(f"__ms{n}", f"__mc{n}", f"__mr{n}", "size(__rs)") for n in range(1, 5)]
+    expr = "((" + ") / 4 + (".join(" + ".join(p[i] for p in parts) for i in range(3)) + ") / 4) / 3"
+    drop = ["__s", "__c", "__rs"] + [f"__{p}{x}{n}" for p in "bm" for x in "scr" for n in range(1, 5)]
+    return d.selectExpr("*", f"{expr} as {out}").drop(*drop)
