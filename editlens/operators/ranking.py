@@ -130,24 +130,24 @@ def selection_bounds(long_df: DataFrame, part_col: str, score: str,
     t = score_table(long_df.select(part_col, score), score, [part_col], n_buckets)
     spec_df = spark.createDataFrame(
         [(part, tag, float(p), bool(top)) for part, tag, p, top in specs],
-        f"__part {long_df.schema[part_col].dataType.simpleString()}, tag string, p double, top boolean")
+        f"__sp {long_df.schema[part_col].dataType.simpleString()}, tag string, p double, top boolean")
     m = F.ceil(F.col("n") * F.col("p"))
     before = F.when(F.col("top"), F.col("gt")).otherwise(F.col("n") - F.col("gt") - F.col("cnt"))
-    b = (t.join(F.broadcast(spec_df), F.col(part_col) == F.col("__part"))   # <= len(specs) rows
+    b = (t.join(F.broadcast(spec_df), F.col(part_col) == F.col("__sp"))   # <= len(specs) rows
          .where((before < m) & (before + F.col("cnt") >= m))
-         .select("tag", F.col(part_col).alias("__part"), F.col(score).alias("b_score"),
+         .select("tag", F.col(part_col).alias("__sp"), F.col(score).alias("b_score"),
                  (m - before).cast("long").alias("need"), "cnt"))
     bounds = {r["tag"]: {"b_score": r["b_score"], "need": r["need"], "cnt": r["cnt"],
-                         "part": r["__part"], "kt": None}
+                         "part": r["__sp"], "kt": None}
               for r in b.collect()}                      # <= len(specs) rows
     partial = [(v["part"], tag, v["b_score"], v["need"] - 1) for tag, v in bounds.items()
                if v["need"] < v["cnt"]]
     if partial:
         tie_df = spark.createDataFrame(
-            partial, f"__part {long_df.schema[part_col].dataType.simpleString()}, tag string, "
+            partial, f"__sp {long_df.schema[part_col].dataType.simpleString()}, tag string, "
                      f"__b double, __at long")
         ties = (long_df.join(F.broadcast(tie_df),
-                             (F.col(part_col) == F.col("__part")) & (F.col(score) == F.col("__b")))
+                             (F.col(part_col) == F.col("__sp")) & (F.col(score) == F.col("__b")))
                 .select("tag", *key, "__at"))
         pos = prefix_before(ties, [(k, True) for k in key], None, ["tag"], n_buckets, out="__pos")
         for r in pos.where(F.col("__pos") == F.col("__at")).select("tag", *key).collect():

@@ -6,10 +6,10 @@ smaller value. Mann-Whitney U, Cliff's delta and one-vs-rest AUC are sums over
 that table, so no O(n*m) pair is formed and no group is pulled into one task.
 """
 
-from __future__ import annotations
-
 import math
 
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +58,6 @@ def mann_whitney_cliffs(table: DataFrame, part_cols: list[str]) -> DataFrame:
 def two_sided_p(z_df: DataFrame, z: str = "z", out: str = "p_value") -> DataFrame:
     """p = 2 * sf(z) = erfc(z / sqrt 2), clipped to [0, 1]; an Arrow pandas UDF on
     the per-feature result (one row per feature: a bounded, tiny input)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def _p(zs: pd.Series) -> pd.Series:
         return zs.map(lambda v: None if v is None or (isinstance(v, float) and math.isnan(v))
@@ -105,7 +103,7 @@ def box_summary(long_df: DataFrame, part_cols: list[str], value: str,
                 n_buckets: int | None = None) -> DataFrame:
     """Quartiles and whiskers (most extreme values within 1.5 IQR) per group."""
     q = exact_quantiles(long_df, part_cols, value, [0.25, 0.5, 0.75], n_buckets) \
-        .withColumnsRenamed({"q0": "q1", "q1": "median", "q2": "q3"})
+        .select(*part_cols, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     j = long_df.join(F.broadcast(q), part_cols)             # one row per group: bounded

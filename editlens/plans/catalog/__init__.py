@@ -1,3 +1,3 @@
 """Registered jobs, one module per area of the operator inventory."""
 
-from . import evaluation, labeling, relational  # noqa: F401
+from . import evaluation, labeling, relational, statistics  # noqa: F401
