@@ -171,3 +171,50 @@ def c8_gleu_normalize(spark, sf_dir):
                                    _B0))
 def c6_detokenize(spark, sf_dir):
     return _rows(spark, sf_dir).select("sample_id", "index", T.detokenize("pred_l").alias("text"))
+
+
+# ---- corpus aggregates (A3, A4, A7, A9, A18) ------------------------------------------
+@register("a3_accuracy_by_level", with_fx("fx_samples", """select cast(coalesce(level, -1) as int) as level,
+  count(*) as n, cast(sum(acc) as bigint) as correct, avg(acc) as accuracy
+  from rows group by grouping sets ((level), ())""", _CTES))
+def a3_accuracy_by_level(spark, sf_dir):
+    return eval_report(_rows(spark, sf_dir)).select("level", "n", "correct", "accuracy")
+
+
+@register("a4_edit_distance_summary", with_fx("fx_samples", """select cast(coalesce(level, -1) as int) as level,
+  avg(ed_hyp) as aed, avg(ed_src) as src_distance, avg(ed_hyp) / avg(ed_src) as red,
+  count(*) filter (where ed_hyp < ed_src) / count(*) as ess_ratio,
+  count(*) filter (where ed_hyp > ed_src) / count(*) as increased_ratio
+  from rows group by grouping sets ((level), ())""", _CTES))
+def a4_edit_distance_summary(spark, sf_dir):
+    return eval_report(_rows(spark, sf_dir)).select("level", "aed", "src_distance", "red", "ess_ratio",
+                                                    "increased_ratio")
+
+
+@register("a7_gleu_corpus", with_fx("fx_samples", f"select level, {_GLEU} as gleu from ({_SUMS}) s", _CTES))
+def a7_gleu_corpus(spark, sf_dir):
+    return eval_report(_rows(spark, sf_dir)).select("level", "gleu")
+
+
+@register("a9_score_stats", with_fx("fx_samples", """select avg(sari) as mean, stddev_pop(sari) as std,
+  avg(sari) - 1.959963984540054 * stddev_pop(sari) as ci_lo, avg(sari) + 1.959963984540054 * stddev_pop(sari) as ci_hi
+  from rows""", _CTES))
+def a9_score_stats(spark, sf_dir):
+    from ...operators.stats import mean_std_ci
+    return mean_std_ci(_rows(spark, sf_dir), "sari")
+
+
+_A18 = """select role as method, cast(level as int) as level, cast(sample_id % 5 * 2 + 1 as int) as sample_k,
+  avg(acc) as accuracy from rows join (select sample_id, "index", role from fx_samples) using (sample_id, "index")
+  where role = (select min(role) from fx_samples) group by all"""
+
+
+@register("a18_accuracy_by_k", with_fx("fx_samples", _A18, _CTES))
+def a18_accuracy_by_k(spark, sf_dir):
+    s = samples(Tables(spark, sf_dir).conversations)
+    r = _rows(spark, sf_dir).join(s.select("sample_id", "index", "role"), ["sample_id", "index"])
+    first = s.agg(F.min("role").alias("method"))                 # one row: the first method (O2)
+    r = r.join(F.broadcast(first), F.col("role") == F.col("method"))
+    return (r.groupBy("method", F.col("level").cast("int").alias("level"),
+                      (F.col("sample_id") % 5 * 2 + 1).cast("int").alias("sample_k"))
+            .agg(F.avg("acc").alias("accuracy")))
