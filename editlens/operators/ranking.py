@@ -54,30 +54,34 @@ def with_range_bucket(df: DataFrame, col: str, n_buckets: int | None = None,
     return bz.transform(d).withColumn(out, F.col(out + "_d").cast("int")).drop(tmp, out + "_d")
 
 
-def prefix_before(df: DataFrame, order: list[tuple[str, bool]], weight: str | None = None,
+def prefix_before(df: DataFrame, order: list[tuple[str, bool]], weight=None,
                   part_cols: list[str] | tuple = (), n_buckets: int | None = None,
-                  out: str = "before") -> DataFrame:
+                  out="before") -> DataFrame:
     """Weighted count of rows strictly before each row in ``order`` within ``part_cols``.
 
     ``df`` must be unique on ``part_cols + order`` columns. ``order`` is a list of
-    ``(column, ascending)``; buckets are cut on the first order column.
+    ``(column, ascending)``; buckets are cut on the first order column. ``weight`` /
+    ``out`` may be lists to compute several prefix sums in the same pass.
     """
+    weights = weight if isinstance(weight, (list, tuple)) else [weight]
+    outs = out if isinstance(out, (list, tuple)) else [out]
     first, asc = order[0]
     d = with_range_bucket(df, first, n_buckets, descending=not asc)
-    wcol = F.col(weight) if weight else F.lit(1)
     keys = [F.col(c).asc() if a else F.col(c).desc() for c, a in order]
     w_in = (Window.partitionBy(*part_cols, "__bkt").orderBy(*keys)
             .rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("__w", wcol.cast("long"))
-    d = d.withColumn("__in", F.coalesce(F.sum("__w").over(w_in), F.lit(0)))
-    tot = d.groupBy(*part_cols, "__bkt").agg(F.sum("__w").alias("__tot"))
     w_off = Window.partitionBy(*part_cols).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*part_cols, "__bkt",
-                     F.coalesce(F.sum("__tot").over(w_off), F.lit(0)).alias("__off"))
+    for i, wgt in enumerate(weights):
+        d = d.withColumn(f"__w{i}", (F.col(wgt) if wgt else F.lit(1)).cast("long"))
+        d = d.withColumn(f"__in{i}", F.coalesce(F.sum(f"__w{i}").over(w_in), F.lit(0)))
+    tot = d.groupBy(*part_cols, "__bkt").agg(*[F.sum(f"__w{i}").alias(f"__t{i}") for i in range(len(weights))])
+    off = tot.select(*part_cols, "__bkt", *[F.coalesce(F.sum(f"__t{i}").over(w_off), F.lit(0)).alias(f"__o{i}")
+                                            for i in range(len(weights))])
     # off holds at most n_buckets rows per partition value: bounded broadcast
-    return (d.join(F.broadcast(off), [*part_cols, "__bkt"])
-            .withColumn(out, (F.col("__off") + F.col("__in")).cast("long"))
-            .drop("__bkt", "__w", "__in", "__off"))
+    d = d.join(F.broadcast(off), [*part_cols, "__bkt"])
+    for i, o in enumerate(outs):
+        d = d.withColumn(o, (F.col(f"__o{i}") + F.col(f"__in{i}")).cast("long"))
+    return d.drop("__bkt", *[f"__{p}{i}" for p in ("w", "in", "o") for i in range(len(weights))])
 
 
 def score_table(df: DataFrame, score: str, part_cols: list[str] | tuple = (),

@@ -24,9 +24,7 @@ def value_table(long_df: DataFrame, part_cols: list[str], value: str, group: str
          .groupBy(*part_cols, value)
          .agg(F.count_if(F.col(group) == g0).alias("n0"), F.count_if(F.col(group) == g1).alias("n1")))
     t = t.withColumn("cnt", F.col("n0") + F.col("n1"))
-    t = prefix_before(t, [(value, True)], "cnt", part_cols, n_buckets, out="lt")
-    t = prefix_before(t, [(value, True)], "n0", part_cols, n_buckets, out="lt0")
-    return prefix_before(t, [(value, True)], "n1", part_cols, n_buckets, out="lt1")
+    return prefix_before(t, [(value, True)], ["cnt", "n0", "n1"], part_cols, n_buckets, out=["lt", "lt0", "lt1"])
 
 
 def mann_whitney_cliffs(table: DataFrame, part_cols: list[str]) -> DataFrame:

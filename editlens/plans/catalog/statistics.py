@@ -14,7 +14,7 @@ from ...operators.scaling import (ALL_COLUMNS, CONTENT_COLUMNS, GROUPS, minmax_s
                                   standard_scaled, standard_stats)
 from ...oracle import with_fx
 from ...registry import register
-from ..labeling import complexity_labels
+from ..labeling import labels_table
 from .labeling import _e1_sql
 from .relational import _CT_PER_KEY, _change_types_per_key
 
@@ -26,7 +26,7 @@ def _feat(spark, sf_dir):
 
 
 def _e1(spark, sf_dir):
-    return complexity_labels(_feat(spark, sf_dir))
+    return labels_table(spark, sf_dir)
 
 
 _E1_CTE = f"e1 as ({_e1_sql()})"
@@ -303,7 +303,7 @@ pe as (select r1, r2, sum(c1 * c2) as pe_num from m1 join m2 using (r1, r2, v) g
 
 def _validation_set(spark, sf_dir):
     f = _feat(spark, sf_dir)
-    e1 = complexity_labels(f)
+    e1 = labels_table(spark, sf_dir)
     samp = R.stratified_sample(e1.select(*KEY, "label"), "label", 384)
     parts = [samp.where(F.col("label") == c) for c in (0, 1, 2)]
     val = J.priority_label(e1.select(*KEY), parts)                       # J5
