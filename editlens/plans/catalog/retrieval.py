@@ -70,10 +70,10 @@ _E2 = with_fx(("fx_vectors", "fx_changes", "fx_edit_seq"), f"""select qid, cast(
   sample_id, "index", score, diff_sim, type_sim, fused_score from (
   select *, row_number() over (partition by qid order by fused_score desc, spos) as pos from (
     select top.*, {_dice_sql('a')} + {_dice_sql('r')} as diff_sim,
-      case when len(list_distinct(list_concat(qt.types, ct.types))) > 0
-           then len(list_intersect(qt.types, ct.types)) / len(list_distinct(list_concat(qt.types, ct.types))) else 0 end as type_sim,
-      {_dice_sql('a')} + {_dice_sql('r')} + case when len(list_distinct(list_concat(qt.types, ct.types))) > 0
-           then len(list_intersect(qt.types, ct.types)) / len(list_distinct(list_concat(qt.types, ct.types))) else 0 end as fused_score
+      case when len(list_distinct(list_concat(coalesce(qt.types, []::varchar[]), coalesce(ct.types, []::varchar[])))) > 0
+           then len(list_intersect(coalesce(qt.types, []::varchar[]), coalesce(ct.types, []::varchar[]))) / len(list_distinct(list_concat(coalesce(qt.types, []::varchar[]), coalesce(ct.types, []::varchar[])))) else 0 end as type_sim,
+      {_dice_sql('a')} + {_dice_sql('r')} + case when len(list_distinct(list_concat(coalesce(qt.types, []::varchar[]), coalesce(ct.types, []::varchar[])))) > 0
+           then len(list_intersect(coalesce(qt.types, []::varchar[]), coalesce(ct.types, []::varchar[]))) / len(list_distinct(list_concat(coalesce(qt.types, []::varchar[]), coalesce(ct.types, []::varchar[])))) else 0 end as fused_score
     from (select s.*, q.q_sid, q.q_idx, row_number() over (partition by s.qid order by s.score desc, s.cand_id) as spos
           from surv s join q using (qid) qualify spos <= s.K) top
     left join (select usr, types from ut) qt on qt.usr = top.qid % 150
