@@ -101,3 +101,43 @@ def sari_sentences(df, src_text: str, cand_text: str, ref_texts: str, out: str =
     expr = "((" + ") / 4 + (".join(" + ".join(p[i] for p in parts) for i in range(3)) + ") / 4) / 3"
     drop = ["__s", "__c", "__rs"] + [f"__{p}{x}{n}" for p in "bm" for x in "scr" for n in range(1, 5)]
     return d.selectExpr("*", f"{expr} as {out}").drop(*drop)
+
+
+# --- count tables: one array of per-gram count structs, built once per row ---------
+def gram_counts(bags: list[str]) -> str:
+    """``array<struct<g, c0, c1, ...>>`` over the distinct grams of all ``bags``:
+    ``c{i}`` = occurrences of ``g`` in ``bags[i]``. Later sums iterate this array
+    once instead of probing maps inside nested lambdas."""
+    fields = ", ".join(f"'c{i}', size(filter({b}, x -> x = g))" for i, b in enumerate(bags))
+    return f"transform(array_distinct(concat({', '.join(bags)})), g -> named_struct('g', g, {fields}))"
+
+
+def sari_from_counts(t: str, nr: str) -> tuple[str, str, str]:
+    """C10 ``SARIngram`` from a ``gram_counts([src, cand, refs])`` table."""
+    S, Cc, R = f"(x.c0 * {nr})", f"(x.c1 * {nr})", "x.c2"
+    keep_n = f"size(filter({t}, x -> x.c0 > 0 and x.c1 > 0))"
+    good = f"filter({t}, x -> x.c0 > 0 and x.c1 > 0 and x.c2 > 0)"
+    all_n = f"size(filter({t}, x -> x.c0 > 0 and x.c2 > 0))"
+    kt1 = f"aggregate({good}, 0.0D, (a, x) -> a + least({S}, {Cc}, {R}) / least({S}, {Cc}))"
+    kt2 = f"aggregate({good}, 0.0D, (a, x) -> a + least({S}, {Cc}, {R}) / least({S}, {R}))"
+    keep = _f1(_ratio(kt1, keep_n), _ratio(kt2, all_n))
+    del_n = f"size(filter({t}, x -> {S} > {Cc}))"
+    dt1 = (f"aggregate(filter({t}, x -> {S} > {Cc} and {S} - {Cc} > {R}), 0.0D, "
+           f"(a, x) -> a + ({S} - {Cc} - {R}) / ({S} - {Cc}))")
+    delete_p = _ratio(dt1, del_n)
+    add_n = f"size(filter({t}, x -> x.c1 > 0 and x.c0 = 0))"
+    add_good = f"cast(size(filter({t}, x -> x.c1 > 0 and x.c0 = 0 and x.c2 > 0)) as double)"
+    add_all = f"size(filter({t}, x -> x.c2 > 0 and x.c0 = 0))"
+    add = _f1(_ratio(add_good, add_n), _ratio(add_good, add_all))
+    return keep, delete_p, add
+
+
+def gleu_from_counts(t: str) -> str:
+    """C9 GLEU numerator from ``gram_counts([hyp, ref, src])``."""
+    return (f"greatest(aggregate({t}, 0L, (a, x) -> a + least(x.c0, x.c1)) - "
+            f"aggregate({t}, 0L, (a, x) -> a + if(x.c1 = 0, least(x.c0, x.c2), 0)), 0L)")
+
+
+def clipped_from_counts(t: str) -> str:
+    """O7 clipped matches from ``gram_counts([hyp, ref])``."""
+    return f"aggregate({t}, 0L, (a, x) -> a + least(x.c0, x.c1))"

@@ -49,19 +49,21 @@ def eval_rows(df: DataFrame, ref_tokens: str, src_tokens: str, pred_text: str, r
         f"split({detok('pred_l')}, ' ') as rc", f"split({detok('ref_l')}, ' ') as rr")
     bags = {"s": "s_w", "c": "c_w", "r": "r_w", "gs": "gs", "gr": "gr", "gh": "gh", "bh": "bh", "br": "br"}
     d = d.selectExpr("*", *[f"{N.ngrams(col, n)} as bag_{b}{n}" for b, col in bags.items() for n in range(1, 5)])
+    tables = {"sari": ("s", "c", "r"), "gleu": ("gh", "gr", "gs"), "bleu": ("bh", "br")}
     d = d.selectExpr(*k, "level", "acc", "pred_l", "ref_l", "src_l", "gh", "gr", "bh", "br", "rc", "rr",
                      "array_distinct(concat(pred_l, ref_l)) as v1", "array_distinct(concat(src_l, ref_l)) as v2",
-                     *[f"{N.count_map(f'bag_{b}{n}')} as m_{b}{n}" for b in bags for n in range(1, 5)])
-    sari_parts = [N.sari_ngram(f"m_s{n}", f"m_c{n}", f"m_r{n}", "1") for n in range(1, 5)]
+                     *[f"{N.gram_counts([f'bag_{b}{n}' for b in sides])} as t_{name}{n}"
+                       for name, sides in tables.items() for n in range(1, 5)])
+    sari_parts = [N.sari_from_counts(f"t_sari{n}", "1") for n in range(1, 5)]
     keep = " + ".join(p[0] for p in sari_parts)
     dele = " + ".join(p[1] for p in sari_parts)
     add = " + ".join(p[2] for p in sari_parts)
     gleu_fields = (["cast(size(gh) as bigint) as c", "cast(size(gr) as bigint) as r"]
-                   + [f"{N.gleu_matches(f'm_gh{n}', f'm_gr{n}', f'm_gs{n}')} as m{n}" for n in range(1, 5)]
+                   + [f"{N.gleu_from_counts(f't_gleu{n}')} as m{n}" for n in range(1, 5)]
                    + [f"cast(greatest(size(gh) + 1 - {n}, 0) as bigint) as d{n}" for n in range(1, 5)])
     bleu_fields = (["cast(size(bh) as bigint) as testlen", "cast(size(br) as bigint) as reflen"]
                    + [f"cast(greatest(size(bh) - {n} + 1, 0) as bigint) as guess{n}" for n in range(1, 5)]
-                   + [f"{N.clipped_matches(f'm_bh{n}', f'm_br{n}')} as correct{n}" for n in range(1, 5)])
+                   + [f"{N.clipped_from_counts(f't_bleu{n}')} as correct{n}" for n in range(1, 5)])
     return d.selectExpr(
         *k, "level", "acc", "pred_l", "ref_l", "src_l",
         f"{D.word_edit_distance('pred_l', 'ref_l', 'v1')} as ed_hyp",
