@@ -18,8 +18,6 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
 from ..operators.ranking import KEY, selection_bounds, selection_flag, three_way_label
 from ..operators.scaling import ALL_COLUMNS, GROUPS, minmax_scaled
 
@@ -42,19 +40,19 @@ def dimension_scores(features: DataFrame, digits: int = 9) -> DataFrame:
 def complexity_labels(features: DataFrame, percent: float = 0.5, dims_percent: float = 0.2,
                       n_buckets: int | None = None) -> DataFrame:
     """E1 ``intersection_data``: features + label + per-dimension label and score."""
-    d = dimension_scores(features)
-    # narrow (key, dim, score) frame: the three dimensions share one pass of the
-    # distributed selection; persisted because the selection scans it twice
+    # the scored feature table is checkpointed (shared folder): the selection scans
+    # it several times and the output reads it again; a cut lineage keeps every scan
+    # a plain file read instead of re-aggregating the source
+    d = dimension_scores(features).checkpoint()
+    # narrow (key, dim, score) frame: the three dimensions share one selection pass
     base = d.select(*KEY, *[f"{dim}_score" for dim in DIMS])
     long_df = base.unpivot(KEY, [f"{dim}_score" for dim in DIMS], "dim", "score")
-    long_df = long_df.persist(StorageLevel.MEMORY_AND_DISK)
     specs = []
     for dim in DIMS:
         part = f"{dim}_score"
         specs += [(part, f"{dim}_top", percent, True), (part, f"{dim}_bot", percent, False),
                   (part, f"{dim}_dtop", dims_percent, True), (part, f"{dim}_dbot", dims_percent, False)]
     b = selection_bounds(long_df, "dim", "score", specs, KEY, n_buckets)
-    long_df.unpersist()
     flag = {tag: selection_flag(part, b.get(tag), top, KEY) for part, tag, _, top in specs}
     top_all = flag["size_top"] & flag["structure_top"] & flag["content_top"]
     bot_all = flag["size_bot"] & flag["structure_bot"] & flag["content_bot"]
