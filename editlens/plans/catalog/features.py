@@ -85,7 +85,11 @@ _E6 = with_fx("fx_edit_seq", f"""select raw.sample_id, raw."index", coalesce(NMT
 
 def extract_features(seq):
     """E6 ``get_features_labels`` (its commented wiring implemented): size and
-    structure features of every edit pair."""
+    structure features of every edit pair.
+
+    The long edit sequence feeds about ten aggregates and joins; it is checkpointed
+    once (shared folder) so each of them scans a file instead of re-deriving it."""
+    seq = seq.checkpoint()
     desc = _desc(seq)
     merged, dmerged = X.merge_connectors(seq), X.merge_connectors(desc)
     raw = X.count_features(seq, "raw").join(X.modified_chunks(seq), KEY)
