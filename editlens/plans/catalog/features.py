@@ -9,6 +9,7 @@ from ...functions import tokens as T
 from ...operators import editseq as X
 from ...oracle import with_fx
 from ...registry import register
+from ...session import spread
 
 K = 'sample_id, "index"'
 PUNCT_SQL = X.PUNCTUATION.replace("'", "''")
@@ -89,7 +90,7 @@ def extract_features(seq):
 
     The long edit sequence feeds about ten aggregates and joins; it is checkpointed
     once (shared folder) so each of them scans a file instead of re-deriving it."""
-    seq = seq.checkpoint()
+    seq = spread(seq, *KEY).checkpoint()
     desc = _desc(seq)
     merged, dmerged = X.merge_connectors(seq), X.merge_connectors(desc)
     raw = X.count_features(seq, "raw").join(X.modified_chunks(seq), KEY)

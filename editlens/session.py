@@ -59,3 +59,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df, *keys):
+    """Hash-repartition to the default parallelism only when ``df`` has fewer
+    partitions than that (a small input file read as one split). Large inputs
+    already have enough splits and are left alone, so no shuffle is added there.
+    Used before CPU-heavy per-row expressions."""
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
