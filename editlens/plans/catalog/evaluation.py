@@ -218,3 +218,14 @@ def a18_accuracy_by_k(spark, sf_dir):
     return (r.groupBy("method", F.col("level").cast("int").alias("level"),
                       (F.col("sample_id") % 5 * 2 + 1).cast("int").alias("sample_k"))
             .agg(F.avg("acc").alias("accuracy")))
+
+
+@register("c10_sari_sentence", with_fx("fx_samples", "select sample_id, \"index\", sari from rows", _CTES))
+def c10_sari_sentence(spark, sf_dir):
+    """C10 per sentence (multi-reference form; one reference here)."""
+    from ...functions.ngrams import sari_sentences
+    r = _rows(spark, sf_dir)
+    det = lambda c: f"regexp_replace(array_join({c}, ' '), ' <con> ', '')"        # noqa: E731
+    r = r.selectExpr("sample_id", "`index`", f"{det('src_l')} as s", f"{det('pred_l')} as c",
+                     f"array({det('ref_l')}) as refs")
+    return sari_sentences(r, "s", "c", "refs").select("sample_id", "index", "sari")

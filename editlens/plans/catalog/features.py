@@ -189,3 +189,10 @@ def e6_features_with_nml(spark, sf_dir):
     seq = _seq(spark, sf_dir)
     nml = X.method_texts(seq).select(*KEY, X.line_diff("src_method", "dst_method")["nml"].alias("NML"))
     return extract_features(seq).join(nml, KEY)
+
+
+@register("w10_line_chunks")
+def w10_line_chunks(spark, sf_dir):
+    """Changed-line chunks of the ndiff output (``?`` hints ignored): rows-only."""
+    t = X.method_texts(_seq(spark, sf_dir))
+    return t.select(*KEY, X.line_diff("src_method", "dst_method")["chunks"].alias("chunks"))

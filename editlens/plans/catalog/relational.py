@@ -321,3 +321,9 @@ def a8_ngram_doc_freq(spark, sf_dir):
     # each sentence has one reference here, so normalisation divides by 1
     return long.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("freq")) \
         .withColumn("normalized", F.col("freq") / F.lit(1.0))
+
+
+@register("c16_change_types", with_fx("fx_changes", "select sample_id, \"index\", ChangeType from ct", _CT_PER_KEY))
+def c16_change_types(spark, sf_dir):
+    """C16 per key: distinct ``type:prefix`` of the non-NONE change triples."""
+    return _change_types_per_key(_changes(spark, sf_dir))

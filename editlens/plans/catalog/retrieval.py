@@ -215,3 +215,77 @@ def c15_change_type_jaccard(spark, sf_dir):
     ut = _user_types(Tables(spark, sf_dir))
     nxt = ut.select((F.col("usr") - 1).alias("usr"), F.col("types").alias("t2"))
     return ut.join(nxt, "usr").select("usr", RT.jaccard("types", "t2").alias("jaccard"))
+
+
+# ---- single operators of the retrieval stage ------------------------------------------
+@register("w5_topk_per_query", with_fx("fx_vectors", """select qid, cand_id, s_old as score, cast(r_old as int) as rank
+  from rk where r_old <= 10""", _BASE))
+def w5_topk_per_query(spark, sf_dir):
+    """W5 / O1 per query: the 10 best candidates by the old-code vector."""
+    _, _, corpus, queries, _ = _inputs(spark, sf_dir)
+    hits = RT.block_topk(corpus, queries, 10, "level")
+    return hits.where(F.col("side") == "old").select("qid", "cand_id", "score", F.col("rank").cast("int"))
+
+
+_FULL_ROUND = """w6f as (select * from (select *, row_number() over (partition by qid, sample_id order by score desc, cand_id)
+  as rn from pr) where rn = 1),
+w7f as (select * from (select *, row_number() over (partition by qid, text order by score desc, cand_id) as rn2
+  from w6f) where rn2 = 1)"""
+
+
+def _all_pairs(spark, sf_dir):
+    _, _, corpus, queries, payload = _inputs(spark, sf_dir)
+    n = corpus.count()                                  # rank every candidate of the level
+    return RT.intersect_ranks(RT.block_topk(corpus, queries, n, "level")).join(payload, "cand_id")
+
+
+@register("w6_best_per_sample", with_fx("fx_vectors", "select qid, sample_id, cand_id, score from w6f",
+                                        _BASE + ",\n" + _FULL_ROUND))
+def w6_best_per_sample(spark, sf_dir):
+    """Best candidate per (query, sample_id), all candidates entered."""
+    p = _all_pairs(spark, sf_dir)
+    b = p.groupBy("qid", "sample_id").agg(
+        F.max_by(F.struct("cand_id", "score"), F.struct("score", -F.col("cand_id"))).alias("b"))
+    return b.select("qid", "sample_id", "b.cand_id", "b.score")
+
+
+@register("w7_dedup_by_text", with_fx("fx_vectors", "select qid, text, cand_id, score from w7f",
+                                      _BASE + ",\n" + _FULL_ROUND))
+def w7_dedup_by_text(spark, sf_dir):
+    """W6 then W7: one candidate per (query, text), first in score order."""
+    p = _all_pairs(spark, sf_dir).withColumn("entry", F.lit(1))
+    s = RT.survivors(p, p.select("qid").distinct().withColumn("round", F.lit(1)))
+    return s.select("qid", "text", "cand_id", "score")
+
+
+@register("c14b_token_dice", with_fx(("fx_vectors", "fx_edit_seq"), f"""select qid, cand_id,
+  {_dice_sql('a')} + {_dice_sql('r')} as diff_sim from (select s.qid, s.cand_id, s.sample_id, s."index", q.q_sid, q.q_idx
+  from surv s join q using (qid)) top""", ",\n".join([_BASE, _TOKS])))
+def c14b_token_dice(spark, sf_dir):
+    """Token-multiset Dice of added + removed tokens between query and candidate diffs."""
+    t, v, corpus, queries, payload = _inputs(spark, sf_dir)
+    surv = rank_candidates(corpus, queries, payload)
+    tm = _token_maps(t)
+    keys = v.select(F.col("vec_id").alias("vid"), "sample_id", "index")
+    km = keys.join(tm, ["sample_id", "index"], "left").drop("sample_id", "index")
+    j = (surv.select("qid", "cand_id")
+         .join(km.withColumnsRenamed({"vid": "qid", "am": "q_am", "rm": "q_rm"}), "qid", "left")
+         .join(km.withColumnRenamed("vid", "cand_id"), "cand_id", "left"))
+    return j.select("qid", "cand_id", (_dice("q_am", "am") + _dice("q_rm", "rm")).alias("diff_sim"))
+
+
+@register("c14_diff_similarity")
+def c14_diff_similarity(spark, sf_dir):
+    """C14 faithful (difflib ratios in an Arrow UDF) on the retrieved pairs: rows-only."""
+    t, v, corpus, queries, payload = _inputs(spark, sf_dir)
+    surv = rank_candidates(corpus, queries, payload)
+    tx = X.method_texts(edit_seq(samples(t.conversations)))
+    d = tx.select("sample_id", "index", X.line_diff("src_method", "dst_method").alias("d"))
+    d = d.select("sample_id", "index", "d.add_text", "d.sub_text")
+    kd = v.select(F.col("vec_id").alias("vid"), "sample_id", "index").join(d, ["sample_id", "index"], "left") \
+        .drop("sample_id", "index")
+    j = (surv.select("qid", "cand_id")
+         .join(kd.withColumnsRenamed({"vid": "qid", "add_text": "q_add", "sub_text": "q_sub"}), "qid", "left")
+         .join(kd.withColumnRenamed("vid", "cand_id"), "cand_id", "left"))
+    return j.select("qid", "cand_id", X.diff_similarity(F.col("q_add"), F.col("q_sub"), F.col("add_text"),
+                                                        F.col("sub_text")).alias("diff_sim"))
