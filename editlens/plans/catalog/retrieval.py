@@ -235,8 +235,9 @@ w7f as (select * from (select *, row_number() over (partition by qid, text order
 
 def _all_pairs(spark, sf_dir):
     _, _, corpus, queries, payload = _inputs(spark, sf_dir)
-    n = corpus.count()                                  # rank every candidate of the level
-    return RT.intersect_ranks(RT.block_topk(corpus, queries, n, "level")).join(payload, "cand_id")
+    # the final widening round: every candidate up to the reference's cap of 10020
+    k = min(corpus.count(), RT.MAX_K)
+    return RT.intersect_ranks(RT.block_topk(corpus, queries, k, "level")).join(payload, "cand_id")
 
 
 @register("w6_best_per_sample", with_fx("fx_vectors", "select qid, sample_id, cand_id, score from w6f",

@@ -6,10 +6,13 @@ Modules under ``editlens.plans.catalog`` register themselves on import.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import ensure_checkpoint_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -18,7 +21,13 @@ def register(name: str, oracle: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def job(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_checkpoint_dir(spark)        # the session's shared folder, or a local one in tests
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = job
         if oracle is not None:
             ORACLE[name] = oracle
         return fn
