@@ -140,8 +140,14 @@ def jaccard(a, b) -> F.Column:
     return F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(F.lit(0.0))
 
 
+SMALL_LEVEL = 2048       # levels this small are ranked whole in one round
+
+
 def widening_schedule(max_needed: int) -> list[int]:
-    """k values of the doubling search that replaces the +20 loop (20, 40, 80, ...)."""
+    """k values of the doubling search that replaces the +20 loop (20, 40, 80, ...);
+    a small corpus is ranked whole at once (fewer jobs, same result)."""
+    if max_needed <= SMALL_LEVEL:
+        return [max(max_needed, ROUND_STEP)]
     ks, k = [], ROUND_STEP
     while True:
         ks.append(min(k, MAX_K))
