@@ -47,6 +47,21 @@ def k_by_level(level, sample_k: int = -1) -> F.Column:
     return F.when(lv == 0, K_BY_LEVEL[0]).when(lv == 1, K_BY_LEVEL[1]).otherwise(K_BY_LEVEL[2])
 
 
+def _topk_row(scores: np.ndarray, cids: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the top-``k`` by (score desc, id asc); O(n) selection, then a sort
+    of only the selected rows. Ties at the k-th score are cut by smaller id."""
+    n = len(scores)
+    if k < n:
+        t = np.partition(scores, n - k)[n - k]            # k-th largest score
+        above = np.flatnonzero(scores > t)
+        at = np.flatnonzero(scores == t)
+        at = at[np.argsort(cids[at], kind="stable")][: k - len(above)]
+        sel = np.concatenate([above, at])
+    else:
+        sel = np.arange(n)
+    return sel[np.lexsort((cids[sel], -scores[sel]))]
+
+
 def _local_topk(k: int, digits: int):
     def fn(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         cols = ["qid", "cand_id", "side", "score"]
@@ -54,14 +69,14 @@ def _local_topk(k: int, digits: int):
             return pd.DataFrame({c: [] for c in cols}).astype({"qid": "int64", "cand_id": "int64",
                                                                "side": "object", "score": "float64"})
         cids = cpdf["cand_id"].to_numpy(dtype=np.int64)
+        qids = qpdf["qid"].to_numpy(dtype=np.int64)
         out = []
         for side in ("old", "new"):
             cm = np.vstack(cpdf[f"{side}_vec"].to_numpy())
             qm = np.vstack(qpdf[f"{side}_vec"].to_numpy())
-            s = np.round(qm @ cm.T, digits)
-            kk = min(k, len(cids))
-            for qi, qid in enumerate(qpdf["qid"].to_numpy(dtype=np.int64)):
-                order = np.lexsort((cids, -s[qi]))[:kk]      # score desc, cand asc
+            s = np.round(qm @ cm.T, digits)                    # one block: rows = queries
+            for qi, qid in enumerate(qids):
+                order = _topk_row(s[qi], cids, k)
                 out.append(pd.DataFrame({"qid": qid, "cand_id": cids[order], "side": side,
                                          "score": s[qi][order]}))
         return pd.concat(out, ignore_index=True)
@@ -156,5 +171,9 @@ def widening_schedule(max_needed: int) -> list[int]:
         k *= 2
 
 
-def n_blocks(rows: int, target_rows: int = 50_000) -> int:
+CORPUS_BLOCK_ROWS = 20_000   # a cell multiplies <= 20k candidates ...
+QUERY_BLOCK_ROWS = 1_000     # ... by <= 1k queries: a 160 MB score block at most
+
+
+def n_blocks(rows: int, target_rows: int = CORPUS_BLOCK_ROWS) -> int:
     return max(1, min(4096, math.ceil(rows / target_rows)))

@@ -30,3 +30,15 @@ def test_block_counts_do_not_change_topk(spark):
     cols = ["qid", "side", "rank", "cand_id", "score"]
     assert _rows(a.select(*cols)) == _rows(b.select(*cols))
     assert a.groupBy("qid", "side").agg(F.max("rank").alias("m")).where(F.col("m") > 15).count() == 0
+
+
+def test_topk_row_ties_match_full_sort():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        scores = rng.integers(0, 5, n).astype(float)          # many ties
+        cids = rng.permutation(1000)[:n].astype(np.int64)
+        k = int(rng.integers(1, 45))
+        want = np.lexsort((cids, -scores))[:k]
+        assert list(RT._topk_row(scores, cids, k)) == list(want)
