@@ -32,12 +32,14 @@ class Tables:
 def samples(conversations: DataFrame) -> DataFrame:
     """fx_samples: source / reference / hypothesis token lists per edit pair.
 
-    ``hyp_toks`` equals the reference when ``pmod(conv_id, 4) = 0`` so that exact
-    matches occur; otherwise every 7th token is replaced.
+    The reference tokens are the whole conversation text (FIXTURES.md caps them at
+    24 tokens; here no text is cut). ``hyp_toks`` equals the reference when
+    ``pmod(conv_id, 4) = 0`` so that exact matches occur; otherwise every 7th token
+    is replaced; ``src_toks`` drops every 5th token.
     """
     base = conversations.select(
         "conv_id", "turn", "role",
-        F.expr("slice(split(regexp_replace(text, '[^A-Za-z0-9.,]+', ' '), ' '), 1, 24)").alias("ref_toks"),
+        F.expr("split(regexp_replace(text, '[^A-Za-z0-9.,]+', ' '), ' ')").alias("ref_toks"),
     )
     return base.select(
         F.col("conv_id").alias("sample_id"),

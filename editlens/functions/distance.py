@@ -1,5 +1,8 @@
 """Sequence distances on token lists (C11 word edit distance, LCS for ROUGE-L).
 
+LCS has no JVM built-in; it runs as an Arrow pandas UDF whose per-row work is an
+O(n*m) numpy DP (one vector step per token, running maximum along the row).
+
 Word-level Levenshtein uses no UDF: each row's distinct tokens form a small
 vocabulary, every token becomes one BMP code point (from U+4E00 upward), and the
 built-in ``levenshtein`` runs on the two encoded strings. Safe for up to 35,000
@@ -7,7 +10,8 @@ distinct tokens per pair (below the surrogate range). Functions return Spark SQL
 expression text over column names (see ``ngrams``); ``*_col`` wrap it as Columns.
 """
 
-from __future__ import annotations
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +44,45 @@ def lcs_length(a: str, b: str) -> str:
     return f"element_at(aggregate({a}, array_repeat(0, size({b}) + 1), (prev, tok) -> {inner}), -1)"
 
 
+def _lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        x = list(x) if x is not None else []
+        y = list(y) if y is not None else []
+        if not x or not y:
+            out.append(0)
+            continue
+        ids: dict = {}
+        yi = np.array([ids.setdefault(t, len(ids)) for t in y])
+        row = np.zeros(len(y) + 1, dtype=np.int64)
+        for t in x:
+            m = (yi == ids.get(t, -1)).astype(np.int64)
+            c = np.maximum(row[1:], row[:-1] + m)
+            row = np.concatenate(([0], np.maximum.accumulate(c)))
+        out.append(int(row[-1]))
+    return pd.Series(out, dtype="int64")
+
+
+_UDF: dict = {}
+
+
+def lcs_length_udf(a, b) -> Column:
+    """LCS length of two token arrays (Arrow pandas UDF, O(n*m) per row)."""
+    if "lcs" not in _UDF:
+        _UDF["lcs"] = F.pandas_udf(_lcs_batch, "long")
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    return _UDF["lcs"](a, b)
+
+
+def rouge_from_lcs(lcs: str, cand: str, ref: str, beta: float = 1.2) -> str:
+    """ROUGE-L F-score from a computed LCS length column."""
+    lcs = f"cast({lcs} as double)"
+    p, r = f"({lcs} / size({cand}))", f"({lcs} / size({ref}))"
+    b2 = beta * beta
+    return f"if({p} != 0 and {r} != 0, ((1 + {b2}D) * {p} * {r}) / ({r} + {b2}D * {p}), 0.0D)"
+
+
 def rouge_l(cand: str, ref: str, beta: float = 1.2) -> str:
     """ROUGE-L F-score of one candidate against one reference token array."""
     lcs = f"cast({lcs_length(ref, cand)} as double)"

@@ -65,6 +65,7 @@ def eval_rows(df: DataFrame, ref_tokens: str, src_tokens: str, pred_text: str, r
     bleu_fields = (["cast(size(bh) as bigint) as testlen", "cast(size(br) as bigint) as reflen"]
                    + [f"cast(greatest(size(bh) - {n} + 1, 0) as bigint) as guess{n}" for n in range(1, 5)]
                    + [f"{N.clipped_from_counts(f't_bleu{n}')} as correct{n}" for n in range(1, 5)])
+    d = d.withColumn("lcs", D.lcs_length_udf("rr", "rc"))
     return d.selectExpr(
         *k, "level", "acc", "pred_l", "ref_l", "src_l",
         f"{D.word_edit_distance('pred_l', 'ref_l', 'v1')} as ed_hyp",
@@ -74,7 +75,7 @@ def eval_rows(df: DataFrame, ref_tokens: str, src_tokens: str, pred_text: str, r
         + ") as gleu",
         "named_struct(" + ", ".join(f"'{f.split(' as ')[-1]}', {f.rsplit(' as ', 1)[0]}" for f in bleu_fields)
         + ") as bleu",
-        f"{D.rouge_l('rc', 'rr')} as rouge_l")
+        f"{D.rouge_from_lcs('lcs', 'rc', 'rr')} as rouge_l")
 
 
 def eval_report(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ select conv_id as sample_id, turn as "index", role, conv_id % 3 as level, ref_to
        list_filter(ref_toks, lambda x, i: i % 5 <> 0) as src_toks,
        case when conv_id % 4 = 0 then ref_toks
             else list_transform(ref_toks, lambda x, i: case when i % 7 = 0 then 'x' else x end) end as hyp_toks
-from (select *, list_slice(string_split(regexp_replace(text, '[^A-Za-z0-9.,]+', ' ', 'g'), ' '), 1, 24) as ref_toks
+from (select *, string_split(regexp_replace(text, '[^A-Za-z0-9.,]+', ' ', 'g'), ' ') as ref_toks
       from conversations)"""),
     "fx_edit_seq": (("fx_samples",), """
 select sample_id, "index", cast(p as bigint) as pos,

@@ -64,11 +64,11 @@ def test_ed_and_lcs_match_dp(spark):
         b = [rnd.choice("abcdef") for _ in range(rnd.randint(0, 9))]
         rows.append((a, b))
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
-    got = df.select("a", "b", D.word_edit_distance_col("a", "b").alias("ed"),
+    got = df.select("a", "b", D.word_edit_distance_col("a", "b").alias("ed"), D.lcs_length_udf("a", "b").alias("lcs2"),
                     D.word_edit_distance_col("b", "a").alias("ed2"), D.lcs_length_col("a", "b").alias("lcs")).collect()
     for r in got:
         assert r["ed"] == _py_ed(r["a"], r["b"]) == r["ed2"]
-        assert r["lcs"] == _py_lcs(r["a"], r["b"])
+        assert r["lcs"] == _py_lcs(r["a"], r["b"]) == r["lcs2"]
         assert (r["ed"] == 0) == (r["a"] == r["b"])
 
 
