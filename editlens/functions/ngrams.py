@@ -141,3 +141,26 @@ def gleu_from_counts(t: str) -> str:
 def clipped_from_counts(t: str) -> str:
     """O7 clipped matches from ``gram_counts([hyp, ref])``."""
     return f"aggregate({t}, 0L, (a, x) -> a + least(x.c0, x.c1))"
+
+
+# --- sort-based count tables: O(L log L) instead of one scan per distinct gram ------
+def tagged_sorted(bags: list[str]) -> str:
+    """Stage 1: every gram of every bag tagged with its bag index, sorted by (gram, bag)."""
+    parts = [f"transform({b}, x -> named_struct('g', x, 's', {i}))" for i, b in enumerate(bags)]
+    return f"array_sort(concat({', '.join(parts)}))"
+
+
+def run_starts(t: str) -> str:
+    """Stage 2: 1-based positions where a new gram starts in a ``tagged_sorted`` array."""
+    return (f"if(size({t}) = 0, cast(array() as array<int>), filter(sequence(1, size({t})), "
+            f"i -> i = 1 or element_at({t}, i).g != element_at({t}, i - 1).g))")
+
+
+def counts_from_runs(t: str, p: str, n_bags: int) -> str:
+    """Stage 3: ``array<struct<g, c0, c1, ...>>`` from the sorted array and its run
+    starts: each run is sliced once and counted per bag."""
+    end = f"if(k = size({p}), size({t}) + 1, element_at({p}, k + 1))"
+    run = f"slice({t}, element_at({p}, k), {end} - element_at({p}, k))"
+    fields = ", ".join(f"'c{i}', size(filter({run}, x -> x.s = {i}))" for i in range(n_bags))
+    return (f"if(size({p}) = 0, cast(array() as array<struct<g:string,{','.join(f'c{i}:int' for i in range(n_bags))}>>), "
+            f"transform(sequence(1, size({p})), k -> named_struct('g', element_at({t}, element_at({p}, k)).g, {fields})))")

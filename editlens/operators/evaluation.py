@@ -51,10 +51,16 @@ def eval_rows(df: DataFrame, ref_tokens: str, src_tokens: str, pred_text: str, r
     bags = {"s": "s_w", "c": "c_w", "r": "r_w", "gs": "gs", "gr": "gr", "gh": "gh", "bh": "bh", "br": "br"}
     d = d.selectExpr("*", *[f"{N.ngrams(col, n)} as bag_{b}{n}" for b, col in bags.items() for n in range(1, 5)])
     tables = {"sari": ("s", "c", "r"), "gleu": ("gh", "gr", "gs"), "bleu": ("bh", "br")}
-    d = d.selectExpr(*k, "level", "acc", "pred_l", "ref_l", "src_l", "gh", "gr", "bh", "br", "rc", "rr",
-                     "array_distinct(concat(pred_l, ref_l)) as v1", "array_distinct(concat(src_l, ref_l)) as v2",
-                     *[f"{N.gram_counts([f'bag_{b}{n}' for b in sides])} as t_{name}{n}"
-                       for name, sides in tables.items() for n in range(1, 5)])
+    names = [(name, n, sides) for name, sides in tables.items() for n in range(1, 5)]
+    cols = [*k, "level", "acc", "pred_l", "ref_l", "src_l", "gh", "gr", "bh", "br", "rc", "rr"]
+    # count tables in three stages (sorted tagged grams -> run starts -> counts per run)
+    d = d.selectExpr(*cols, "array_distinct(concat(pred_l, ref_l)) as v1", "array_distinct(concat(src_l, ref_l)) as v2",
+                     *[f"{N.tagged_sorted([f'bag_{b}{n}' for b in sides])} as T_{name}{n}" for name, n, sides in names])
+    cols += ["v1", "v2"]
+    d = d.selectExpr(*cols, *[f"T_{name}{n}" for name, n, _ in names],
+                     *[f"{N.run_starts(f'T_{name}{n}')} as P_{name}{n}" for name, n, _ in names])
+    d = d.selectExpr(*cols, *[f"{N.counts_from_runs(f'T_{name}{n}', f'P_{name}{n}', len(sides))} as t_{name}{n}"
+                              for name, n, sides in names])
     sari_parts = [N.sari_from_counts(f"t_sari{n}", "1") for n in range(1, 5)]
     keep = " + ".join(p[0] for p in sari_parts)
     dele = " + ".join(p[1] for p in sari_parts)
