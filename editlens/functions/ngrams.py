@@ -90,16 +90,19 @@ def bleu_from_sums(testlen: str, reflen: str, guesses: list[str], corrects: list
 def sari_sentences(df, src_text: str, cand_text: str, ref_texts: str, out: str = "sari"):
     """C10 ``SARIsent`` over a DataFrame: texts lower-cased and split on single
     spaces; score = mean of keep, delete and add, each averaged over n = 1..4.
-    ``ref_texts`` is an array of reference strings."""
+    ``ref_texts`` is an array of reference strings (their n-grams are bag-summed)."""
     d = df.selectExpr("*", f"split(lower({src_text}), ' ') as __s", f"split(lower({cand_text}), ' ') as __c",
                       f"transform({ref_texts}, t -> split(lower(t), ' ')) as __rs")
     d = d.selectExpr("*", *[f"{ngrams('__s', n)} as __bs{n}" for n in range(1, 5)],
                      *[f"{ngrams('__c', n)} as __bc{n}" for n in range(1, 5)],
                      *[f"flatten(transform(__rs, rr -> {ngrams('rr', n)})) as __br{n}" for n in range(1, 5)])
-    d = d.selectExpr("*", *[f"{count_map(f'__b{x}{n}')} as __m{x}{n}" for x in "scr" for n in range(1, 5)])
-    parts = [sari_ngram(f"__ms{n}", f"__mc{n}", f"__mr{n}", "size(__rs)") for n in range(1, 5)]
+    d = d.selectExpr("*", *[f"{tagged_sorted([f'__bs{n}', f'__bc{n}', f'__br{n}'])} as __srt{n}" for n in range(1, 5)])
+    d = d.selectExpr("*", *[f"{run_starts(f'__srt{n}')} as __run{n}" for n in range(1, 5)])
+    d = d.selectExpr("*", *[f"{counts_from_runs(f'__srt{n}', f'__run{n}', 3)} as __cnt{n}" for n in range(1, 5)])
+    parts = [sari_from_counts(f"__cnt{n}", "size(__rs)") for n in range(1, 5)]
     expr = "((" + ") / 4 + (".join(" + ".join(p[i] for p in parts) for i in range(3)) + ") / 4) / 3"
-    drop = ["__s", "__c", "__rs"] + [f"__{p}{x}{n}" for p in "bm" for x in "scr" for n in range(1, 5)]
+    drop = ["__s", "__c", "__rs"] + [f"__{p}{x}{n}" for p in "b" for x in "scr" for n in range(1, 5)] \
+        + [f"__{p}{n}" for p in ("srt", "run", "cnt") for n in range(1, 5)]
     return d.selectExpr("*", f"{expr} as {out}").drop(*drop)
 
 

@@ -55,22 +55,22 @@ def eval_rows(df: DataFrame, ref_tokens: str, src_tokens: str, pred_text: str, r
     cols = [*k, "level", "acc", "pred_l", "ref_l", "src_l", "gh", "gr", "bh", "br", "rc", "rr"]
     # count tables in three stages (sorted tagged grams -> run starts -> counts per run)
     d = d.selectExpr(*cols, "array_distinct(concat(pred_l, ref_l)) as v1", "array_distinct(concat(src_l, ref_l)) as v2",
-                     *[f"{N.tagged_sorted([f'bag_{b}{n}' for b in sides])} as T_{name}{n}" for name, n, sides in names])
+                     *[f"{N.tagged_sorted([f'bag_{b}{n}' for b in sides])} as srt_{name}{n}" for name, n, sides in names])
     cols += ["v1", "v2"]
-    d = d.selectExpr(*cols, *[f"T_{name}{n}" for name, n, _ in names],
-                     *[f"{N.run_starts(f'T_{name}{n}')} as P_{name}{n}" for name, n, _ in names])
-    d = d.selectExpr(*cols, *[f"{N.counts_from_runs(f'T_{name}{n}', f'P_{name}{n}', len(sides))} as t_{name}{n}"
+    d = d.selectExpr(*cols, *[f"srt_{name}{n}" for name, n, _ in names],
+                     *[f"{N.run_starts(f'srt_{name}{n}')} as run_{name}{n}" for name, n, _ in names])
+    d = d.selectExpr(*cols, *[f"{N.counts_from_runs(f'srt_{name}{n}', f'run_{name}{n}', len(sides))} as cnt_{name}{n}"
                               for name, n, sides in names])
-    sari_parts = [N.sari_from_counts(f"t_sari{n}", "1") for n in range(1, 5)]
+    sari_parts = [N.sari_from_counts(f"cnt_sari{n}", "1") for n in range(1, 5)]
     keep = " + ".join(p[0] for p in sari_parts)
     dele = " + ".join(p[1] for p in sari_parts)
     add = " + ".join(p[2] for p in sari_parts)
     gleu_fields = (["cast(size(gh) as bigint) as c", "cast(size(gr) as bigint) as r"]
-                   + [f"{N.gleu_from_counts(f't_gleu{n}')} as m{n}" for n in range(1, 5)]
+                   + [f"{N.gleu_from_counts(f'cnt_gleu{n}')} as m{n}" for n in range(1, 5)]
                    + [f"cast(greatest(size(gh) + 1 - {n}, 0) as bigint) as d{n}" for n in range(1, 5)])
     bleu_fields = (["cast(size(bh) as bigint) as testlen", "cast(size(br) as bigint) as reflen"]
                    + [f"cast(greatest(size(bh) - {n} + 1, 0) as bigint) as guess{n}" for n in range(1, 5)]
-                   + [f"{N.clipped_from_counts(f't_bleu{n}')} as correct{n}" for n in range(1, 5)])
+                   + [f"{N.clipped_from_counts(f'cnt_bleu{n}')} as correct{n}" for n in range(1, 5)])
     d = d.withColumn("lcs", D.lcs_length_udf("rr", "rc"))
     return d.selectExpr(
         *k, "level", "acc", "pred_l", "ref_l", "src_l",
