@@ -64,9 +64,9 @@ def enc(lst: str, vocab: str) -> str:
 def word_ed(a: str, b: str, vocab: str | None = None) -> str:
     """Word edit distance by the textbook DP (rows carried by ``list_reduce``); no
     vocabulary limit. ``vocab`` is accepted for call compatibility and unused."""
-    return (f"list_reduce(range(1, len({a}) + 1), lambda prev, i: list_reduce(range(1, len({b}) + 1), "
+    return (f"cast(list_reduce(range(1, len({a}) + 1), lambda prev, i: list_reduce(range(1, len({b}) + 1), "
             f"lambda row, j: list_append(row, least(prev[j + 1] + 1, row[j] + 1, "
-            f"prev[j] + case when {a}[i] = {b}[j] then 0 else 1 end)), [i]), range(0, len({b}) + 1))[-1]")
+            f"prev[j] + case when {a}[i] = {b}[j] then 0 else 1 end)), [i]), range(0, len({b}) + 1))[-1] as integer)")
 
 
 def lcs(a: str, b: str) -> str:

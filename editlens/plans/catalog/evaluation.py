@@ -72,7 +72,8 @@ _PN = """pn as (select k.sample_id, k."index", k.n,
 _F1 = "case when {p} > 0 or {r} > 0 then 2 * {p} * {r} / ({p} + {r}) else 0 end"
 _ROWSTAT = ("rs as (select sample_id, \"index\", sum(" + _F1.format(p="kp", r="kr") + " + dp + "
             + _F1.format(p="ap", r="ar") + ") / 12 as sari, "
-            + ", ".join(f"sum(gm) filter (where n = {i}) as m{i}, sum(bc) filter (where n = {i}) as bc{i}"
+            + ", ".join(f"cast(sum(gm) filter (where n = {i}) as bigint) as m{i}, "
+                        f"cast(sum(bc) filter (where n = {i}) as bigint) as bc{i}"
                         for i in range(1, 5)) + " from pn group by all)")
 _ROWS = """rows as (select b2.sample_id, b2."index", level, acc, ed_hyp, ed_src, sari,
   case when lcs > 0 then ((1 + 1.44) * (lcs / len(rc)) * (lcs / len(rr))) / ((lcs / len(rr)) + 1.44 * (lcs / len(rc)))

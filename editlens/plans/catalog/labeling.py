@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ...fixtures import Tables, features
 from ...operators.scaling import ALL_COLUMNS, GROUPS
 from ...oracle import with_fx
 from ...registry import register
-from ..labeling import complexity_labels
+from ..labeling import labels_table
 
 DIMS = ("size", "structure", "content")
 
@@ -42,5 +39,6 @@ def _e1_sql(p: float = 0.5, dp: float = 0.2) -> str:
 
 @register("e1_complexity_labels", _e1_sql())
 def e1_complexity_labels(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return complexity_labels(features(t.lineitem), percent=0.5, dims_percent=0.2)
+    """E1 writes its label table to the shared folder (E4, E5, E7, A17 and M* read
+    it) and returns it read back."""
+    return labels_table(spark, sf_dir, percent=0.5, dims_percent=0.2)

@@ -141,7 +141,7 @@ def _change_types_per_key(ch):
   from fx_features f join ct using (sample_id, "index")""", _CT_PER_KEY))
 def j2_enrich_inner(spark, sf_dir):
     joined, _ = J.inner_with_skips(_feat(spark, sf_dir).select(*KEY, "NMT"), _change_types_per_key(_changes(spark, sf_dir)))
-    return joined.select(*KEY, "NMT", F.size("ChangeType").alias("n_types"))
+    return joined.select(*KEY, "NMT", F.size("ChangeType").cast("long").alias("n_types"))
 
 
 @register("j2_skipped_keys", with_fx(("fx_features", "fx_changes"), f"""select {K} from fx_features f
@@ -274,7 +274,8 @@ def o6_bag_union(spark, sf_dir):
 
 
 @register("o7_bag_min_intersection", with_fx("fx_samples", f"""select {K},
-  coalesce(sum(least(nr, nh)) filter (where nh > 0), 0) as inter, coalesce(sum(nr - nh) filter (where nr > nh), 0) as diff
+  cast(coalesce(sum(least(nr, nh)) filter (where nh > 0), 0) as bigint) as inter,
+  cast(coalesce(sum(nr - nh) filter (where nr > nh), 0) as bigint) as diff
   from (select {K}, t, count(*) filter (where side = 'r') as nr, count(*) filter (where side = 'h') as nh from (
     select {K}, 'r' as side, unnest(ref_toks) as t from fx_samples union all
     select {K}, 'h' as side, unnest(hyp_toks) as t from fx_samples) group by all) group by all"""))
@@ -287,7 +288,7 @@ def o7_bag_min_intersection(spark, sf_dir):
         "aggregate(map_keys(mr), 0L, (a, g) -> a + greatest(mr[g] - coalesce(try_element_at(mh, g), 0), 0)) as diff")
 
 
-@register("o8_multi_ref_union", with_fx("fx_samples", f"""select {K}, gram, max(c) as max_count, sum(c) as sum_count
+@register("o8_multi_ref_union", with_fx("fx_samples", f"""select {K}, gram, max(c) as max_count, cast(sum(c) as bigint) as sum_count
   from (select {K}, gram, ref_id, count(*) as c from (
     select {K}, 0 as ref_id, unnest(ref_toks) as gram from fx_samples union all
     select {K}, 1 as ref_id, unnest(hyp_toks) as gram from fx_samples) group by all) group by all"""))
@@ -316,7 +317,7 @@ def a8_ngram_doc_freq(spark, sf_dir):
     s = _samples(spark, sf_dir)
     long = None
     for n in range(1, 5):
-        x = s.select(*KEY, F.lit(n).alias("n"), F.explode(F.array_distinct(F.expr(N.ngrams("ref_toks", n)))).alias("gram"))
+        x = s.select(*KEY, F.lit(n).cast("long").alias("n"), F.explode(F.array_distinct(F.expr(N.ngrams("ref_toks", n)))).alias("gram"))
         long = x if long is None else long.unionByName(x)
     # each sentence has one reference here, so normalisation divides by 1
     return long.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("freq")) \

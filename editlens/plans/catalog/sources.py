@@ -139,7 +139,8 @@ def s11_index_roundtrip(spark, sf_dir):
     path = io.scratch_path(spark, "s11")
     io.write_index(v.select("vec_id", "sample_id", "index", "old_vec", "new_vec", "level"), path)
     idx = io.load_index(spark, path, level=1)
-    return idx.select("vec_id", "sample_id", "index", F.size("old_vec").alias("dim"), F.col("level").cast("int"))
+    return idx.select("vec_id", "sample_id", "index", F.size("old_vec").cast("long").alias("dim"),
+                      F.col("level").cast("int"))
 
 
 @register("s13_aligned_text", with_fx("fx_samples", f"""select sample_id * 1000 + "index" as id,

@@ -2,7 +2,6 @@
 
 import math
 
-import pytest
 from pyspark.sql import functions as F
 
 from editlens.functions import distance as D
