@@ -177,3 +177,54 @@ QUERY_BLOCK_ROWS = 1_000     # ... by <= 1k queries: a 160 MB score block at mos
 
 def n_blocks(rows: int, target_rows: int = CORPUS_BLOCK_ROWS) -> int:
     return max(1, min(4096, math.ceil(rows / target_rows)))
+
+
+INF_ROUND = 1 << 30
+
+
+def alive_winners(pairs: DataFrame) -> DataFrame:
+    """W6 as round intervals: a candidate is the best of its (query, sample_id) on
+    rounds ``[entry, until)``, ``until`` = the earliest entry of a better candidate
+    (score desc, id asc) of the same sample. Empty intervals are dropped."""
+    w = (Window.partitionBy("qid", "sample_id").orderBy(F.col("score").desc(), "cand_id")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    d = pairs.withColumn("until", F.coalesce(F.min("entry").over(w), F.lit(INF_ROUND)))
+    return d.where(F.col("entry") < F.col("until"))
+
+
+def survivor_counts(winners: DataFrame) -> DataFrame:
+    """Number of distinct texts among alive W6 winners, per query, at each round
+    where it changes: the winners' intervals are merged per (query, text)
+    (gaps-and-islands) and the islands' +1 / -1 events are summed in round order."""
+    w = Window.partitionBy("qid", "text").orderBy("entry", "until", "cand_id")
+    prev_end = F.max("until").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = winners.withColumn("new_island", (prev_end.isNull() | (F.col("entry") > prev_end)).cast("int"))
+    d = d.withColumn("island", F.sum("new_island").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    isl = d.groupBy("qid", "text", "island").agg(F.min("entry").alias("a"), F.max("until").alias("b"))
+    ev = (isl.select("qid", F.col("a").alias("round"), F.lit(1).alias("delta"))
+          .unionByName(isl.where(F.col("b") < INF_ROUND).select("qid", F.col("b").alias("round"),
+                                                                F.lit(-1).alias("delta"))))
+    ev = ev.groupBy("qid", "round").agg(F.sum("delta").alias("delta"))
+    wq = Window.partitionBy("qid").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    return ev.withColumn("n", F.sum("delta").over(wq)).select("qid", "round", "n")
+
+
+def pick_round_by_counts(counts: DataFrame, info: DataFrame) -> DataFrame:
+    """The smallest round whose survivor count reaches K, else the last round
+    when this is the final widening step. ``info``: (qid, K, last_round, final)."""
+    j = counts.join(info.select("qid", "K", "last_round"), "qid")
+    ok = (j.where((F.col("n") >= F.col("K")) & (F.col("round") <= F.col("last_round")))
+          .groupBy("qid").agg(F.min("round").alias("ok_round")))
+    return (info.join(ok, "qid", "left")
+            .select("qid", F.coalesce("ok_round", "last_round").alias("round"), "final",
+                    F.col("ok_round").isNotNull().alias("satisfied")))
+
+
+def survivors_at(winners: DataFrame, rounds: DataFrame) -> DataFrame:
+    """W6 + W7 survivors at one chosen round per query: alive winners, then the
+    best per (query, text)."""
+    alive = (winners.join(rounds, "qid")
+             .where((F.col("entry") <= F.col("round")) & (F.col("round") < F.col("until"))))
+    return (alive.groupBy("qid", "round", "text")
+            .agg(F.max_by(F.struct("cand_id", "sample_id", "score"), F.struct("score", -F.col("cand_id"))).alias("b"))
+            .select("qid", "round", "text", "b.*"))

@@ -42,3 +42,28 @@ def test_topk_row_ties_match_full_sort():
         k = int(rng.integers(1, 45))
         want = np.lexsort((cids, -scores))[:k]
         assert list(RT._topk_row(scores, cids, k)) == list(want)
+
+
+def test_interval_survivors_match_per_round(spark):
+    import random
+    rnd = random.Random(9)
+    rows = []
+    for qid in range(6):
+        for cand in range(40):
+            rows.append((qid, qid * 100 + cand, float(rnd.randint(0, 9)), rnd.randint(1, 8),
+                         rnd.randint(0, 7), f"t{rnd.randint(0, 4)}"))
+    pairs = spark.createDataFrame(rows, "qid long, cand_id long, score double, entry int, sample_id long, text string")
+    info = spark.createDataFrame([(q, rnd.randint(1, 5), 8, True) for q in range(6)],
+                                 "qid long, K int, last_round int, final boolean")
+    # per-round explode (the direct definition)
+    rounds = info.select("qid", F.explode(F.sequence(F.lit(1), F.col("last_round"))).alias("round"))
+    surv = RT.survivors(pairs, rounds)
+    want_round = RT.pick_round(surv, info.select("qid", "K"), info.select("qid", "last_round", "final"))
+    want = surv.join(want_round.select("qid", "round"), ["qid", "round"])
+    # interval form
+    winners = RT.alive_winners(pairs)
+    got_round = RT.pick_round_by_counts(RT.survivor_counts(winners), info)
+    got = RT.survivors_at(winners, got_round.select("qid", "round"))
+    cols = ["qid", "round", "text", "cand_id", "sample_id", "score"]
+    assert _rows(want_round.select("qid", "round", "satisfied")) == _rows(got_round.select("qid", "round", "satisfied"))
+    assert _rows(want.select(*cols)) == _rows(got.select(*cols))
