@@ -118,7 +118,7 @@ def edit_distance_rows(rows: DataFrame) -> DataFrame:
     """Per-row labels of the edit-distance evaluation."""
     delta = F.col("ed_hyp") - F.col("ed_src")
     return rows.select("sample_id", "index", "level", "ed_hyp", "ed_src",
-                       F.when(delta < 0, 1).otherwise(0).alias("HebCUP_correct_labeled"),
+                       F.when(delta < 0, 1).otherwise(0).alias("correct_labeled"),
                        delta.alias("edit_distance_reduced_num"))
 
 

@@ -116,7 +116,7 @@ def p11_eval_report_formatted(spark, sf_dir):
 
 
 @register("a6_edit_distance_rows", with_fx("fx_samples", """select sample_id, "index", level, ed_hyp, ed_src,
-  case when ed_hyp - ed_src < 0 then 1 else 0 end as HebCUP_correct_labeled, ed_hyp - ed_src as edit_distance_reduced_num
+  case when ed_hyp - ed_src < 0 then 1 else 0 end as correct_labeled, ed_hyp - ed_src as edit_distance_reduced_num
  from rows""", _CTES))
 def a6_edit_distance_rows(spark, sf_dir):
     return edit_distance_rows(_rows(spark, sf_dir))
