@@ -81,7 +81,7 @@ def labels_table(spark, sf_dir: str, percent: float = 0.5, dims_percent: float =
     M*), the way the reference's later scripts read the labelling CSV."""
     from ..fixtures import Tables, features
     from ..sources.io import scratch_path
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), percent, dims_percent, _signature(sf_dir))
+    key = (spark.conf.get("spark.app.id", ""), os.path.abspath(sf_dir), percent, dims_percent, _signature(sf_dir))
     path = _MATERIALIZED.get(key)
     if path is None:
         path = scratch_path(spark, "e1_labels")

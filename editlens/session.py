@@ -46,7 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
     is. Only when it is unset (local tests) a fresh scratch folder is set.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:                       # Spark Connect: the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
@@ -66,8 +69,10 @@ def spread(df, *keys):
     partitions than that (a small input file read as one split). Large inputs
     already have enough splits and are left alone, so no shuffle is added there.
     Used before CPU-heavy per-row expressions."""
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:                       # no RDD view (e.g. Spark Connect): leave as is
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
