@@ -42,3 +42,12 @@ def test_entry_smoke(spark):
 def test_every_query_has_a_name_from_the_inventory():
     for name in E.queries():
         assert name.split("_")[0][0] in "psjoawcegmt", name
+
+
+ROWS_ONLY = sorted(set(E.queries()) - set(ORACLE) - {"m2_random_forest", "m4_gbt", "m8_grid_search"})
+
+
+@pytest.mark.parametrize("name", ROWS_ONLY)
+def test_rows_only_jobs_run(spark, name):
+    df = E.queries()[name](spark, SF001)
+    assert df.count() > 0
