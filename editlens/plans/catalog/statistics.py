@@ -324,3 +324,31 @@ def e7_validation_kappa(spark, sf_dir):
                                        _E1_CTE + ",\n" + _E7))
 def e7_validation_set(spark, sf_dir):
     return _validation_set(spark, sf_dir)
+
+
+@register("a16_cliffs_delta", with_fx("fx_features", """select feature, (gt - (n0 * n1 - ge)) / (n0 * n1) as cliffs_delta,
+  case when abs((gt - (n0 * n1 - ge)) / (n0 * n1)) < 0.147 then 'negligible'
+       when abs((gt - (n0 * n1 - ge)) / (n0 * n1)) < 0.33 then 'small'
+       when abs((gt - (n0 * n1 - ge)) / (n0 * n1)) < 0.474 then 'medium' else 'large' end as magnitude
+  from mw""", _E1_CTE + ",\n" + _SIG))
+def a16_cliffs_delta(spark, sf_dir):
+    """Cliff's delta of label 0 vs label 2 per feature, from the T1 table (no pairs)."""
+    return _significance(spark, sf_dir, with_p=False).select("feature", "cliffs_delta", "magnitude")
+
+
+@register("j10_rater_pairs", with_fx("fx_raters", "select r1, r2, v1, v2, c from pairs", _KAPPA))
+def j10_rater_pairs(spark, sf_dir):
+    """Every ordered rater pair per item (self join on the item id after unpivot),
+    counted per (rater pair, value pair)."""
+    wide = raters(Tables(spark, sf_dir).labels)
+    long = wide.unpivot(["item_id"], ["label", "a", "b", "c"], "rater", "v")
+    a = long.select("item_id", F.col("rater").alias("r1"), F.col("v").alias("v1"))
+    b = long.select("item_id", F.col("rater").alias("r2"), F.col("v").alias("v2"))
+    return a.join(b, "item_id").groupBy("r1", "r2", "v1", "v2").agg(F.count(F.lit(1)).alias("c"))
+
+
+@register("p12_nested_record", with_fx(("fx_features", "fx_changes"), _E4, _E1_CTE + ",\n" + _CT_PER_KEY))
+def p12_nested_record(spark, sf_dir):
+    """Features nested as a struct, the change-level label and the change types
+    attached to each sample record."""
+    return e4_enriched_records(spark, sf_dir)
