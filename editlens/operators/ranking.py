@@ -106,9 +106,17 @@ def attach_by_score(df: DataFrame, table: DataFrame, score: str,
     return hot_part.unionByName(cold_rows.join(cold, keys))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint (shared folder) a frame that the next steps read several times,
+    so each read is a file scan rather than a re-derivation of its plan."""
+    return df.checkpoint()
+
+
 def rank_min(df: DataFrame, score: str, ascending: bool = False, out: str = "rank",
              part_cols: list[str] | tuple = (), n_buckets: int | None = None) -> DataFrame:
-    """W1 rank(method='min'): 1 + number of rows with a strictly better score."""
+    """W1 rank(method='min'): 1 + number of rows with a strictly better score.
+    The input is read four times (scores, hot, cold, anti) and is materialized once."""
+    df = materialize(df)
     t = score_table(df, score, part_cols, n_buckets)
     if ascending:
         t = t.withColumn("gt", F.col("n") - F.col("gt") - F.col("cnt"))
@@ -183,6 +191,7 @@ def selection_flag(score: str, bound: dict | None, top: bool, key=KEY) -> F.Colu
 def top_bottom_flags(df: DataFrame, score: str, specs: list[tuple[str, float, bool]],
                      key=KEY, n_buckets: int | None = None) -> DataFrame:
     """One boolean column per ``(tag, p, top)`` spec on a single score column."""
+    df = materialize(df)
     long_df = df.select(F.lit(0).alias("__part"), *key, score)
     b = selection_bounds(long_df, "__part", score, [(0, t, p, top) for t, p, top in specs],
                          key, n_buckets)
@@ -221,6 +230,7 @@ def rank_quantile_threshold(df: DataFrame, score: str, p: float, top: bool = Tru
 def label_by_rank_quantile(df: DataFrame, score: str, p: float, top: bool = True,
                            n_buckets: int | None = None) -> DataFrame:
     """Rank (min, desc) plus ``label`` = 1 when rank <= q_p (top) or >= q_{1-p}."""
+    df = materialize(df)
     ranked = rank_min(df, score, ascending=False, out="rank", n_buckets=n_buckets)
     thr = rank_quantile_threshold(df, score, p, top, n_buckets)
     cond = (F.col("rank") <= F.col("thr")) if top else (F.col("rank") >= F.col("thr"))
@@ -231,14 +241,12 @@ def label_by_rank_quantile(df: DataFrame, score: str, p: float, top: bool = True
 def weighted_dims_label(df: DataFrame, p: float, n_buckets: int | None = None) -> DataFrame:
     """score = size + 2*structure - content; label 1 for rank <= ceil(n p),
     0 for rank > n - ceil(n p), else null."""
-    from .scaling import CONTENT_COLUMNS, SIZE_COLUMNS, STRUCTURE_COLUMNS, scaled_sum
-    d = scaled_sum(df, SIZE_COLUMNS, "size_score")
-    d = scaled_sum(d, STRUCTURE_COLUMNS, "structure_score")
-    d = scaled_sum(d, CONTENT_COLUMNS, "content_score")
+    from ..plans.labeling import dimension_scores      # one statistics pass for 3 groups
+    d = dimension_scores(df).select("sample_id", "index", "size_score", "structure_score", "content_score")
     d = d.withColumn("score", F.round(F.col("size_score") + 2 * F.col("structure_score")
                                       - F.col("content_score"), 9))
     r = rank_min(d, "score", ascending=False, n_buckets=n_buckets)
-    n = df.agg(F.count(F.lit(1)).alias("__n"))
+    n = r.agg(F.count(F.lit(1)).alias("__n"))
     m = F.ceil(F.col("__n") * F.lit(p))
     return (r.crossJoin(F.broadcast(n))
             .withColumn("label", F.when(F.col("rank") <= m, 1)
