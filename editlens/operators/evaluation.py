@@ -37,7 +37,13 @@ def eval_rows(df: DataFrame, ref_tokens: str, src_tokens: str, pred_text: str, r
                   low(T.nonempty(F.col(ref_tokens))).alias("ref_l"),
                   low(T.nonempty(F.col(src_tokens))).alias("src_l"),
                   low(T.tokenize_with_con(F.col(pred_text))).alias("pred_l"),
-                  T.comments_equal(F.col(ref_text), F.col(pred_text), ignore_case).cast("int").alias("acc"))
+                  T.normalized_text(F.col(ref_text), ignore_case).alias("__ref_norm"),
+                  *([] if ignore_case else [T.normalized_text(F.col(pred_text), False).alias("__pred_norm")]))
+    # With ignore_case the prediction's normalised text is its lower-cased C3
+    # tokens joined without <con> -- pred_l already holds them
+    pred_norm = (F.replace(F.array_join("pred_l", ""), F.lit(T.CON), F.lit("")) if ignore_case
+                 else F.col("__pred_norm"))
+    d = d.withColumn("acc", (F.col("__ref_norm") == pred_norm).cast("int")).drop("__ref_norm", "__pred_norm")
     detok = lambda c: f"regexp_replace(array_join({c}, ' '), ' <con> ', '')"     # noqa: E731
     ws = lambda s: f"filter(split({s}, '(?U)\\\\s+'), t -> t != '')"             # noqa: E731
     d = d.select("*", *[T.gleu_normalize(c).alias(a) for c, a in
