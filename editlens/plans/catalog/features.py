@@ -92,7 +92,10 @@ def extract_features(seq):
     once (shared folder) so each of them scans a file instead of re-deriving it."""
     seq = spread(seq, *KEY).checkpoint()
     desc = _desc(seq)
-    merged, dmerged = X.merge_connectors(seq), X.merge_connectors(desc)
+    # the description sequence is the same rows under a shifted key, so its merge
+    # is the code merge shifted; the merge is read three times and checkpointed
+    merged = X.merge_connectors(seq).checkpoint()
+    dmerged = _desc(merged)
     raw = X.count_features(seq, "raw").join(X.modified_chunks(seq), KEY)
     mrg = X.count_features(merged, "mrg")
     texts = X.method_texts(seq)
