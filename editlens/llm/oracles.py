@@ -1,5 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+from .quality import BOILERPLATE
+
 WS = r"[\x20\x09-\x0D]+"
 _W = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda x: x <> '')"
 
@@ -20,7 +22,7 @@ qf as (select *, has and (
         or (not regexp_matches(line, '\p{{Ll}}') and regexp_matches(line, '(?:\p{{Lu}}[^\p{{Lu}}]*){{20}}'))
         or len(regexp_extract_all(line, '[#*$%&|<>]')) > 0.1 * chars
         or len(list_filter(lw, lambda w: w in ('|', '»', '>', '·'))) >= 4
-        or regexp_matches(line, '(?i)lorem ipsum|javascript is disabled|enable javascript|cookie policy|accept cookies|accept all cookies|privacy policy|terms of use|terms of service|click here|read more|sign in to|log in to|subscribe to our newsletter|share this|skip to content|back to top')
+        or len(list_filter({BOILERPLATE}, lambda p: contains(lower(line), p))) > 0
        ) as bad from ql),
 qs as (select rid, count(*) as n_lines, count(*) filter (bad) as n_failed_lines, coalesce(sum(chars) filter (bad), 0) as lost_chars,
               count(*) filter (has) - count(distinct line) filter (has) as n_dup_lines,
