@@ -89,3 +89,15 @@ bits as (select *, array_to_string(list_transform(generate_series(0, 31), lambda
 select page_id, strlen(html)::bigint as payload_bytes, digest as payload_digest,
   case when page_id = owner then 'response' else 'revisit' end as record_type,
   case when page_id <> owner then owner end as refers_to from bits"""
+
+EMBEDDING = """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select x, y from pairs union select r.x, p.y from reach r join pairs p on r.y = p.x),
+low as (select x, min(y) as y from reach group by x), n as (select x, count(*) as n from pairs group by x)
+select e.vec_id, coalesce(n, 0) as n_links, least(e.vec_id, coalesce(low.y, e.vec_id)) as component_id,
+  e.vec_id = least(e.vec_id, coalesce(low.y, e.vec_id)) as kept
+from embeddings e left join n on n.x = e.vec_id left join low on low.x = e.vec_id"""

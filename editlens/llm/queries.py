@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, read_table
-from . import line_dedup, mixing, packing, quality, simhash, token_store, warc
-from .oracles import LINE_DEDUP, MIXING, QUALITY, WARC
+from . import embedding_dedup, line_dedup, mixing, packing, quality, simhash, token_store, toxicity, warc
+from .oracles import EMBEDDING, LINE_DEDUP, MIXING, QUALITY, WARC
 
 QUERIES, ORACLE = {}, {}
 
@@ -36,11 +36,22 @@ def op2(docs, _):
     return packing.pack(docs.select("doc_id", "text"))
 
 
+@query("op3_toxicity", "documents")
+def op3(docs, table):
+    docs = docs.select("doc_id", "text")
+    return toxicity.score(docs, toxicity.learn(docs, table("labels").select("doc_id", "toxic")))
+
+
 @query("op4_simhash", "documents")
 def op4(docs, _):
     return simhash.near_duplicates(docs.select("doc_id", "text"))
 
 
+@query("op6_embedding_dedup", "embeddings", EMBEDDING)
+def op6(vectors, _):
+    return embedding_dedup.near_duplicates(vectors.select("vec_id", "embedding"))
+
+
 @query("op7_warc", "pages", WARC)
 def op7(pages, _):
     return warc.round_trip(pages)
