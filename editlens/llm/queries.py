@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, read_table
-from . import embedding_dedup, line_dedup, mixing, packing, quality, simhash, token_store, toxicity, warc
+from . import embedding_dedup, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_store, toxicity, warc
 from .oracles import EMBEDDING, LINE_DEDUP, MIXING, QUALITY, WARC
 
 QUERIES, ORACLE = {}, {}
@@ -47,6 +47,11 @@ def op4(docs, _):
     return simhash.near_duplicates(docs.select("doc_id", "text"))
 
 
+@query("op5_suffix_dedup", "documents")
+def op5(docs, _):
+    return suffix_dedup.remove_repeats(docs.select("doc_id", "text"))
+
+
 @query("op6_embedding_dedup", "embeddings", EMBEDDING)
 def op6(vectors, _):
     return embedding_dedup.near_duplicates(vectors.select("vec_id", "embedding"))
