@@ -28,6 +28,8 @@ from .common import written
 from .tokens import documents, public_path
 
 GRAIN = 16
+#: The linear program ends this near to its optimum.
+GAP = 1e-3
 RESULTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: Rows that one ranking group holds at least on average (the square root of its class if that is more).
 GROUP = 500
@@ -58,76 +60,38 @@ def pieces(df: DataFrame, text: str, max_len: int, path: str, end_id: int) -> Da
     return df.select(*cols, text).mapInArrow(run, schema)
 
 
-def _knapsack(price: np.ndarray, limit: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """Best pattern for item classes 1..size (class c fills c of ``size`` units), ``limit`` copies each at most."""
-    classes = np.flatnonzero((price > 1e-9) & (limit > 0)) + 1
-    if not len(classes):
-        return 0.0, np.zeros(size, np.int64)
+def _knapsack(price: np.ndarray, size: int) -> tuple[float, list[np.ndarray]]:
+    """Worth of the best pattern for item classes 1..size (class c fills c of ``size`` units), and for
+    each class the best pattern that holds it, if that improves on the plan."""
+    classes = np.flatnonzero(price > 1e-9) + 1
+    worth = price[classes - 1]
+    upto = np.searchsorted(classes, np.arange(size + 1), side="right").tolist()
     best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    for c in range(1, size + 1):                # unbounded copies: the limit is that of the capacity
-        fit = classes[classes <= c]
-        best[c], last[c] = best[c - 1], 0
-        if len(fit):
-            v = best[c - fit] + price[fit - 1]
-            k = int(v.argmax())
-            if v[k] > best[c]:
-                best[c], last[c] = v[k], fit[k]
-    pattern, c = np.zeros(size, np.int64), size
-    while c > 0:
-        if last[c]:
-            pattern[last[c] - 1] += 1
-            c -= last[c]
-        else:
-            c -= 1
-    return float(best[size]), pattern
-
-
-def solve(demand: np.ndarray, size: int, max_rounds: int = 3000) -> list[tuple[int, np.ndarray]]:
-    """(times, pattern) pairs that cover ``demand`` (items of class 1..size); a revised simplex holds the
-    inverse of the basis, starting from one pattern for each class."""
-    active = np.flatnonzero(demand)
-    plan: list[tuple[int, np.ndarray]] = []
-    left = demand.astype(np.int64).copy()
-    if len(active):
-        m = len(active)
-        basis = np.zeros((m, size), np.int64)
-        for r, c in enumerate(active):
-            basis[r, c] = size // (c + 1)
-        inv = np.diag(1.0 / basis[np.arange(m), active])    # columns of the basis matrix are patterns
-        x = inv @ demand[active]
-        for rounds in range(max_rounds):
-            if rounds % 200 == 199:                         # renew the inverse: no drift of rounding
-                inv = np.linalg.inv(basis[:, active].T.astype(float))
-                x = inv @ demand[active]
-            dual = inv.sum(axis=0)
-            price = np.zeros(size)
-            price[active] = dual
-            value, pattern = _knapsack(price, demand, size)
-            if value <= 1 + 1e-7:
-                break
-            d = inv @ pattern[active]
-            ok = d > 1e-9
-            if not ok.any():
-                break
-            ratio = np.full(m, np.inf)
-            ratio[ok] = np.maximum(x[ok], 0) / d[ok]
-            r = int(ratio.argmin())
-            x = x - ratio[r] * d
-            x[r] = ratio[r]
-            row = inv[r] / d[r]
-            inv = inv - np.outer(d, row)
-            inv[r] = row
-            basis[r] = pattern
-        for r in np.argsort(-x):
-            times = int(np.floor(x[r] + 1e-9))
-            if times > 0:
-                p = basis[r]
-                use = p > 0
-                times = min(times, int((left[use] // p[use]).min()))
-                if times > 0:
-                    plan.append((times, p.copy()))
-                    left = left - times * p
-    # rest: first-fit decreasing, whole runs of equal sequences at a time
+    for c in range(1, size + 1):
+        best[c] = best[c - 1]
+        k = upto[c]
+        if k:
+            v = best[c - classes[:k]] + worth[:k]
+            i = v.argmax()
+            if v[i] > best[c]:
+                best[c], last[c] = v[i], classes[i]
+    found = []
+    for k in classes[worth + best[size - classes] > 1 + GAP].tolist():
+        pattern, c = np.zeros(size, np.int64), size - k
+        pattern[k - 1] = 1
+        while c > 0:
+            if last[c]:
+                pattern[last[c] - 1] += 1
+                c -= int(last[c])
+            else:
+                c -= 1
+        found.append(pattern)
+    return float(best[size]), found
+
+
+def first_fit(left: np.ndarray, size: int) -> list[tuple[int, np.ndarray]]:
+    """First-fit decreasing over a histogram, whole runs of equal sequences at a time."""
+    plan, left = [], left.copy()
     while left.any():
         p, room = np.zeros(size, np.int64), size
         for c in np.flatnonzero(left)[::-1]:
@@ -136,12 +100,64 @@ def solve(demand: np.ndarray, size: int, max_rounds: int = 3000) -> list[tuple[i
                 p[c] += k
                 room -= k * (c + 1)
         use = p > 0
-        times = max(1, int((left[use] // p[use]).min()))
+        times = int((left[use] // p[use]).min())
         plan.append((times, p))
         left = left - times * p
     return plan
 
 
+def solve(demand: np.ndarray, size: int, max_rounds: int = 200) -> list[tuple[int, np.ndarray]]:
+    """(times, pattern) pairs that cover ``demand`` (items of class 1..size).
+
+    A revised simplex holds the inverse of the basis. It enters the best pattern of the pool while one improves, then
+    the knapsack adds new ones, until even the best of all patterns is within ``GAP``."""
+    left = demand.astype(np.int64).copy()
+    greedy, plan = first_fit(left, size), []
+    active = np.flatnonzero(demand)
+    if len(active):
+        m = len(active)
+        basis = np.zeros((m, size), np.int64)
+        basis[np.arange(m), active] = size // (active + 1)
+        inv = np.diag(1.0 / basis[np.arange(m), active])    # columns of the basis matrix are patterns
+        x = inv @ demand[active]
+        pool = np.array([p for _, p in greedy])
+        for _ in range(max_rounds):
+            for turn in range(20 * m):
+                value = pool[:, active] @ inv.sum(axis=0)
+                k = int(value.argmax())
+                if value[k] <= 1 + GAP / 2:
+                    break
+                d = inv @ pool[k][active]
+                ok = d > 1e-9
+                ratio = np.full(m, np.inf)
+                ratio[ok] = np.maximum(x[ok], 0) / d[ok]
+                r = int(ratio.argmin())
+                x = x - ratio[r] * d
+                x[r] = ratio[r]
+                row = inv[r] / d[r]
+                inv = inv - np.outer(d, row)
+                inv[r] = row
+                basis[r] = pool[k]
+                if turn % 100 == 99:                        # renew the inverse: no drift of rounding
+                    inv = np.linalg.inv(basis[:, active].T.astype(float))
+                    x = inv @ demand[active]
+            price = np.zeros(size)
+            price[active] = inv.sum(axis=0)
+            best, found = _knapsack(price, size)
+            if best <= 1 + GAP or not found:                # the optimum is at least sum(x) / best
+                break
+            pool = np.concatenate([basis, np.array(found)])
+        for r in np.argsort(-x):
+            p = basis[r]
+            use = p > 0
+            times = min(int(np.floor(x[r] + 1e-9)), int((left[use] // p[use]).min()))
+            if times > 0:
+                plan.append((times, p.copy()))
+                left = left - times * p
+    plan += first_fit(left, size)
+    return min(plan, greedy, key=lambda p: sum(t for t, _ in p))
+
+
 def plan_rows(plan: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, int, int, int]]:
     """(class, first rank, end rank, items per sequence, first sequence, first slot) of each pattern and class."""
     rows, used, seq = [], {}, 0
