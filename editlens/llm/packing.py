@@ -119,10 +119,12 @@ def solve(demand: np.ndarray, size: int, max_rounds: int = 200) -> list[tuple[in
         basis = np.zeros((m, size), np.int64)
         basis[np.arange(m), active] = size // (active + 1)
         inv = np.diag(1.0 / basis[np.arange(m), active])    # columns of the basis matrix are patterns
-        x = inv @ demand[active]
-        pool = np.array([p for _, p in greedy])
+        # demands apart by a trace: no ties, so the simplex can't go round in circles
+        need = demand[active] * (1 + 1e-6 * np.random.default_rng(0).random(m))
+        x = inv @ need
+        pool, total = np.array([p for _, p in greedy], float), np.inf
         for _ in range(max_rounds):
-            for turn in range(20 * m):
+            for turn in range(4 * m + 100):
                 value = pool[:, active] @ inv.sum(axis=0)
                 k = int(value.argmax())
                 if value[k] <= 1 + GAP / 2:
@@ -140,13 +142,16 @@ def solve(demand: np.ndarray, size: int, max_rounds: int = 200) -> list[tuple[in
                 basis[r] = pool[k]
                 if turn % 100 == 99:                        # renew the inverse: no drift of rounding
                     inv = np.linalg.inv(basis[:, active].T.astype(float))
-                    x = inv @ demand[active]
+                    x = inv @ need
+            if x.sum() > total * (1 - 1e-5):                # a round that gained nothing
+                break
+            total = x.sum()
             price = np.zeros(size)
             price[active] = inv.sum(axis=0)
             best, found = _knapsack(price, size)
             if best <= 1 + GAP or not found:                # the optimum is at least sum(x) / best
                 break
-            pool = np.concatenate([basis, np.array(found)])
+            pool = np.concatenate([basis, np.array(found)]).astype(float)
         for r in np.argsort(-x):
             p = basis[r]
             use = p > 0

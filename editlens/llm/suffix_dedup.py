@@ -6,7 +6,8 @@ of them is one row, and only rows go through shuffles. Runs are counted by name
 (a map-side count: a passage in a third of all documents is no hot task). Windows of runs whose bytes occur twice are
 repeated as they are. Where one name has runs of different bytes, or a run holds its smallest gram twice, one run of each
 content goes to a shard (chosen by name), and the shard's suffixes are sorted by external induced sorting with
-common prefixes: a window whose prefix with its neighbour reaches ``width`` is repeated.
+common prefixes: a window whose prefix with its neighbour reaches ``width`` is repeated. Tables that grow with
+the documents are joined by shuffles at every size, never by a broadcast.
 
 Defined cases: null and empty texts have no bytes; matches never cross documents; rows that repeat an id and a text
 repeat each other; a null id is a document like others; extra columns pass through, result names are replaced; an empty
@@ -207,19 +208,19 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         F.min(F.struct("id", "th", "start", "n")).alias("one")), "suffix-bodies")
     names = written(bodies.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("any"))
                     .where("k > 1 or any").select("name"), "suffix-names")
-    sort = written(bodies.join(names, "name", "left_semi").select("one.id", "one.th", *content, "one.start", "one.n"), "suffix-sort")
+    sort = written(bodies.join(names.hint("merge"), "name", "left_semi").select("one.id", "one.th", *content, "one.start", "one.n"), "suffix-sort")
     n_bytes = sort.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
     per_doc = written(sort.groupBy("id", "th").agg(F.collect_list(F.struct(*content, "start", "n")).alias("runs")), "suffix-docs")
-    at = docs.alias("d").join(per_doc.alias("r"), F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.th") == F.col("r.th")))
+    at = docs.alias("d").join(per_doc.hint("merge").alias("r"), F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.th") == F.col("r.th")))
     cut = cut_runs(at.select("d.id", "d.th", "d.text", "r.runs"), width)
     shards = cut.repartition(max(1, -(-int(n_bytes) // SHARD_BYTES)), "name")
     some = sort_shards(shards, width, _local(shared_path(spark, "suffix-queues")), memory)
     # runs whose bytes occur more than once: all their windows
     twice = written(bodies.where("c > 1").select(*content), "suffix-twice")
-    whole = found.join(twice, content).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + width).alias("b"))
+    whole = found.join(twice.hint("merge"), content).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + width).alias("b"))
     spans = written(whole.union(some).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("__spans")), "suffix-spans")
     marked = (df.select(*cols, text).withColumn("__th", F.xxhash64(F.col(text))).alias("x")
-              .join(spans.alias("s"), F.col(f"x.{doc_id}").eqNullSafe(F.col("s.id")) & (F.col("x.__th") == F.col("s.th")), "left")
+              .join(spans.hint("merge").alias("s"), F.col(f"x.{doc_id}").eqNullSafe(F.col("s.id")) & (F.col("x.__th") == F.col("s.th")), "left")
               .select(*[F.col(f"x.{c}") for c in cols], F.col(f"x.{text}"), "__spans"))
     return cut_out(marked, text, width, with_text)
 
