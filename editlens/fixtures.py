@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import read_table, spread
+from .session import read_table
 
 KEY = ["sample_id", "index"]
 
@@ -85,7 +85,7 @@ FEATURE_SQL = """
 def features(lineitem: DataFrame) -> DataFrame:
     """fx_features: 14 change features per key (one partial+final hash aggregate)."""
     aggs = [F.expr(a.strip()) for a in _split_top_level(FEATURE_SQL)]
-    li = spread(lineitem, "l_orderkey", "l_linenumber")
+    li = lineitem
     return (li.groupBy(F.col("l_orderkey").alias("sample_id"),
                        F.col("l_linenumber").cast("bigint").alias("index"))
             .agg(*aggs))

@@ -4,25 +4,26 @@ LCS has no JVM built-in; it runs as an Arrow pandas UDF whose per-row work is an
 O(n*m) numpy DP (one vector step per token, running maximum along the row).
 
 Word-level Levenshtein uses no UDF: each row's distinct tokens form a small
-vocabulary, every token becomes one BMP code point (from U+4E00 upward), and the
-built-in ``levenshtein`` runs on the two encoded strings. Safe for up to 35,000
-distinct tokens per pair (below the surrogate range). Functions return Spark SQL
+vocabulary, every token becomes one code point (from U+4E00 upward, past the
+surrogates), and the built-in ``levenshtein`` runs on the two encoded strings: up to
+1,092,096 distinct tokens per pair, more fail with an error. Functions return Spark SQL
 expression text over column names (see ``ngrams``); ``*_col`` wrap it as Columns.
 """
 
-import numpy as np
 import pandas as pd
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BASE_CODE_POINT = 19968          # U+4E00
-MAX_VOCAB = 0xD800 - BASE_CODE_POINT
+SURROGATES = (0xD800, 0x800)      # first, and how many: code points that stand for no character
 
 
 def _encode(tokens: str, vocab: str) -> str:
-    return (f"concat_ws('', transform({tokens}, t -> decode(unhex(lpad(hex({BASE_CODE_POINT} + "
-            f"array_position({vocab}, t)), 4, '0')), 'UTF-16BE')))")
+    first, n = SURROGATES
+    at = f"({BASE_CODE_POINT} + array_position({vocab}, t))"
+    return (f"concat_ws('', transform({tokens}, t -> decode(unhex(lpad(hex({at} + if({at} >= {first}, {n}, 0)), 8, '0')), "
+            f"'UTF-32')))")
 
 
 def word_edit_distance(a: str, b: str, vocab: str | None = None) -> str:
@@ -45,21 +46,21 @@ def lcs_length(a: str, b: str) -> str:
 
 
 def _lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Bit-parallel LCS: one integer holds a bit for each token of ``b``, one step for each token of ``a``."""
     out = []
     for x, y in zip(a, b):
-        x = list(x) if x is not None else []
-        y = list(y) if y is not None else []
-        if not x or not y:
+        if x is None or y is None or not len(x) or not len(y):
             out.append(0)
             continue
-        ids: dict = {}
-        yi = np.array([ids.setdefault(t, len(ids)) for t in y])
-        row = np.zeros(len(y) + 1, dtype=np.int64)
+        places: dict = {}
+        for i, t in enumerate(y):
+            places[t] = places.get(t, 0) | 1 << i
+        full = (1 << len(y)) - 1
+        open_ = full
         for t in x:
-            m = (yi == ids.get(t, -1)).astype(np.int64)
-            c = np.maximum(row[1:], row[:-1] + m)
-            row = np.concatenate(([0], np.maximum.accumulate(c)))
-        out.append(int(row[-1]))
+            hit = open_ & places.get(t, 0)
+            open_ = ((open_ + hit) | (open_ - hit)) & full
+        out.append(len(y) - open_.bit_count())
     return pd.Series(out, dtype="int64")
 
 

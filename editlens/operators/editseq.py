@@ -7,7 +7,6 @@ connector merge (W11) needs a running group id, a window per edit pair whose siz
 is bounded by the method length.
 """
 
-import difflib
 
 import pandas as pd
 
@@ -112,54 +111,6 @@ def cc_delta(src, dst) -> F.Column:
 
 
 # ---- line diff ---------------------------------------------------------------
-def _ndiff_batch(src: pd.Series, dst: pd.Series) -> pd.DataFrame:
-    """C13 / W10 (faithful): ``difflib.ndiff`` of the two texts' lines, ``?`` hints
-    dropped; counts of ``+``/``-`` lines, NML = max of both, changed-line chunks,
-    the diff block and the added / removed text. Arrow-batched; per-row work is the
-    stdlib diff of one method pair."""
-    out = []
-    for a, b in zip(src, dst):
-        a, b = (a or ""), (b or "")
-        diff = [ln for ln in difflib.ndiff(a.splitlines(), b.splitlines()) if not ln.startswith("?")]
-        add = [ln[2:] for ln in diff if ln.startswith("+ ")]
-        sub = [ln[2:] for ln in diff if ln.startswith("- ")]
-        chunks, inside = 0, False
-        for ln in diff:
-            if ln.startswith("+ ") or ln.startswith("- "):
-                if not inside:
-                    chunks, inside = chunks + 1, True
-            else:
-                inside = False
-        out.append((len(add), len(sub), max(len(add), len(sub)), chunks,
-                    "".join(ln + "\n" for ln in diff), "\n".join(add), "\n".join(sub)))
-    return pd.DataFrame(out, columns=["added", "removed", "nml", "chunks", "diff", "add_text", "sub_text"])
-
-
-def _ratio_batch(add_a: pd.Series, sub_a: pd.Series, add_b: pd.Series, sub_b: pd.Series) -> pd.Series:
-    """C14 (faithful): Ratcliff-Obershelp ratio of added texts + ratio of removed texts."""
-    return pd.Series([difflib.SequenceMatcher(None, w or "", x or "").ratio()
-                      + difflib.SequenceMatcher(None, y or "", z or "").ratio()
-                      for w, y, x, z in zip(add_a, sub_a, add_b, sub_b)])
-
-
-_UDFS: dict = {}
-_DIFF_TYPE = "struct<added:int,removed:int,nml:int,chunks:int,diff:string,add_text:string,sub_text:string>"
-
-
-def line_diff(src, dst) -> F.Column:
-    """C13 / W10 faithful line diff as an Arrow pandas UDF (see ``_ndiff_batch``)."""
-    if "ndiff" not in _UDFS:
-        _UDFS["ndiff"] = F.pandas_udf(_ndiff_batch, _DIFF_TYPE)
-    return _UDFS["ndiff"](src, dst)
-
-
-def diff_similarity(add_a, sub_a, add_b, sub_b) -> F.Column:
-    """C14 faithful diff similarity as an Arrow pandas UDF (see ``_ratio_batch``)."""
-    if "ratio" not in _UDFS:
-        _UDFS["ratio"] = F.pandas_udf(_ratio_batch, "double")
-    return _UDFS["ratio"](add_a, sub_a, add_b, sub_b)
-
-
 def line_multiset_diff(texts: DataFrame, key=KEY) -> DataFrame:
     """C13b (scalable sibling): lines exploded, per (key, line) count in old and new;
     added = sum(max(new-old, 0)), removed = sum(max(old-new, 0)), NML = max."""

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..functions import ngrams as N
 from ..functions import tokens as T
-from ..session import spread
 
 
 def _lower_all(arr: Column) -> Column:
@@ -33,7 +32,7 @@ def eval_rows(df: DataFrame, ref_tokens: str, src_tokens: str, pred_text: str, r
     """
     low = _lower_all if ignore_case else (lambda a: a)
     k = [f"`{c}`" for c in key]
-    d = spread(df, *key).select(*key, F.col(level).cast("int").alias("level"),
+    d = df.hint("rebalance").select(*key, F.col(level).cast("int").alias("level"),
                   low(T.nonempty(F.col(ref_tokens))).alias("ref_l"),
                   low(T.nonempty(F.col(src_tokens))).alias("src_l"),
                   low(T.tokenize_with_con(F.col(pred_text))).alias("pred_l"),

@@ -28,17 +28,22 @@ def dedup_by(df: DataFrame, key: list[str], order_col: str, keep: str = "last")
     return df.groupBy(*key).agg(packed).select(*key, "__r.*")
 
 
-def strict_lookup(left: DataFrame, right: DataFrame, line_col: str, key=KEY) -> tuple[DataFrame, DataFrame]:
-    """Inner lookup of every left row in ``right``; duplicate right keys: the
-    last line wins. Returns (joined, missing) -- ``missing`` must be empty (the
-    reference raises on a missing key); callers check it with ``isEmpty()``."""
-    r = dedup_by(right, list(key), line_col, "last")
-    return left.join(r, list(key), "inner"), left.join(r.select(*key), list(key), "left_anti")
+def _all_found(left: DataFrame, right: DataFrame, key) -> DataFrame:
+    """Left join in which a left row without a match is an error."""
+    message = F.concat(F.lit("no match for key "), F.to_json(F.struct(*key)))
+    hit = F.coalesce(F.col("__hit"), F.raise_error(message).cast("boolean"))
+    return left.join(right.withColumn("__hit", F.lit(True)), list(key), "left").where(hit).drop("__hit")
+
+
+def strict_lookup(left: DataFrame, right: DataFrame, line_col: str, key=KEY) -> DataFrame:
+    """Lookup of every left row in ``right``; duplicate right keys: the last line
+    wins. A missing key raises."""
+    return _all_found(left, dedup_by(right, list(key), line_col, "last"), key)
 
 
 def first_match(left: DataFrame, right: DataFrame, line_col: str, key=KEY) -> DataFrame:
-    """First matching right row per key (``values[0]``), inner join."""
-    return left.join(dedup_by(right, list(key), line_col, "first"), list(key), "inner")
+    """First matching right row per key (``values[0]``). A missing key raises."""
+    return _all_found(left, dedup_by(right, list(key), line_col, "first"), key)
 
 
 def inner_with_skips(left: DataFrame, right: DataFrame, key=KEY) -> tuple[DataFrame, DataFrame]:

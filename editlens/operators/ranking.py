@@ -97,13 +97,19 @@ def score_table(df: DataFrame, score: str, part_cols: list[str] | tuple = (),
 
 def attach_by_score(df: DataFrame, table: DataFrame, score: str,
                     part_cols: list[str] | tuple = ()) -> DataFrame:
-    """Join per-score values back to rows; hot scores take a bounded broadcast path."""
+    """Join per-score values back to rows; hot scores take a bounded broadcast path. A row
+    without a score keeps its place in the table, with null values."""
     keys = [*part_cols, score]
+    unranked = df.where(F.col(score).isNull())
+    for f in table.schema.fields:
+        if f.name not in keys:
+            unranked = unranked.withColumn(f.name, F.lit(None).cast(f.dataType))
+    df = df.where(F.col(score).isNotNull())
     hot = table.where(F.col("cnt") * HOT_SPLIT > F.col("n"))      # <= HOT_SPLIT rows
     cold = table.where(F.col("cnt") * HOT_SPLIT <= F.col("n"))
     hot_part = df.join(F.broadcast(hot), keys)
     cold_rows = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return hot_part.unionByName(cold_rows.join(cold, keys))
+    return hot_part.unionByName(cold_rows.join(cold, keys)).unionByName(unranked)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -117,7 +123,7 @@ def rank_min(df: DataFrame, score: str, ascending: bool = False, out: str = "ran
     """W1 rank(method='min'): 1 + number of rows with a strictly better score.
     The input is read four times (scores, hot, cold, anti) and is materialized once."""
     df = materialize(df)
-    t = score_table(df, score, part_cols, n_buckets)
+    t = score_table(df.where(F.col(score).isNotNull()), score, part_cols, n_buckets)
     if ascending:
         t = t.withColumn("gt", F.col("n") - F.col("gt") - F.col("cnt"))
     t = t.select(*part_cols, score, "cnt", "n", (F.col("gt") + 1).cast("int").alias(out))
@@ -212,7 +218,7 @@ def rank_quantile_threshold(df: DataFrame, score: str, p: float, top: bool = Tru
     the distinct-score table without materialising the rank column.
     """
     q = p if top else 1.0 - p
-    t = score_table(df.select(score), score, (), n_buckets)
+    t = score_table(df.select(score).where(F.col(score).isNotNull()), score, (), n_buckets)
     h = (F.col("n") - 1) * F.lit(q)
     lo = F.floor(h)
     hi = F.least(lo + 1, F.col("n") - 1)

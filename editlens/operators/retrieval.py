@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 # Demonstrations per predicted level (easy, normal, complex).
 K_BY_LEVEL = {0: 11, 1: 7, 2: 3}
 ROUND_STEP = 20          # widening step of the per-side top-k
-MAX_K = 10020            # the widening loop stops once k exceeds 10000
 
 
 def l2_normalize(v) -> F.Column:
@@ -47,50 +46,50 @@ def k_by_level(level, sample_k: int = -1) -> F.Column:
     return F.when(lv == 0, K_BY_LEVEL[0]).when(lv == 1, K_BY_LEVEL[1]).otherwise(K_BY_LEVEL[2])
 
 
-def _topk_row(scores: np.ndarray, cids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the top-``k`` by (score desc, id asc); O(n) selection, then a sort
-    of only the selected rows. Ties at the k-th score are cut by smaller id."""
-    n = len(scores)
+def _topk(scores: np.ndarray, cids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the top-``k`` of every row by (score desc, id asc), for a whole block at once:
+    the k-th score of each row bounds what is sorted, ties at it are cut by smaller id."""
+    n = scores.shape[1]
     if k < n:
-        t = np.partition(scores, n - k)[n - k]            # k-th largest score
-        above = np.flatnonzero(scores > t)
-        at = np.flatnonzero(scores == t)
-        at = at[np.argsort(cids[at], kind="stable")][: k - len(above)]
-        sel = np.concatenate([above, at])
+        kth = np.partition(scores, n - k, axis=1)[:, n - k]
+        row, col = np.nonzero(scores >= kth[:, None])
     else:
-        sel = np.arange(n)
-    return sel[np.lexsort((cids[sel], -scores[sel]))]
+        row, col = (x.ravel() for x in np.indices(scores.shape))
+    by = np.lexsort((cids[col], -scores[row, col], row))
+    row, col = row[by], col[by]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
 
 
 def _local_topk(k: int, digits: int):
     def fn(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["qid", "cand_id", "side", "score"]
-        if cpdf.empty or qpdf.empty:
-            return pd.DataFrame({c: [] for c in cols}).astype({"qid": "int64", "cand_id": "int64",
-                                                               "side": "object", "score": "float64"})
-        cids = cpdf["cand_id"].to_numpy(dtype=np.int64)
-        qids = qpdf["qid"].to_numpy(dtype=np.int64)
-        out = []
-        for side in ("old", "new"):
-            cm = np.vstack(cpdf[f"{side}_vec"].to_numpy())
-            qm = np.vstack(qpdf[f"{side}_vec"].to_numpy())
-            s = np.round(qm @ cm.T, digits)                    # one block: rows = queries
-            for qi, qid in enumerate(qids):
-                order = _topk_row(s[qi], cids, k)
-                out.append(pd.DataFrame({"qid": qid, "cand_id": cids[order], "side": side,
-                                         "score": s[qi][order]}))
-        return pd.concat(out, ignore_index=True)
+        parts = {"qid": [], "cand_id": [], "side": [], "score": []}
+        if not cpdf.empty and not qpdf.empty:
+            cids, qids = (d[c].to_numpy(dtype=np.int64) for d, c in ((cpdf, "cand_id"), (qpdf, "qid")))
+            for side in ("old", "new"):
+                cm, qm = (np.vstack(d[f"{side}_vec"].to_numpy()) for d in (cpdf, qpdf))
+                s = np.round(qm @ cm.T, digits)                    # one block: rows = queries
+                row, col = _topk(s, cids, k)
+                for name, v in zip(parts, (qids[row], cids[col], np.full(len(row), side, object), s[row, col])):
+                    parts[name].append(v)
+        empty = {"qid": np.int64, "cand_id": np.int64, "side": object, "score": np.float64}
+        return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, empty[c]) for c, v in parts.items()})
     return fn
 
 
 def block_topk(corpus: DataFrame, queries: DataFrame, k: int, part_col: str = "level",
-               corpus_blocks: int = 8, query_blocks: int = 1, digits: int = 9) -> DataFrame:
+               corpus_blocks: int | None = None, query_blocks: int | None = None, digits: int = 9) -> DataFrame:
     """J9 + W5: per query and side (old / new vector) the top-``k`` candidates of the
     query's partition by inner product, with 1-based ``rank`` (ties: smaller id first).
 
     corpus: (cand_id, part_col, old_vec, new_vec); queries: (qid, part_col, old_vec, new_vec).
-    Vectors must be L2-normalised (C18) so the inner product is the cosine.
+    Vectors must be L2-normalised (C18) so the inner product is the cosine. Block counts
+    follow from the row counts unless given.
     """
+    if corpus_blocks is None:
+        corpus_blocks = n_blocks(corpus.groupBy(part_col).count().agg(F.max("count")).first()[0] or 1)
+    if query_blocks is None:
+        query_blocks = n_blocks(queries.count(), QUERY_BLOCK_ROWS)
     # fresh aliases: corpus and queries usually come from one table (self-join safety)
     c = (corpus.select(*[F.col(x).alias(x) for x in ("cand_id", part_col, "old_vec", "new_vec")])
          .withColumn("cb", F.pmod(F.xxhash64("cand_id"), F.lit(corpus_blocks)))
@@ -155,20 +154,13 @@ def jaccard(a, b) -> F.Column:
     return F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(F.lit(0.0))
 
 
-SMALL_LEVEL = 2048       # levels this small are ranked whole in one round
-
-
 def widening_schedule(max_needed: int) -> list[int]:
-    """k values of the doubling search that replaces the +20 loop (20, 40, 80, ...);
-    a small corpus is ranked whole at once (fewer jobs, same result)."""
-    if max_needed <= SMALL_LEVEL:
-        return [max(max_needed, ROUND_STEP)]
-    ks, k = [], ROUND_STEP
-    while True:
-        ks.append(min(k, MAX_K))
-        if k >= MAX_K or k >= max_needed:
-            return ks
-        k *= 2
+    """k values of the doubling search that replaces the +20 loop (20, 40, 80, ...), up to
+    the first that covers the largest level: a query stops early with K survivors, or when its level ends."""
+    ks = [ROUND_STEP]
+    while ks[-1] < max_needed:
+        ks.append(2 * ks[-1])
+    return ks
 
 
 CORPUS_BLOCK_ROWS = 20_000   # a cell multiplies <= 20k candidates ...
@@ -176,7 +168,7 @@ QUERY_BLOCK_ROWS = 1_000     # ... by <= 1k queries: a 160 MB score block at mos
 
 
 def n_blocks(rows: int, target_rows: int = CORPUS_BLOCK_ROWS) -> int:
-    return max(1, min(4096, math.ceil(rows / target_rows)))
+    return max(1, math.ceil(rows / target_rows))
 
 
 INF_ROUND = 1 << 30

@@ -8,8 +8,7 @@ from ...fixtures import KEY, Tables, edit_seq, samples
 from ...functions import tokens as T
 from ...operators import editseq as X
 from ...oracle import with_fx
-from ...registry import register
-from ...session import spread
+from ...registry import ORACLE, register
 
 K = 'sample_id, "index"'
 PUNCT_SQL = X.PUNCTUATION.replace("'", "''")
@@ -90,7 +89,7 @@ def extract_features(seq):
 
     The long edit sequence feeds about ten aggregates and joins; it is checkpointed
     once (shared folder) so each of them scans a file instead of re-deriving it."""
-    seq = spread(seq, *KEY).checkpoint()
+    seq = seq.checkpoint()
     desc = _desc(seq)
     # the description sequence is the same rows under a shifted key, so its merge
     # is the code merge shifted; the merge is read three times and checkpointed
@@ -179,23 +178,9 @@ def c13b_line_multiset_diff(spark, sf_dir):
     return X.line_multiset_diff(X.method_texts(_seq(spark, sf_dir)))
 
 
-@register("c13_line_diff")
-def c13_line_diff(spark, sf_dir):
-    """C13 + W10 faithful (difflib in an Arrow UDF): rows-only check."""
-    t = X.method_texts(_seq(spark, sf_dir))
-    return t.select(*KEY, X.line_diff("src_method", "dst_method").alias("d")).select(*KEY, "d.*")
-
-
-@register("e6_features_with_nml")
+@register("e6_features_with_nml", f"""select e.*, n.NML from ({_E6}) e
+  join (select sample_id, "index", NML from ({ORACLE["c13b_line_multiset_diff"]})) n using (sample_id, "index")""")
 def e6_features_with_nml(spark, sf_dir):
-    """E6 plus NML from the faithful line diff (rows-only: DuckDB has no ndiff)."""
+    """E6 plus NML from the line multiset diff."""
     seq = _seq(spark, sf_dir)
-    nml = X.method_texts(seq).select(*KEY, X.line_diff("src_method", "dst_method")["nml"].alias("NML"))
-    return extract_features(seq).join(nml, KEY)
-
-
-@register("w10_line_chunks")
-def w10_line_chunks(spark, sf_dir):
-    """Changed-line chunks of the ndiff output (``?`` hints ignored): rows-only."""
-    t = X.method_texts(_seq(spark, sf_dir))
-    return t.select(*KEY, X.line_diff("src_method", "dst_method")["chunks"].alias("chunks"))
+    return extract_features(seq).join(X.line_multiset_diff(X.method_texts(seq)).select(*KEY, "NML"), KEY)

@@ -162,8 +162,7 @@ def j3_strict_lookup(spark, sf_dir):
     ch = _changes(spark, sf_dir)
     preds = ch.where(F.col("event_id") % 3 == 0).select(*KEY, F.col("event_id").alias("pred_event"))
     refs = ch.select(*KEY, "event_id", "change_type")
-    joined, _missing = J.strict_lookup(preds, refs, "event_id")
-    return joined.select(*KEY, "pred_event", F.col("event_id").alias("ref_event"), "change_type")
+    return J.strict_lookup(preds, refs, "event_id").select(*KEY, "pred_event", F.col("event_id").alias("ref_event"), "change_type")
 
 
 @register("j4_first_match", with_fx("fx_changes", f"""select p.sample_id, p."index", p.pred_event,

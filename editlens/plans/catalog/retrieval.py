@@ -119,31 +119,19 @@ def _dice(a: str, b: str) -> F.Column:
     return F.expr(f"if({tot(a)} + {tot(b)} = 0, 1.0D, 2.0D * {inter} / ({tot(a)} + {tot(b)}))")
 
 
-def _retrieval(spark, sf_dir, faithful: bool = False):
+def _retrieval(spark, sf_dir):
     t, v, corpus, queries, payload = _inputs(spark, sf_dir)
     surv = rank_candidates(corpus, queries, payload)
     types = _user_types(t)
     keys = v.select(F.col("vec_id").alias("cand_id"), "sample_id", "index")
-    if faithful:
-        tx = X.method_texts(edit_seq(samples(t.conversations)))
-        d = tx.select("sample_id", "index", X.line_diff("src_method", "dst_method").alias("d"))
-        d = d.select("sample_id", "index", "d.add_text", "d.sub_text")
-        feats = (keys.join(d, ["sample_id", "index"], "left")
-                 .join(types, F.col("cand_id") % 150 == F.col("usr"), "left").drop("usr", "sample_id", "index"))
-        qf = (v.where(F.col("is_query")).select(F.col("vec_id").alias("qid"), "sample_id", "index")
-              .join(d.withColumnsRenamed({"add_text": "q_add", "sub_text": "q_sub"}), ["sample_id", "index"], "left")
-              .join(types.withColumnRenamed("types", "q_types"), F.col("qid") % 150 == F.col("usr"), "left")
-              .drop("usr", "sample_id", "index"))
-        diff_sim = X.diff_similarity(F.col("q_add"), F.col("q_sub"), F.col("add_text"), F.col("sub_text"))
-    else:
-        tm = _token_maps(t)
-        feats = (keys.join(tm, ["sample_id", "index"], "left")
-                 .join(types, F.col("cand_id") % 150 == F.col("usr"), "left").drop("usr", "sample_id", "index"))
-        qf = (v.where(F.col("is_query")).select(F.col("vec_id").alias("qid"), "sample_id", "index")
-              .join(tm.withColumnsRenamed({"am": "q_am", "rm": "q_rm"}), ["sample_id", "index"], "left")
-              .join(types.withColumnRenamed("types", "q_types"), F.col("qid") % 150 == F.col("usr"), "left")
-              .drop("usr", "sample_id", "index"))
-        diff_sim = _dice("q_am", "am") + _dice("q_rm", "rm")
+    tm = _token_maps(t)
+    feats = (keys.join(tm, ["sample_id", "index"], "left")
+             .join(types, F.col("cand_id") % 150 == F.col("usr"), "left").drop("usr", "sample_id", "index"))
+    qf = (v.where(F.col("is_query")).select(F.col("vec_id").alias("qid"), "sample_id", "index")
+          .join(tm.withColumnsRenamed({"am": "q_am", "rm": "q_rm"}), ["sample_id", "index"], "left")
+          .join(types.withColumnRenamed("types", "q_types"), F.col("qid") % 150 == F.col("usr"), "left")
+          .drop("usr", "sample_id", "index"))
+    diff_sim = _dice("q_am", "am") + _dice("q_rm", "rm")
     qf = qf.join(queries.select("qid", "K"), "qid")
     type_sim = RT.jaccard(F.coalesce("q_types", F.array().cast("array<string>")),
                           F.coalesce("types", F.array().cast("array<string>")))
@@ -158,18 +146,12 @@ def e2_retrieval(spark, sf_dir):
     return _retrieval(spark, sf_dir)
 
 
-@register("e2_retrieval_difflib")
-def e2_retrieval_difflib(spark, sf_dir):
-    """E2 with the faithful difflib diff similarity (C14, Arrow UDF on the K pairs)."""
-    return _retrieval(spark, sf_dir, faithful=True)
-
-
 @register("j9_block_topk", with_fx("fx_vectors", """select qid, cand_id, side, score, cast(rank as int) as rank from (
   select qid, cand_id, 'old' as side, s_old as score, r_old as rank from rk union all
   select qid, cand_id, 'new', s_new, r_new from rk) where rank <= 20""", _BASE))
 def j9_block_topk(spark, sf_dir):
     _, _, corpus, queries, _ = _inputs(spark, sf_dir)
-    return RT.block_topk(corpus, queries, 20, "level", corpus_blocks=4, query_blocks=2) \
+    return RT.block_topk(corpus, queries, 20, "level") \
         .select("qid", "cand_id", "side", "score", F.col("rank").cast("int"))
 
 
@@ -177,7 +159,7 @@ def j9_block_topk(spark, sf_dir):
   where r_old <= 20 and r_new <= 20""", _BASE))
 def j8_rank_intersection(spark, sf_dir):
     _, _, corpus, queries, _ = _inputs(spark, sf_dir)
-    return RT.intersect_ranks(RT.block_topk(corpus, queries, 20, "level", corpus_blocks=4))
+    return RT.intersect_ranks(RT.block_topk(corpus, queries, 20, "level"))
 
 
 @register("w8_widening_survivors", with_fx("fx_vectors", "select qid, cand_id, sample_id, text, score from surv", _BASE))
@@ -235,8 +217,8 @@ w7f as (select * from (select *, row_number() over (partition by qid, text order
 
 def _all_pairs(spark, sf_dir):
     _, _, corpus, queries, payload = _inputs(spark, sf_dir)
-    # the final widening round: every candidate up to the reference's cap of 10020
-    k = min(corpus.count(), RT.MAX_K)
+    # the final widening round: every candidate of the level
+    k = corpus.count()
     return RT.intersect_ranks(RT.block_topk(corpus, queries, k, "level")).join(payload, "cand_id")
 
 
@@ -273,20 +255,3 @@ def c14b_token_dice(spark, sf_dir):
          .join(km.withColumnsRenamed({"vid": "qid", "am": "q_am", "rm": "q_rm"}), "qid", "left")
          .join(km.withColumnRenamed("vid", "cand_id"), "cand_id", "left"))
     return j.select("qid", "cand_id", (_dice("q_am", "am") + _dice("q_rm", "rm")).alias("diff_sim"))
-
-
-@register("c14_diff_similarity")
-def c14_diff_similarity(spark, sf_dir):
-    """C14 faithful (difflib ratios in an Arrow UDF) on the retrieved pairs: rows-only."""
-    t, v, corpus, queries, payload = _inputs(spark, sf_dir)
-    surv = rank_candidates(corpus, queries, payload)
-    tx = X.method_texts(edit_seq(samples(t.conversations)))
-    d = tx.select("sample_id", "index", X.line_diff("src_method", "dst_method").alias("d"))
-    d = d.select("sample_id", "index", "d.add_text", "d.sub_text")
-    kd = v.select(F.col("vec_id").alias("vid"), "sample_id", "index").join(d, ["sample_id", "index"], "left") \
-        .drop("sample_id", "index")
-    j = (surv.select("qid", "cand_id")
-         .join(kd.withColumnsRenamed({"vid": "qid", "add_text": "q_add", "sub_text": "q_sub"}), "qid", "left")
-         .join(kd.withColumnRenamed("vid", "cand_id"), "cand_id", "left"))
-    return j.select("qid", "cand_id", X.diff_similarity(F.col("q_add"), F.col("q_sub"), F.col("add_text"),
-                                                        F.col("sub_text")).alias("diff_sim"))

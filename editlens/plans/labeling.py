@@ -13,8 +13,6 @@ All labels come from boolean flags computed on the same rows (W3 via
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,29 +61,7 @@ def complexity_labels(features: DataFrame, percent: float = 0.5, dims_percent: f
     return d.select(*cols)
 
 
-_MATERIALIZED: dict = {}
-
-
-def _signature(sf_dir: str, table: str = "lineitem") -> str:
-    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
-    try:
-        st = os.stat(path)
-        return f"{st.st_size}:{st.st_mtime_ns}"
-    except OSError:
-        return ""
-
-
 def labels_table(spark, sf_dir: str, percent: float = 0.5, dims_percent: float = 0.2) -> DataFrame:
-    """E1's output as a table: computed once per session and input version, written
-    to the shared folder and read back by the downstream jobs (E4, E5, E7, A17,
-    M*), the way the reference's later scripts read the labelling CSV."""
+    """E1's output for the downstream jobs (E4, E5, E7, A17, M*), from the input as it is now."""
     from ..fixtures import Tables, features
-    from ..sources.io import scratch_path
-    key = (spark.conf.get("spark.app.id", ""), os.path.abspath(sf_dir), percent, dims_percent, _signature(sf_dir))
-    path = _MATERIALIZED.get(key)
-    if path is None:
-        path = scratch_path(spark, "e1_labels")
-        complexity_labels(features(Tables(spark, sf_dir).lineitem), percent, dims_percent) \
-            .write.mode("overwrite").parquet(path)
-        _MATERIALIZED[key] = path
-    return spark.read.parquet(path)
+    return complexity_labels(features(Tables(spark, sf_dir).lineitem), percent, dims_percent)

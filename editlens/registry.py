@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import ensure_checkpoint_dir
+from .session import ensure_checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +25,7 @@ def register(name: str, oracle: str | None = None):
         @functools.wraps(fn)
         def job(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_checkpoint_dir(spark)        # the session's shared folder, or a local one in tests
+            ship_package(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = job

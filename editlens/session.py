@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -50,12 +51,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:                       # Spark Connect: the server's setting applies
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from None
+        return path
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if sc.master.split("[")[0] != "local":      # executors would not see a folder of the driver
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="editlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
@@ -65,15 +71,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df, *keys):
-    """Hash-repartition to the default parallelism only when ``df`` has fewer
-    partitions than that (a small input file read as one split). Large inputs
-    already have enough splits and are left alone, so no shuffle is added there.
-    Used before CPU-heavy per-row expressions."""
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session: functions that run in Python workers import
+    it by name, wherever the driver was started and whether or not it is installed there."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:                       # Spark Connect
+        app = spark.session_id
+    if app in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="editlens-package-")       # read by the driver's file server only
+    path = os.path.join(folder, "editlens_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(top, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
     try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:                       # no RDD view (e.g. Spark Connect): leave as is
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+        spark.sparkContext.addPyFile(path)
+    except Exception:                       # Spark Connect
+        spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(app)

@@ -16,11 +16,14 @@ def _rows(df):
 
 def test_doubling_equals_single_round(spark, monkeypatch):
     _, _, corpus, queries, payload = CR._inputs(spark, SF001)
-    single = _rows(rank_candidates(corpus, queries, payload))
-    monkeypatch.setattr(RT, "SMALL_LEVEL", 0)
-    assert RT.widening_schedule(200)[:3] == [20, 40, 80]
+    assert RT.widening_schedule(200) == [20, 40, 80, 160, 320]
     doubled = _rows(rank_candidates(corpus, queries, payload))
-    assert single == doubled
+    monkeypatch.setattr(RT, "widening_schedule", lambda n: [n])
+    assert _rows(rank_candidates(corpus, queries, payload)) == doubled
+
+
+def test_block_size_alone_decides():
+    assert RT.n_blocks(10 ** 9) == 50_000 and RT.n_blocks(10 ** 9, RT.QUERY_BLOCK_ROWS) == 10 ** 6 and RT.n_blocks(0) == 1
 
 
 def test_block_counts_do_not_change_topk(spark):
@@ -32,16 +35,16 @@ def test_block_counts_do_not_change_topk(spark):
     assert a.groupBy("qid", "side").agg(F.max("rank").alias("m")).where(F.col("m") > 15).count() == 0
 
 
-def test_topk_row_ties_match_full_sort():
+def test_topk_ties_match_full_sort():
     import numpy as np
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        n = int(rng.integers(1, 40))
-        scores = rng.integers(0, 5, n).astype(float)          # many ties
+    for _ in range(100):
+        n, rows, k = int(rng.integers(1, 40)), int(rng.integers(1, 5)), int(rng.integers(1, 45))
+        scores = rng.integers(0, 5, (rows, n)).astype(float)          # many ties
         cids = rng.permutation(1000)[:n].astype(np.int64)
-        k = int(rng.integers(1, 45))
-        want = np.lexsort((cids, -scores))[:k]
-        assert list(RT._topk_row(scores, cids, k)) == list(want)
+        row, col = RT._topk(scores, cids, k)
+        for r in range(rows):
+            assert list(col[row == r]) == list(np.lexsort((cids, -scores[r]))[:k])
 
 
 def test_interval_survivors_match_per_round(spark):
