@@ -32,10 +32,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id (of equal ids, one row)."""
+    """One document of each component: that with the smallest id (of equal ids, one row). Documents without an
+    id can't be matched to a component again and stay."""
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
     stay = written(found.where("doc_id = component_id").select("doc_id").distinct(), "stay")
-    return docs.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    first = docs.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return first.union(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 #: Word separators of every contract: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name under the session's shared checkpoint folder."""
+    """A fresh folder name under the session's shared checkpoint folder. Every operator asks for one before
+    its Python code runs, so this is also where the package is sent to the executors."""
+    ship_package(spark)
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/editlens-llm/{tag}-{uuid.uuid4().hex}"
 
 
