@@ -44,7 +44,7 @@ def test_every_query_has_a_name_from_the_inventory():
         assert name.split("_")[0][0] in "psjoawcegmt", name
 
 
-ROWS_ONLY = sorted(set(E.queries()) - set(ORACLE) - {"m2_random_forest", "m4_gbt", "m8_grid_search"})
+ROWS_ONLY = sorted(set(E.queries()) - set(ORACLE))
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
