@@ -106,6 +106,11 @@ def first_fit(left: np.ndarray, size: int) -> list[tuple[int, np.ndarray]]:
     return plan
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` in this thread: waking a pool of threads costs more than these small products."""
+    return np.einsum("ij,j->i", a, b)
+
+
 def solve(demand: np.ndarray, size: int, max_rounds: int = 200) -> list[tuple[int, np.ndarray]]:
     """(times, pattern) pairs that cover ``demand`` (items of class 1..size).
 
@@ -121,15 +126,16 @@ def solve(demand: np.ndarray, size: int, max_rounds: int = 200) -> list[tuple[in
         inv = np.diag(1.0 / basis[np.arange(m), active])    # columns of the basis matrix are patterns
         # demands apart by a trace: no ties, so the simplex can't go round in circles
         need = demand[active] * (1 + 1e-6 * np.random.default_rng(0).random(m))
-        x = inv @ need
+        x = _times(inv, need)
         pool, total = np.array([p for _, p in greedy], float), np.inf
         for _ in range(max_rounds):
+            columns = pool[:, active]
             for turn in range(4 * m + 100):
-                value = pool[:, active] @ inv.sum(axis=0)
+                value = _times(columns, inv.sum(axis=0))
                 k = int(value.argmax())
                 if value[k] <= 1 + GAP / 2:
                     break
-                d = inv @ pool[k][active]
+                d = _times(inv, columns[k])
                 ok = d > 1e-9
                 ratio = np.full(m, np.inf)
                 ratio[ok] = np.maximum(x[ok], 0) / d[ok]
@@ -142,7 +148,7 @@ def solve(demand: np.ndarray, size: int, max_rounds: int = 200) -> list[tuple[in
                 basis[r] = pool[k]
                 if turn % 100 == 99:                        # renew the inverse: no drift of rounding
                     inv = np.linalg.inv(basis[:, active].T.astype(float))
-                    x = inv @ need
+                    x = _times(inv, need)
             if x.sum() > total * (1 - 1e-5):                # a round that gained nothing
                 break
             total = x.sum()
