@@ -56,7 +56,7 @@ def test_repeat_words_brute(spark):
 
 def test_quality_lines(spark):
     good = "\n".join(f"Line{i} says{i} what{i} is{i} quite{i} clean{i}." for i in range(12))
-    bad = "\n".join(f"buy%%% it&&& now### {i}$$$ and### again" for i in range(30))
+    bad = "\n".join(f"buy{i}%%% it{i}&&& now{i}### x{i}$$$ and{i}### again{i}" for i in range(30))
     nav = "Home | News | Sport | Weather | Contact"
     rows = [(1, good), (2, good + "\n" + nav), (3, good + "\n" + bad), (4, None), (5, "")]
     got = {r.doc_id: r for r in quality.apply_rules(clash(spark.createDataFrame(rows, "doc_id long, text string"), "kept", "n_words")).collect()}
