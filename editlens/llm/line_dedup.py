@@ -8,7 +8,8 @@ ends of a text. Of each chunk of two lines or more (with a word in it) that occu
 all texts, the first occurrence (smallest id, then earliest place) stays and the others are removed.
 
 Two steps keep the shuffles small: chunk hashes are counted first; only chunks whose hash repeats
-carry their bytes to the second step, which groups by the bytes themselves.
+carry their bytes to the second step, which groups by the bytes themselves. Tables that grow with the
+documents are joined by shuffles at every size, never by a broadcast.
 
 Defined cases: a null text stays null and has no chunk; an empty text has no chunk with a word; rows
 that repeat an id are one document per different text (equal rows keep or lose the same chunks, and
@@ -66,17 +67,17 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     parts = parts.where(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select(
         "id", "th", "no", "body", F.xxhash64("body").alias("h"))
     hashes = written(parts.groupBy("h").count().where("count > 1").select("h"), "line-hashes")
-    again = written(parts.join(hashes, "h"), "line-chunks")
+    again = written(parts.join(hashes.hint("merge"), "h"), "line-chunks")
     first = written(again.groupBy("h", "body").agg(F.min(F.struct("id", "th", "no")).alias("first"),
                                                    F.count(F.lit(1)).alias("n")).where("n > 1"), "line-first")
-    later = (again.alias("a").join(first.alias("f"),
+    later = (again.alias("a").join(first.hint("merge").alias("f"),
                                    (F.col("a.h") == F.col("f.h")) & (F.col("a.body") == F.col("f.body")))
              .where(~(F.col("a.id").eqNullSafe(F.col("first.id")) & (F.col("a.th") == F.col("first.th"))
                       & (F.col("a.no") == F.col("first.no")))))
     gone = written(later.groupBy("a.id", "a.th").agg(F.collect_set("a.no").alias("__gone"))
                    .select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone"), "line-gone")
     marked = base.withColumn("__h", F.xxhash64(F.col(text))).join(
-        gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+        gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     none = F.col("__gone").isNull()
     cut = let(chunks(F.col(text), mean_lines), lambda c: F.struct(
         F.filter(c, lambda x, i: ~F.array_contains("__gone", i)).alias("left"),
