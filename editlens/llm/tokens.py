@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Texts of about so many bytes are gathered at a time, pieces kept by a worker at most.
-SLICE_BYTES, CACHE = 8 << 20, 1 << 20
+SLICE_BYTES, CACHE = 4 << 20, 1 << 19
 PLAIN = regex.compile(r"[!-~¡-įı-ɏ]+")
 
 
@@ -55,15 +55,13 @@ class Encoder:
         self.split = regex.compile(split).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.sign = _byte_signs()
-        self.known: dict[str, np.ndarray] = {}
-        self.parts: dict[str, list[int]] = {}
+        # little-endian ids of a piece; pieces that were not met again go with the old half
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _part(self, p: str) -> list[int]:
-        ids = self.parts.get(p)
-        if ids is None:
-            signs = p if p.isascii() else "".join(map(self.sign.__getitem__, p.encode()))
-            ids = self.parts[p] = [t.id for t in self.model.tokenize(signs)]
-        return ids
+        signs = p if p.isascii() else "".join(map(self.sign.__getitem__, p.encode()))
+        return [t.id for t in self.model.tokenize(signs)]
 
     def piece(self, s: str) -> list[int]:
         if not PLAIN.fullmatch(s) or any(t in s for t in self.special):
@@ -74,18 +72,20 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pieces.flatten().dictionary_encode()
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.parts.clear()
-        known, made = self.known, []
+        if len(self.known) > CACHE // 2:
+            self.old, self.known = self.known, {}
+        known, old, made = self.known, self.old, []
         for s in coded.dictionary.to_pylist():
             ids = known.get(s)
             if ids is None:
-                ids = known[s] = np.array(self.piece(s), np.uint32)
+                ids = old.get(s)
+                if ids is None:
+                    ids = np.array(self.piece(s), "<u4").tobytes()
+                known[s] = ids
             made.append(ids)
-        lens = np.fromiter(map(len, made), np.int64, len(made))
+        lens = np.fromiter(map(len, made), np.int64, len(made)) // 4
         starts = np.cumsum(lens) - lens
-        flat = np.concatenate(made) if made else np.empty(0, np.uint32)
+        flat = np.frombuffer(b"".join(made), "<u4")
         use = coded.indices.to_numpy(zero_copy_only=False)
         n = lens[use]
         ends = np.concatenate([[0], np.cumsum(n)])
