@@ -154,7 +154,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             for y, x in zip(pdf["y"], pdf["text"]):
                 (t if y else c).update({g for w in set(fold(x)) for g in grams(w)})
             keys = list(t.keys() | c.keys())
-            yield pd.DataFrame({"g": keys, "t": [t[k] for k in keys], "c": [c[k] for k in keys]})
+            if not keys:
+                continue
+            yield pd.DataFrame({"g": np.array(keys, dtype=object), "t": [t[k] for k in keys], "c": [c[k] for k in keys]})
     counts = (train.mapInPandas(count, "g string, t long, c long").groupBy("g").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
               .withColumn("w", F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))))
     counts = written(counts.where((F.col("t") >= MIN_DOCS) | (F.col("c") >= MIN_DOCS)), "toxic-grams")
