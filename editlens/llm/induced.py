@@ -31,17 +31,39 @@ class Queue:
         if len(pos):
             self.chunks.append(self.store.keep(pos, lcp))
 
+    def _joined(self, chunks):
+        got = [self.store.load(c) for c in chunks]
+        return got[0] if len(got) == 1 else tuple(np.concatenate(x) for x in zip(*got))
+
+    def _groups(self, chunks):
+        """Runs of chunks of about ``BLOCK`` tuples: small ones are read together."""
+        group, n = [], 0
+        for c in chunks:
+            group.append(c)
+            n += c[1] if isinstance(c[0], int) else len(c[0])
+            if n >= BLOCK:
+                yield group
+                group, n = [], 0
+        if group:
+            yield group
+
     def take(self):
-        """Next chunk, or None."""
-        if self.read == len(self.chunks):
+        """What has come in, up to about ``BLOCK`` tuples, or None."""
+        group = next(self._groups(self.chunks[self.read:]), None)
+        if group is None:
             return None
-        self.read += 1
-        return self.store.load(self.chunks[self.read - 1])
+        self.read += len(group)
+        return self._joined(group)
+
+    def all(self):
+        """All tuples in order, some at a time."""
+        for group in self._groups(self.chunks):
+            yield self._joined(group)
 
     def back(self):
-        """All chunks, last first."""
-        for c in reversed(self.chunks):
-            yield self.store.load(c)
+        """All tuples, the last ones first; each block in its order."""
+        for group in self._groups(reversed(self.chunks)):
+            yield self._joined(group[::-1])
 
     def __len__(self):
         return len(self.chunks)
@@ -108,7 +130,7 @@ def doubling(t: np.ndarray, depth: int) -> np.ndarray:
         nxt = np.zeros(n, np.int64)
         nxt[:n - h] = rank[h:] + 1
         key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
@@ -134,7 +156,7 @@ def names(t: np.ndarray, is_s: np.ndarray, at: np.ndarray) -> np.ndarray:
             p = at[order] + d
             q = np.minimum(p, len(t) - 1)
             key = key * base + np.where(p <= stop[order], t[q].astype(np.int64) * 2 + is_s[q] + 1, 0)
-        s = np.argsort(key, kind="stable")
+        s = np.argsort(key)
         order, k = order[s], key[s]
         group = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
         depth += at_once
@@ -256,7 +278,7 @@ class Sorted:
             raise ValueError("the text must end with 0")
         for c in self.symbols.tolist():
             last = None
-            for pos, lcp in map(self.store.load, self.l_types[c].chunks if c in self.l_types else ()):
+            for pos, lcp in self.l_types[c].all() if c in self.l_types else ():
                 last = int(pos[-1])
                 yield pos, lcp
             if c in self.s_types:
