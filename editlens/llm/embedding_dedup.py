@@ -87,9 +87,11 @@ def deal(min_cos: float):
                     up = np.floor((g + r * (1 + 1e-9) + 1e-12) / width).astype(np.int64)
                     for step in product((0, 1), repeat=g.shape[1]):
                         goes = ((own + step) <= up).all(axis=1)
+                        if not goes.any():
+                            continue
                         cell = (own + step)[goes].tolist()
                         yield pd.DataFrame({
-                            "dim": dim, "block": b, "cell": [",".join(map(str, c)) for c in cell],
+                            "dim": dim, "block": b, "cell": np.array([",".join(map(str, c)) for c in cell], dtype=object),
                             "guest": sum(s << d for d, s in enumerate(step)), "width": vec.itemsize,
                             "cls": rows["cls"].to_numpy()[goes], "n": rows["n"].to_numpy()[goes], "vec": raw[goes]})
     return run
