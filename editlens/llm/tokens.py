@@ -10,6 +10,8 @@ the tokenizer's model by its own split pattern; every other piece goes through t
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Texts of about so many bytes are gathered at a time, pieces kept by a worker at most.
-SLICE_BYTES, CACHE = 4 << 20, 1 << 19
+SLICE_BYTES, CACHE = 4 << 20, 1 << 18
 PLAIN = regex.compile(r"[!-~¡-įı-ɏ]+")
 
 
@@ -33,6 +35,30 @@ def _byte_signs() -> list[str]:
     return [chr(b) if b in own else chr(256 + next(rest)) for b in range(256)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if sys.byteorder != "little" else array("I", ids).tobytes()
+
+
+class Halves:
+    """A cache of at most ``size`` entries: when the young half is full it becomes the old one, and what
+    was not asked for again is dropped."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+
 class Encoder:
     """``batch(texts)`` -> (flat uint32 ids, offsets by text). One per worker and file."""
 
@@ -55,34 +81,29 @@ class Encoder:
         self.split = regex.compile(split).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.sign = _byte_signs()
-        # little-endian ids of a piece; pieces that were not met again go with the old half
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # little-endian ids of pieces and of their parts (words without signs around them)
+        self.pieces, self.parts = Halves(CACHE), Halves(2 * CACHE)
 
-    def _part(self, p: str) -> list[int]:
-        signs = p if p.isascii() else "".join(map(self.sign.__getitem__, p.encode()))
-        return [t.id for t in self.model.tokenize(signs)]
+    def _part(self, p: str) -> bytes:
+        ids = self.parts.get(p)
+        if ids is None:
+            signs = p if p.isascii() else "".join(map(self.sign.__getitem__, p.encode()))
+            ids = self.parts.put(p, _packed([t.id for t in self.model.tokenize(signs)]))
+        return ids
 
-    def piece(self, s: str) -> list[int]:
+    def piece(self, s: str) -> bytes:
         if not PLAIN.fullmatch(s) or any(t in s for t in self.special):
-            return self.whole.encode(s, add_special_tokens=False).ids
-        return [i for p in self.split(s.lower()) for i in self._part(p)]
+            return _packed(self.whole.encode(s, add_special_tokens=False).ids)
+        return b"".join(map(self._part, self.split(s.lower())))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pieces.flatten().dictionary_encode()
-        if len(self.known) > CACHE // 2:
-            self.old, self.known = self.known, {}
-        known, old, made = self.known, self.old, []
+        made = []
         for s in coded.dictionary.to_pylist():
-            ids = known.get(s)
-            if ids is None:
-                ids = old.get(s)
-                if ids is None:
-                    ids = np.array(self.piece(s), "<u4").tobytes()
-                known[s] = ids
-            made.append(ids)
+            ids = self.pieces.get(s)
+            made.append(self.pieces.put(s, self.piece(s)) if ids is None else ids)
         lens = np.fromiter(map(len, made), np.int64, len(made)) // 4
         starts = np.cumsum(lens) - lens
         flat = np.frombuffer(b"".join(made), "<u4")
