@@ -51,7 +51,8 @@ def targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), max_passes: float = 3.0)
     })
     # the level if this source and all later ones are not full; the true level is the first that holds
     t = t.withColumn("level", (F.col("total") - F.col("used")) / F.col("rest_w"))
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(all_))
+    t = t.withColumn("nth", F.row_number().over(fill))
+    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("nth", "level"))).over(all_)["level"])
     cap = max_passes * F.col("source_size")
     return t.select("source", "source_size", "weight",
                     F.when(F.col("level").isNull(), cap).otherwise(

@@ -63,9 +63,10 @@ ms as (select source, sum(size)::bigint as source_size from md group by source),
 mw as (select *, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight from ms),
 mf as (select *, 3.0 * source_size / weight as full_at, sum(source_size) over ()::double as total from mw),
 ml as (select *, (total - coalesce(sum(3.0 * source_size) over (order by full_at, source nulls last rows between unbounded preceding and 1 preceding), 0))
-  / sum(weight) over (order by full_at, source nulls last rows between current row and unbounded following) as own_level from mf),
+  / sum(weight) over (order by full_at, source nulls last rows between current row and unbounded following) as own_level,
+  row_number() over (order by full_at, source nulls last) as nth from mf),
 mt as (select source, source_size, case when level is null then 3.0 * source_size else least(3.0 * source_size, level * weight) end::double as target
-  from (select *, min(own_level) filter (own_level <= full_at) over () as level from ml)),
+  from (select *, arg_min(own_level, nth) filter (own_level <= full_at) over () as level from ml)),
 mp as (select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as passes from mt),
 mc as (select source, h, sum(size)::double as s from md group by source, h),
 mu as (select mc.source, h, s, passes, target - passes * source_size as budget, sum(s) over (partition by mc.source order by h) as upto
