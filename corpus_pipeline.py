@@ -2,7 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and
 read again as the next stage's ``docs``. All stages but the last return the columns of ``documents``.
-Stages change texts (failing lines, repeated chunks), drop rows (rejected documents, near copies, documents
+Stages change texts (failing lines, repeated passages), drop rows (rejected documents, near copies, documents
 that the mix leaves out) and repeat rows (sources taken more than once); ``n_chars`` follows the text.
 """
 
@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without line chunks that stand in an earlier one."""
-    return _columns(line_dedup.remove_repeated_chunks(docs), docs, "dedup_text")
+    """Every document, without passages of two lines or more that stand in an earlier place."""
+    return _columns(line_dedup.remove_repeated_passages(docs), docs, "dedup_text")
 
 
 def dedup_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

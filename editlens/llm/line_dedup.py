@@ -11,6 +11,12 @@ Two steps keep the shuffles small: chunk hashes are counted first; only chunks w
 carry their bytes to the second step, which groups by the bytes themselves. Tables that grow with the
 documents are joined by shuffles at every size, never by a broadcast.
 
+``remove_repeated_passages`` also finds what cuts can't enclose, in texts of a few lines most of all: every window of
+``min_lines`` lines (with a word in it) is counted by the same two steps, and the lines of each window whose bytes
+stand before it (smaller id, or earlier in its text without overlap) are removed. Every removed line stays in an
+earlier place. That holds all repeated chunks but lines without a word next to one another, so chunks with such lines are
+counted as well: its removed lines include those of the chunks alone.
+
 Defined cases: a null text stays null and has no chunk; an empty text has no chunk with a word; rows
 that repeat an id are one document per different text (equal rows keep or lose the same chunks, and
 the first row of an id counts as first occurrence); a null id orders before all others; extra columns pass through.
@@ -25,6 +31,8 @@ from .common import let, written
 
 WINDOW, BASE = 3, 31
 RESULTS = ("n_lines", "n_removed_lines", "n_removed_chunks", "dedup_text")
+PASSAGE_RESULTS = ("n_lines", "n_removed_lines", "n_removed_passages", "dedup_text")
+WORD, BLANK_LINE = r"[^\x20\x09-\x0D]", r"(?:^|\n)[\x20\x09\x0B-\x0D]*(?:\n|$)"
 
 
 def line_hash(line: Column) -> Column:
@@ -32,8 +40,8 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def chunks(text: Column, mean_lines: int = 4) -> Column:
-    """Array of chunks, each an array of lines, of a text's array of lines."""
+def chunks(text: Column, mean_lines: int = 4, with_start: bool = False) -> Column:
+    """Array of chunks of a text, each an array of lines (``with_start``: and the number of lines before it)."""
     def rolled(h, i):
         at = lambda d: F.when(i > d, F.element_at(h, F.greatest(i - d, F.lit(1)))).otherwise(F.lit(0))
         return at(0) + at(1) * BASE + at(2) * BASE * BASE
@@ -44,10 +52,13 @@ def chunks(text: Column, mean_lines: int = 4) -> Column:
                          lambda i: (i > 1) & (i < F.size(h)) & mark(i) & ~((i > 2) & mark(i - 1)))
         return F.concat(inner, F.array(F.size(h)))
 
+    def part(start, own):
+        return F.struct(start.alias("at"), own.alias("lines")) if with_start else own
+
     def cut_up(lines):
         ends = lambda c: F.transform(
             c, lambda e, k: let(F.when(k > 0, F.element_at(c, F.greatest(k, F.lit(1)))).otherwise(0),
-                                lambda s: F.slice(lines, s + 1, e - s)))
+                                lambda s: part(s, F.slice(lines, s + 1, e - s))))
         return let(cuts_of(lines), ends)
 
     def cuts_of(lines):
@@ -55,6 +66,58 @@ def chunks(text: Column, mean_lines: int = 4) -> Column:
     return let(F.split(text, "\n"), cut_up)
 
 
+def windows(text: Column, min_lines: int) -> Column:
+    """Array of (lines before it, lines, bytes) of each run of ``min_lines`` lines of a text."""
+    def of(lines):
+        starts = F.when(F.size(lines) >= min_lines, F.sequence(F.lit(0), F.size(lines) - min_lines)).otherwise(
+            F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(
+            i.alias("at"), F.lit(min_lines).alias("k"), F.array_join(F.slice(lines, i + 1, min_lines), "\n").alias("body")))
+    return let(F.split(text, "\n"), of)
+
+
+def blank_chunks(text: Column, mean_lines: int, min_lines: int) -> Column:
+    """Like ``windows``, of the chunks of more lines in which a line has no word."""
+    whole = F.transform(chunks(text, mean_lines, True), lambda c: F.struct(
+        c["at"].alias("at"), F.size(c["lines"]).alias("k"), F.array_join(c["lines"], "\n").alias("body")))
+    return F.when(text.rlike(BLANK_LINE), F.filter(whole, lambda c: (c["k"] > min_lines) & c["body"].rlike(BLANK_LINE))).otherwise(
+        F.array().cast("array<struct<at:int,k:int,body:string>>"))
+
+
+def remove_repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                             mean_lines: int = 4, min_lines: int = 2) -> DataFrame:
+    """All columns of ``df`` plus ``PASSAGE_RESULTS``; ``dedup_text`` is the text without its repeated lines,
+    ``n_removed_passages`` counts the runs of removed lines."""
+    keep = [c for c in df.columns if c not in PASSAGE_RESULTS]
+    base = df.select(*keep)
+    found = F.concat(windows(F.col(text), min_lines), blank_chunks(F.col(text), mean_lines, min_lines))
+    parts = base.where(F.col(text).isNotNull()).select(
+        F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.inline(found))
+    parts = parts.where(F.col("body").rlike(WORD)).withColumn("h", F.xxhash64("body"))
+    hashes = written(parts.groupBy("h").count().where("count > 1").select("h"), "passage-hashes")
+    again = written(parts.join(hashes.hint("merge"), "h"), "passages")
+    first = written(again.groupBy("h", "body").agg(F.min(F.struct("id", "th", "at")).alias("first"),
+                                                   F.count(F.lit(1)).alias("n")).where("n > 1"), "passage-first")
+    own = F.col("a.id").eqNullSafe(F.col("first.id")) & (F.col("a.th") == F.col("first.th"))
+    later = (again.alias("a").join(first.hint("merge").alias("f"),
+                                   (F.col("a.h") == F.col("f.h")) & (F.col("a.body") == F.col("f.body")))
+             .where(~(own & (F.col("a.at") < F.col("first.at") + F.col("a.k")))))
+    lines_gone = later.select("a.id", "a.th", F.explode(F.expr("sequence(a.at, a.at + a.k - 1)")).alias("no"))
+    gone = written(lines_gone.groupBy("id", "th").agg(F.collect_set("no").alias("__gone"))
+                   .select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone"), "passage-gone")
+    marked = base.withColumn("__h", F.xxhash64(F.col(text))).join(
+        gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    none, lines = F.col("__gone").isNull(), F.split(F.col(text), "\n")
+    left = let(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")),
+                                            lambda i: F.element_at(x, i + 1)))
+    runs = F.size(F.array_except("__gone", F.transform("__gone", lambda i: i + 1)))
+    return marked.select(
+        *keep, F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(none, 0).otherwise(F.size("__gone")).cast("long").alias("n_removed_lines"),
+        F.when(none, 0).otherwise(runs).cast("long").alias("n_removed_passages"),
+        F.when(none, F.col(text)).otherwise(F.array_join(left, "\n")).alias("dedup_text"))
+
+
 def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                            mean_lines: int = 4, min_lines: int = 2) -> DataFrame:
     """All columns of ``df`` plus ``RESULTS``; ``dedup_text`` is the text without its repeated chunks."""
@@ -64,7 +127,7 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
         F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"),
         F.posexplode(chunks(F.col(text), mean_lines)).alias("no", "lines"))
     parts = parts.where(F.size("lines") >= min_lines).withColumn("body", F.array_join("lines", "\n"))
-    parts = parts.where(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select(
+    parts = parts.where(F.col("body").rlike(WORD)).select(
         "id", "th", "no", "body", F.xxhash64("body").alias("h"))
     hashes = written(parts.groupBy("h").count().where("count > 1").select("h"), "line-hashes")
     again = written(parts.join(hashes.hint("merge"), "h"), "line-chunks")

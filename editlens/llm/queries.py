@@ -31,6 +31,13 @@ def op1(docs, _):
         F.sha2("dedup_text", 256).alias("kept_sha256"))
 
 
+@query("op1_line_passages", "documents")
+def op1_passages(docs, _):
+    return line_dedup.remove_repeated_passages(docs).select(
+        "doc_id", "n_lines", "n_removed_lines", "n_removed_passages",
+        F.sha2("dedup_text", 256).alias("kept_sha256"))
+
+
 @query("op2_packing", "documents")
 def op2(docs, _):
     return packing.pack(docs.select("doc_id", "text"))

@@ -88,3 +88,26 @@ def embeddings(rows, min_cos=0.95):
     n = Counter(k for p in links for k in p)
     root = components(len(rows), links)
     return {r[0]: (n[i], rows[root[i]][0]) for i, r in enumerate(rows)}
+
+
+def line_chunks(lines, mean_lines=4):
+    """[(lines before it, its lines)] of the content-defined chunks."""
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+    mark = [sum(h[i - d] * 31 ** d for d in range(3) if i >= d) % mean_lines == 0 for i in range(len(h))]
+    cuts = [i + 1 for i in range(1, len(h) - 1) if mark[i] and not (i > 1 and mark[i - 1])] + [len(h)]
+    return [(a, lines[a:b]) for a, b in zip([0, *cuts], cuts)]
+
+
+def passages(docs, k=2):
+    """[(id, text)] -> {id: numbers of the lines to remove}; ids distinct and not null."""
+    first, out = {}, {}
+    for d, t in sorted((d, t) for d, t in docs if t is not None):
+        lines = t.split("\n")
+        parts = [(i, lines[i:i + k]) for i in range(len(lines) - k + 1)] + [c for c in line_chunks(lines) if len(c[1]) > k]
+        out[d] = set()
+        for at, part in sorted(parts):
+            if SPLIT.search("\n".join(part)):
+                e, p = first.setdefault(tuple(part), (d, at))
+                if e != d or at >= p + len(part):
+                    out[d] |= set(range(at, at + len(part)))
+    return out

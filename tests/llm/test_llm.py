@@ -85,6 +85,41 @@ def test_line_chunks_resist_shifts(spark, odd):
     assert line_dedup.remove_repeated_chunks(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("size", range(2, 9))
+def test_short_passages_are_found(spark, size):
+    """A passage of a few lines inside otherwise different documents goes from all but the first."""
+    rng = random.Random(size)
+    shared = [f"shared {size} {i} {rng.random()}" for i in range(size)]
+    own = lambda i, n: [f"own {i} {k} {rng.random()}" for k in range(n)]
+    rows = [(i, "\n".join(own(i, rng.randint(1, 4)) + shared + own(i + 100, rng.randint(0, 3)))) for i in range(30)]
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].dedup_text == rows[0][1] and got[0].n_removed_passages == 0
+    for i, t in rows[1:]:
+        assert got[i].dedup_text.split("\n") == [x for x in t.split("\n") if x not in shared]
+        assert (got[i].n_removed_lines, got[i].n_removed_passages) == (size, 1)
+
+
+def test_passages_against_brute_force(spark, odd):
+    rng = random.Random(5)
+    rows = [(i, "\n".join(rng.choice(["", " ", "", *"abcdefghijklm"]) for _ in range(rng.randint(1, 12)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, "\n\n"), (203, "z\nz\nz"), (204, "y\ny\ny\ny\ny")]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"),
+               read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")):
+        want = brute.passages([tuple(r) for r in df.collect()])
+        got = {r.doc_id: r for r in line_dedup.remove_repeated_passages(df).collect()}
+        chunks = {r.doc_id: r for r in line_dedup.remove_repeated_chunks(df).collect()}
+        assert sum(map(len, want.values())) > 100
+        for d, r in got.items():
+            lines, gone = (r.text or "").split("\n"), want.get(d, set())
+            assert r.dedup_text == ("\n".join(x for i, x in enumerate(lines) if i not in gone) if r.text is not None else None)
+            assert r.n_removed_lines == len(gone) >= chunks[d].n_removed_lines
+            assert r.n_removed_passages == sum(i - 1 not in gone for i in gone)
+    r = line_dedup.remove_repeated_passages(clash(odd, "n_lines")).collect()
+    assert len(r) == len(ODD) and {x.doc_id: x.n_removed_lines for x in r}[5] == 3
+    assert [x.n_removed_lines for x in r if x.doc_id == 4] == [0, 0]
+    assert line_dedup.remove_repeated_passages(empty(spark)).count() == 0
+
+
 # tokens, packing, token files -----------------------------------------------------------------------------------
 
 def test_encoder_equals_tokenizer():
