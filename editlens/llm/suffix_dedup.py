@@ -6,7 +6,11 @@ of them is one row, and only rows go through shuffles. Runs are counted by name
 (a map-side count: a passage in a third of all documents is no hot task). Windows of runs whose bytes occur twice are
 repeated as they are. Where one name has runs of different bytes, or a run holds its smallest gram twice, one run of each
 content goes to a shard (chosen by name), and the shard's suffixes are sorted by external induced sorting with
-common prefixes: a window whose prefix with its neighbour reaches ``width`` is repeated. Tables that grow with
+common prefixes: a window whose prefix with its neighbour reaches ``width`` is repeated. A name whose runs hold more than
+``name_bytes`` is split before any shard is made, as a gram that stands in many different surroundings gives a name that
+grows with the documents: the windows of its runs are named again by the smallest gram under another hash, counted and
+cut as before, ``SPLITS`` times; the windows of names that are still too large (long passages a little shorter than ``width``)
+are counted one by one by 128 bits of hash, as runs are. Tables that grow with
 the documents are joined by shuffles at every size, never by a broadcast.
 
 Defined cases: null and empty texts have no bytes; matches never cross documents; rows that repeat an id and a text
@@ -31,11 +35,13 @@ from .induced import repeated
 
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 GRAM, SHARD_BYTES, SLICE = 32, 6 << 20, 2 << 20
+#: Bytes of different runs that one name may bring to a shard, and how often larger names are split.
+NAME_BYTES, SPLITS = 1 << 20, 4
 
 
 def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets)."""
-    a = pc.fill_null(col, "").cast(pa.large_binary())
+    a = pc.fill_null(col.cast(pa.large_binary()), b"")
     off = np.frombuffer(a.buffers()[1], np.int64)[a.offset:a.offset + len(a) + 1]
     data = np.frombuffer(a.buffers()[2] or b"", np.uint8)[off[0]:off[-1]]
     return data, off - off[0]
@@ -50,18 +56,20 @@ def _parts(batch: pa.RecordBatch, text: str):
         lo = hi
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the ``gram`` bytes (a power of two) from each place on."""
+def gram_hashes(data: np.ndarray, gram: int, seed: int = 0) -> np.ndarray:
+    """A hash of the ``gram`` bytes (a power of two) from each place on; each seed orders grams in another way."""
     h, s = data.astype(np.uint64) + np.uint64(1), 1
     while s < gram:
         h = h[:-s] * np.uint64(0x9E3779B97F4A7C15 + 2 * s) + (h[s:] ^ (h[s:] >> np.uint64(31)))
         s *= 2
+    if seed:
+        h = (h ^ (h >> np.uint64(32)) ^ np.uint64(seed * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0x94D049BB133111EB + 2 * seed)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def runs(data: np.ndarray, off: np.ndarray, width: int):
+def runs(data: np.ndarray, off: np.ndarray, width: int, seed: int = 0):
     """(name, first window, windows, whether the smallest gram occurs twice) of each run."""
     gram = GRAM
     while gram > width:
@@ -69,7 +77,7 @@ def runs(data: np.ndarray, off: np.ndarray, width: int):
     none = np.empty(0, np.int64)
     if len(data) < width:
         return none.view(np.uint64), none, none, none.astype(bool)
-    h = gram_hashes(data, gram)
+    h = gram_hashes(data, gram, seed)
     span = width - gram + 1
     m, s = h, 1
     while 2 * s <= span:
@@ -89,20 +97,28 @@ def runs(data: np.ndarray, off: np.ndarray, width: int):
     return name, lo, hi - lo + 1, twice
 
 
-def find_runs(df: DataFrame, width: int) -> DataFrame:
-    """(id, th, text) -> a row for each run."""
-    schema = T.StructType([df.schema["id"], df.schema["th"]] + [
+def _run_schema(df: DataFrame) -> T.StructType:
+    return T.StructType([df.schema["id"], df.schema["th"]] + [
         T.StructField(c, t) for c, t in (("name", T.LongType()), ("s1", T.LongType()), ("s2", T.LongType()),
                                          ("start", T.LongType()), ("n", T.LongType()), ("twice", T.BooleanType()))])
 
+
+def _digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """128 bits of hash of each ``data[lo:hi]``, as two longs."""
+    whole, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(digest(whole[a:b]) for a, b in zip(lo.tolist(), hi.tolist())), "<i8").reshape(-1, 2)
+
+
+def find_runs(df: DataFrame, width: int) -> DataFrame:
+    """(id, th, text) -> a row for each run."""
+    schema = _run_schema(df)
+
     def run(batches):
         for batch in batches:
             for part in _parts(batch, "text"):
                 data, off = raw_bytes(part.column("text"))
                 name, lo, n, twice = runs(data, off, width)
-                whole, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
-                both = np.frombuffer(b"".join(digest(whole[a:b]) for a, b in zip(lo.tolist(), (lo + n - 1 + width).tolist())),
-                                     "<i8").reshape(-1, 2)
+                both = _digests(data, lo, lo + n - 1 + width)
                 doc = np.searchsorted(off, lo, side="right") - 1
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
@@ -134,6 +150,45 @@ def cut_runs(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def split_runs(df: DataFrame, width: int, seed: int) -> DataFrame:
+    """Bytes of runs -> a row for each run of windows that share the old name and one under another hash."""
+    schema = _run_schema(df)
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch, "body"):
+                data, off = raw_bytes(part.column("body"))
+                name, lo, n, twice = runs(data, off, width, seed)
+                both = _digests(data, lo, lo + n - 1 + width)
+                at = np.searchsorted(off, lo, side="right") - 1
+                old = part.column("name").to_numpy().view(np.uint64)[at]
+                name = (name ^ (name >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) ^ old
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(take), part.column("th").take(take), pa.array(name.view(np.int64)), pa.array(both[:, 0]),
+                     pa.array(both[:, 1]), pa.array(lo - off[at] + part.column("start").to_numpy()[at]), pa.array(n), pa.array(twice)],
+                    names=schema.names)
+    return df.mapInArrow(run, schema)
+
+
+def single_windows(df: DataFrame, width: int) -> DataFrame:
+    """Bytes of runs -> a row for each window."""
+    schema = T.StructType([df.schema["id"], df.schema["th"]] + [T.StructField(c, T.LongType()) for c in ("s1", "s2", "a", "b")])
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch, "body"):
+                data, off = raw_bytes(part.column("body"))
+                n = np.diff(off) - width + 1
+                at = np.repeat(np.arange(len(n)), n)
+                inner = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                lo = off[at] + inner
+                both, a, take = _digests(data, lo, lo + width), part.column("start").to_numpy()[at] + inner, pa.array(at)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("th").take(take), pa.array(both[:, 0]),
+                                                  pa.array(both[:, 1]), pa.array(a), pa.array(a + width)], names=schema.names)
+    return df.mapInArrow(run, schema)
+
+
 def merge(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     """Byte spans that windows starting at ``starts`` (ascending) cover."""
     if not len(starts):
@@ -196,28 +251,49 @@ def cut_out(df: DataFrame, text: str, width: int, with_text: bool) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 400,
-                   with_text: bool = False, memory: int = 1 << 22) -> DataFrame:
+                   with_text: bool = False, memory: int = 1 << 22, name_bytes: int = NAME_BYTES) -> DataFrame:
     """All columns of ``df`` but the text, plus ``RESULTS`` (and the remaining bytes as ``kept_text``)."""
     spark = df.sparkSession
     cols = [c for c in df.columns if c not in RESULTS and c != text and c != "kept_text"]
     docs = df.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    found = written(find_runs(docs, width), "suffix-runs")
     content = ["name", "s1", "s2"]
-    bodies = written(found.groupBy(*content).agg(
-        F.count(F.lit(1)).alias("c"), F.max("twice").alias("twice"),
-        F.min(F.struct("id", "th", "start", "n")).alias("one")), "suffix-bodies")
-    names = written(bodies.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("any"))
-                    .where("k > 1 or any").select("name"), "suffix-names")
-    sort = written(bodies.join(names.hint("merge"), "name", "left_semi").select("one.id", "one.th", *content, "one.start", "one.n"), "suffix-sort")
+
+    def with_bytes(rows):
+        per_doc = written(rows.groupBy("id", "th").agg(F.collect_list(F.struct(*content, "start", "n")).alias("runs")), "suffix-docs")
+        at = docs.alias("d").join(per_doc.hint("merge").alias("r"),
+                                  F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.th") == F.col("r.th")))
+        return cut_runs(at.select("d.id", "d.th", "d.text", "r.runs"), width)
+
+    found, sort, whole = written(find_runs(docs, width), "suffix-runs"), None, None
+    for split in range(SPLITS + 1):
+        bodies = written(found.groupBy(*content).agg(
+            F.count(F.lit(1)).alias("c"), F.max("twice").alias("twice"),
+            F.min(F.struct("id", "th", "start", "n")).alias("one")), "suffix-bodies")
+        names = written(bodies.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("any"),
+                                                   F.sum(F.col("one.n") + width - 1).alias("bytes"))
+                        .where("k > 1 or any").select("name", "bytes"), "suffix-names")
+        of = lambda some: written(bodies.join(some.select("name").hint("merge"), "name", "left_semi")
+                                  .select("one.id", "one.th", *content, "one.start", "one.n"), "suffix-sort")
+        fit = of(names.where(F.col("bytes") <= name_bytes))
+        sort = fit if sort is None else sort.union(fit)
+        # runs whose bytes occur more than once: all their windows
+        twice = written(bodies.where("c > 1").select(*content), "suffix-twice")
+        again = found.join(twice.hint("merge"), content).select(
+            "id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + width).alias("b"))
+        whole = again if whole is None else whole.union(again)
+        large = names.where(F.col("bytes") > name_bytes)
+        if large.isEmpty():
+            break
+        hot = with_bytes(of(large))
+        if split < SPLITS:
+            found = written(split_runs(hot, width, split + 1), "suffix-split")
+        else:
+            each = written(single_windows(hot, width), "suffix-windows")
+            twice = written(each.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2"), "suffix-twice")
+            whole = whole.union(each.join(twice.hint("merge"), ["s1", "s2"]).select("id", "th", "a", "b"))
     n_bytes = sort.agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
-    per_doc = written(sort.groupBy("id", "th").agg(F.collect_list(F.struct(*content, "start", "n")).alias("runs")), "suffix-docs")
-    at = docs.alias("d").join(per_doc.hint("merge").alias("r"), F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.th") == F.col("r.th")))
-    cut = cut_runs(at.select("d.id", "d.th", "d.text", "r.runs"), width)
-    shards = cut.repartition(max(1, -(-int(n_bytes) // SHARD_BYTES)), "name")
+    shards = with_bytes(sort).repartition(max(1, -(-int(n_bytes) // SHARD_BYTES)), "name")
     some = sort_shards(shards, width, _local(shared_path(spark, "suffix-queues")), memory)
-    # runs whose bytes occur more than once: all their windows
-    twice = written(bodies.where("c > 1").select(*content), "suffix-twice")
-    whole = found.join(twice.hint("merge"), content).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + width).alias("b"))
     spans = written(whole.union(some).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("__spans")), "suffix-spans")
     marked = (df.select(*cols, text).withColumn("__th", F.xxhash64(F.col(text))).alias("x")
               .join(spans.hint("merge").alias("s"), F.col(f"x.{doc_id}").eqNullSafe(F.col("s.id")) & (F.col("x.__th") == F.col("s.th")), "left")

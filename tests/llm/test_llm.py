@@ -280,6 +280,33 @@ def test_suffix_dedup(spark, odd, width):
     assert suffix_dedup.remove_repeats(odd).count() == len(ODD) and suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("splits", [0, 1, 4])
+def test_crowded_names_are_split(spark, splits, monkeypatch):
+    """One short passage in many surroundings: no shard holds more of a name than ``name_bytes``; results stay."""
+    rng, width, most = random.Random(9), 40, 2000
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, long_, near = word(34), word(90), word(39)
+    rows = [(i, word(60) + rng.choice([short, near]) + word(60) + (long_ if i % 9 == 0 else "") + word(20)) for i in range(150)]
+    rows += [(200, rows[0][1]), (201, None), (202, rows[3][1][20:140] + "end"), (203, "q" * 100)]
+    sizes = spark.sparkContext.accumulator(0)
+    inner = suffix_dedup.sort_shards
+
+    def seen(df, *a):
+        per = df.dropDuplicates(["name", "s1", "s2"]).groupBy("name").agg(F.sum(F.length("body")).alias("n"))
+        sizes.add(per.agg(F.max("n")).first()[0] or 0)
+        return inner(df, *a)
+    monkeypatch.setattr(suffix_dedup, "sort_shards", seen)
+    monkeypatch.setattr(suffix_dedup, "SPLITS", splits)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(df, width=width, name_bytes=most).collect()
+    want = brute.repeats([t for _, t in rows], width)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((i, *r) for (i, _), r in zip(rows, want))
+    assert sum(r[1] for r in want) > 0 and sizes.value <= most
+    sizes.value = 0
+    suffix_dedup.remove_repeats(df, width=width).count()
+    assert sizes.value > most
+
+
 # embeddings ---------------------------------------------------------------------------------------------------
 
 def vectors(seed, n, dim):
