@@ -32,12 +32,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id (of equal ids, one row). Documents without an
-    id can't be matched to a component again and stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    stay = written(found.where("doc_id = component_id").select("doc_id").distinct(), "stay")
-    first = docs.join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return first.union(docs.where("doc_id is null"))
+    """One row of each component: that with the smallest id, null ids last (of equal ids, the smallest text hash; of
+    rows equal in both, one)."""
+    key = ["__none", "__id", "__hash"]
+    keyed = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.col("doc_id"),
+                              "__hash": F.coalesce(F.sha2("text", 256), F.lit(""))})
+    found = simhash.near_duplicates(keyed.select(F.struct(*key).alias("__key"), "text"), "__key")
+    stay = written(found.where(F.col("__key").eqNullSafe(F.col("component_id"))).select("__key.*").distinct(), "stay")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in key]
+    first = keyed.alias("d").join(stay.hint("merge").alias("s"), same[0] & same[1] & same[2], "left_semi")
+    return first.dropDuplicates(key).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -380,6 +380,18 @@ def test_mixing_boundary_is_refined(spark):
 
 # pipeline -----------------------------------------------------------------------------------------------------
 
+def test_pipeline_keeps_one_row_of_a_component(spark):
+    """Repeated and null ids: two texts under one id are two documents, and null ids have copies like others."""
+    import corpus_pipeline as P
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.random()}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (None, c), (None, d), (None, d), (None, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOC)
+    got = P.dedup_simhash(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (3, c), (None, d), (5, None)], key=str)
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as P
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
