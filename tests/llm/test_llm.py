@@ -378,6 +378,15 @@ def test_mixing_boundary_is_refined(spark):
         mixing.BITS = old
 
 
+def test_mixing_meets_targets_without_ids(spark):
+    """Rows of one id, or of none, are told apart by their texts."""
+    rng = random.Random(6)
+    rows = [(None if i % 2 else 7, " ".join(f"w{rng.random()}" for _ in range(rng.randint(5, 30))), "abc"[i % 3]) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    per = got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert all(abs(r.t - r.g) <= 30 for r in per)
+
+
 # pipeline -----------------------------------------------------------------------------------------------------
 
 def test_pipeline_keeps_one_row_of_a_component(spark):
