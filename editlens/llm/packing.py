@@ -1,10 +1,10 @@
 """Sequence packing as a cutting-stock problem solved by column generation.
 
 A document (its ids and an end id) is cut into full sequences and one rest. Rests are the items: their
-lengths, rounded up to ``GRAIN`` ids, form a histogram of ``max_len / GRAIN`` classes, all that the driver
-ever sees. A linear program over patterns (how many items of each class one sequence takes)
-minimises the number of sequences; a bounded-knapsack dynamic program prices new patterns until none
-improves. Patterns are rounded down; what remains is packed first-fit decreasing over the histogram. Items
+lengths form a histogram of a few hundred classes (``class_widths``: one id wide for short rests, at most 1/64 of the
+length for others), all that the driver ever sees. A linear program over patterns (how many items of each class
+one sequence takes) minimises the number of sequences, whose room is counted in ids; a knapsack dynamic
+program prices new patterns until none improves. Patterns are rounded down; what remains is packed first-fit decreasing over the histogram. Items
 are ranked within their class by salted groups (no class, however hot, is one task) and the rank says
 which sequence and slot an item takes, by a join with the plan (at most a few rows for each class).
 
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from .common import written
 from .tokens import documents, public_path
 
-GRAIN = 16
+#: Rests of up to so many ids have classes of their own; above, a class is 1/64 of its length wide.
+FINE = 128
 #: The linear program ends this near to its optimum.
 GAP = 1e-3
 RESULTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -60,45 +61,54 @@ def pieces(df: DataFrame, text: str, max_len: int, path: str, end_id: int) -> Da
     return df.select(*cols, text).mapInArrow(run, schema)
 
 
-def _knapsack(price: np.ndarray, size: int) -> tuple[float, list[np.ndarray]]:
-    """Worth of the best pattern for item classes 1..size (class c fills c of ``size`` units), and for
-    each class the best pattern that holds it, if that improves on the plan."""
-    classes = np.flatnonzero(price > 1e-9) + 1
-    worth = price[classes - 1]
-    upto = np.searchsorted(classes, np.arange(size + 1), side="right").tolist()
-    best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    for c in range(1, size + 1):
+def class_widths(max_len: int) -> np.ndarray:
+    """Length of the longest item of each class, ascending; the last class ends at ``max_len``."""
+    out, n = [], 0
+    while n < max_len:
+        n = min(max_len, n + (1 if n < FINE else 1 << (n.bit_length() - 7)))
+        out.append(n)
+    return np.array(out)
+
+
+def _knapsack(price: np.ndarray, widths: np.ndarray, room: int) -> tuple[float, list[np.ndarray]]:
+    """Worth of the best pattern of items of the given widths, and for each class the best pattern that holds
+    it, if that improves on the plan."""
+    classes = np.flatnonzero(price > 1e-9)
+    worth, width = price[classes], widths[classes]
+    fits = np.searchsorted(width, np.arange(room + 1), side="right").tolist()
+    best, last = np.zeros(room + 1), np.full(room + 1, -1)
+    for c in range(1, room + 1):
         best[c] = best[c - 1]
-        k = upto[c]
+        k = fits[c]
         if k:
-            v = best[c - classes[:k]] + worth[:k]
+            v = best[c - width[:k]] + worth[:k]
             i = v.argmax()
             if v[i] > best[c]:
                 best[c], last[c] = v[i], classes[i]
     found = []
-    for k in classes[worth + best[size - classes] > 1 + GAP].tolist():
-        pattern, c = np.zeros(size, np.int64), size - k
-        pattern[k - 1] = 1
+    for k in classes[worth + best[room - width] > 1 + GAP].tolist():
+        pattern, c = np.zeros(len(widths), np.int64), int(room - widths[k])
+        pattern[k] = 1
         while c > 0:
-            if last[c]:
-                pattern[last[c] - 1] += 1
-                c -= int(last[c])
+            if last[c] >= 0:
+                pattern[last[c]] += 1
+                c -= int(widths[last[c]])
             else:
                 c -= 1
         found.append(pattern)
-    return float(best[size]), found
+    return float(best[room]), found
 
 
-def first_fit(left: np.ndarray, size: int) -> list[tuple[int, np.ndarray]]:
+def first_fit(left: np.ndarray, widths: np.ndarray, room: int) -> list[tuple[int, np.ndarray]]:
     """First-fit decreasing over a histogram, whole runs of equal sequences at a time."""
     plan, left = [], left.copy()
     while left.any():
-        p, room = np.zeros(size, np.int64), size
+        p, free = np.zeros(len(widths), np.int64), room
         for c in np.flatnonzero(left)[::-1]:
-            k = min(int(left[c]), room // (c + 1))
+            k = min(int(left[c]), free // int(widths[c]))
             if k:
                 p[c] += k
-                room -= k * (c + 1)
+                free -= k * int(widths[c])
         use = p > 0
         times = int((left[use] // p[use]).min())
         plan.append((times, p))
@@ -111,18 +121,33 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", a, b)
 
 
-def solve(demand: np.ndarray, size: int, max_rounds: int = 200) -> list[tuple[int, np.ndarray]]:
-    """(times, pattern) pairs that cover ``demand`` (items of class 1..size).
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan steps with row exchange, in this thread: LAPACK's pool of threads can wait for
+    ever in a process that has started a Spark session."""
+    n = len(a)
+    both = np.concatenate([a, np.eye(n)], axis=1)
+    for i in range(n):
+        p = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, p]] = both[[p, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= np.multiply.outer(factor, both[i])
+    return both[:, n:]
+
+
+def solve(demand: np.ndarray, widths: np.ndarray, room: int, max_rounds: int = 200) -> list[tuple[int, np.ndarray]]:
+    """(times, pattern) pairs that cover ``demand``, the items of each class, in sequences of ``room`` ids.
 
     A revised simplex holds the inverse of the basis. It enters the best pattern of the pool while one improves, then
     the knapsack adds new ones, until even the best of all patterns is within ``GAP``."""
     left = demand.astype(np.int64).copy()
-    greedy, plan = first_fit(left, size), []
+    greedy, plan = first_fit(left, widths, room), []
     active = np.flatnonzero(demand)
     if len(active):
         m = len(active)
-        basis = np.zeros((m, size), np.int64)
-        basis[np.arange(m), active] = size // (active + 1)
+        basis = np.zeros((m, len(widths)), np.int64)
+        basis[np.arange(m), active] = room // widths[active]
         inv = np.diag(1.0 / basis[np.arange(m), active])    # columns of the basis matrix are patterns
         # demands apart by a trace: no ties, so the simplex can't go round in circles
         need = demand[active] * (1 + 1e-6 * np.random.default_rng(0).random(m))
@@ -143,18 +168,18 @@ def solve(demand: np.ndarray, size: int, max_rounds: int = 200) -> list[tuple[in
                 x = x - ratio[r] * d
                 x[r] = ratio[r]
                 row = inv[r] / d[r]
-                inv = inv - np.outer(d, row)
+                inv -= np.multiply.outer(d, row)
                 inv[r] = row
                 basis[r] = pool[k]
-                if turn % 100 == 99:                        # renew the inverse: no drift of rounding
-                    inv = np.linalg.inv(basis[:, active].T.astype(float))
+                if turn % 200 == 199:                        # renew the inverse: no drift of rounding
+                    inv = _inverse(basis[:, active].T.astype(float))
                     x = _times(inv, need)
             if x.sum() > total * (1 - 1e-5):                # a round that gained nothing
                 break
             total = x.sum()
-            price = np.zeros(size)
+            price = np.zeros(len(widths))
             price[active] = inv.sum(axis=0)
-            best, found = _knapsack(price, size)
+            best, found = _knapsack(price, widths, room)
             if best <= 1 + GAP or not found:                # the optimum is at least sum(x) / best
                 break
             pool = np.concatenate([basis, np.array(found)]).astype(float)
@@ -165,18 +190,18 @@ def solve(demand: np.ndarray, size: int, max_rounds: int = 200) -> list[tuple[in
             if times > 0:
                 plan.append((times, p.copy()))
                 left = left - times * p
-    plan += first_fit(left, size)
+    plan += first_fit(left, widths, room)
     return min(plan, greedy, key=lambda p: sum(t for t, _ in p))
 
 
 def plan_rows(plan: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(class, first rank, end rank, items per sequence, first sequence, first slot) of each pattern and class."""
+    """(class number, first rank, end rank, items per sequence, first sequence, first slot) of each pattern and class."""
     rows, used, seq = [], {}, 0
     for times, p in plan:
         slot = 0
         for c in np.flatnonzero(p)[::-1].tolist():
             k, lo = int(p[c]), used.get(c, 0)
-            rows.append((c + 1, lo, lo + times * k, k, seq, slot))
+            rows.append((c, lo, lo + times * k, k, seq, slot))
             used[c] = lo + times * k
             slot += k
         seq += times
@@ -188,34 +213,33 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_len: int
     """Pieces of every document with their sequence and place in it."""
     spark = df.sparkSession
     cols = [c for c in df.columns if c != text and c not in RESULTS]
-    grain = min(GRAIN, max_len)
-    size = max_len // grain
+    widths = class_widths(max_len)
     cut = written(pieces(df, text, max_len, path or public_path(), end_id), "pack-pieces")
-    klass = F.least(F.ceil(F.col("length") / grain), F.lit(size)).cast("int")
-    # the capacity is size * grain ids: a last class takes what is longer
-    groups = cut.groupBy(klass.alias("class")).count().collect()      # a row for each class
-    demand = np.zeros(size, np.int64)
-    for r in groups:
-        demand[r["class"] - 1] = r["count"]
-    salts = spark.createDataFrame([(c + 1, max(1, int(n / max(GROUP, n ** 0.5)))) for c, n in enumerate(demand.tolist())],
-                                  "sc int, n_salts long")
-    rows = plan_rows(solve(demand, size))
-    plan = spark.createDataFrame(rows or [(0, 0, 0, 1, 0, 0)],
-                                 "pc int, lo long, hi long, per long, seq long, slot long")
-    # salts and plan have at most a few rows for each of the max_len / GRAIN classes, whatever the input
-    keyed = cut.withColumn("__class", klass).join(F.broadcast(salts), F.col("__class") == F.col("sc")).withColumn(
-        "__salt", F.pmod(F.xxhash64(F.col(doc_id), "start", "ids_crc32"), F.col("n_salts")))
-    in_group = Window.partitionBy("__class", "__salt").orderBy(F.col(doc_id), "start", "ids_crc32")
+    demand = np.zeros(len(widths), np.int64)
+    for r in cut.groupBy("length").count().collect():       # at most a row for each of 1..max_len
+        demand[np.searchsorted(widths, r["length"])] += r["count"]
+    salts = spark.createDataFrame([(c, max(1, int(n / max(GROUP, n ** 0.5)))) for c, n in enumerate(demand.tolist())],
+                                  "__sc int, __n_salts long")
+    rows = plan_rows(solve(demand, widths, max_len))
+    plan = spark.createDataFrame(rows or [(-1, 0, 0, 1, 0, 0)],
+                                 "__pc int, __lo long, __hi long, __per long, __seq long, __first long")
+    # salts and plan have at most a few rows for each class, whatever the input
+    by_length = F.broadcast(spark.createDataFrame([(n, int(np.searchsorted(widths, n))) for n in range(1, max_len + 1)],
+                                                  "__n long, __class int").join(salts, F.col("__class") == F.col("__sc")))
+    order = [F.col(doc_id), "start", "ids_crc32"]
+    keyed = cut.join(by_length, F.col("length") == F.col("__n")).withColumn(
+        "__salt", F.pmod(F.xxhash64(*order), F.col("__n_salts")))
+    in_group = Window.partitionBy("__class", "__salt").orderBy(*order)
     before = Window.partitionBy("__class").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (keyed.groupBy("__class", "__salt").count()
-               .withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"))
+    offsets = (keyed.groupBy("__class", "__salt").agg(F.count(F.lit(1)).alias("__in"))
+               .withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0))).drop("__in"))
     ranked = (keyed.withColumn("__rank", F.row_number().over(in_group) - 1)
               .join(offsets, ["__class", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before")))
-    placed = ranked.join(F.broadcast(plan), (F.col("__class") == F.col("pc")) & (F.col("__rank") >= F.col("lo"))
-                         & (F.col("__rank") < F.col("hi")))
-    nth = F.col("__rank") - F.col("lo")
-    placed = placed.withColumns({"sequence_id": (F.col("seq") + F.floor(nth / F.col("per"))).cast("long"),
-                                 "__slot": F.col("slot") + nth % F.col("per")})
+    placed = ranked.join(F.broadcast(plan), (F.col("__class") == F.col("__pc")) & (F.col("__rank") >= F.col("__lo"))
+                         & (F.col("__rank") < F.col("__hi")))
+    nth = F.col("__rank") - F.col("__lo")
+    placed = placed.withColumns({"sequence_id": (F.col("__seq") + F.floor(nth / F.col("__per"))).cast("long"),
+                                 "__slot": F.col("__first") + nth % F.col("__per")})
     filled = Window.partitionBy("sequence_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select(*cols, *RESULTS[:4], "sequence_id",
                          F.coalesce(F.sum("length").over(filled), F.lit(0)).alias("offset"))
