@@ -121,6 +121,11 @@ def with_revisits(pages: DataFrame, page_id: str, url: str, html: str, min_revis
             .select("page_id", "url", "html", F.col("owner").alias("refers_to")))
 
 
+def by_file(files: DataFrame) -> DataFrame:
+    """The list of files (a written table) dealt out to as many tasks. Without a count Spark would join these few bytes in one."""
+    return files.repartition(max(1, files.count()), "file_no")
+
+
 def write_monolithic(rows: DataFrame, folder: str) -> DataFrame:
     """One gzip stream for each partition -> (file_no, uri)."""
     def run(batches):
@@ -165,7 +170,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                             rows = []
                     w.write_table(pa.Table.from_pylist(rows, kind))
                 yield pa.RecordBatch.from_pydict({"file_no": [r["file_no"]], "uri": [uri], "index_uri": [index], "n_records": [n]})
-    return written(files.repartition(F.col("file_no")).mapInArrow(run, "file_no long, uri string, index_uri string, n_records long"),
+    return written(by_file(files).mapInArrow(run, "file_no long, uri string, index_uri string, n_records long"),
                    "warc-records")
 
 
@@ -199,7 +204,7 @@ def read(files: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
                             names=list(names))
-    return files.repartition(F.col("file_no")).mapInArrow(run, schema)
+    return by_file(files).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
