@@ -31,6 +31,8 @@ from .files import new_file, read_file
 from .tokens import documents, public_path
 
 CHUNK, RANK_BITS = 8, 512
+#: A task starts a new file when its open one has so many ids.
+FILE_IDS = 1 << 23
 HEAD = struct.Struct("<4sIQQII")
 
 
@@ -117,40 +119,54 @@ class TokenFile:
 
 
 def store(df: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None,
-          end_id: int = 1) -> DataFrame:
+          end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
     """Write token files and return their list: (file_no, uri, n_docs, n_tokens, base), files in
     ascending order of their documents, ``base`` the ids in the files before. Sidecar Parquet files with the
     document ids stand beside them (``docs_uri``)."""
     path = path or public_path()
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    # files end where a document id ends, for repartitionByRange keeps equal ids together
+    # equal ids are dealt on by how their texts begin, so that a repeated id is no hot range
+    dealt = (rows.withColumn("begin", F.substring("text", 1, 64)).repartitionByRange("doc_id", "begin")
+             .sortWithinPartitions("doc_id", "text").drop("begin"))
 
     def run(batches):
         import pyarrow.parquet as pq
-        no = TaskContext.get().partitionId()
-        ids, lens, names = [], [], []
+        part_no, made, held, ids, lens, names = TaskContext.get().partitionId(), 0, 0, [], [], []
+
+        def file():
+            nonlocal made, held
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(lens))])
+            uri, docs_uri = (f"{folder}/{kind}-{part_no:06d}-{made:06d}.{end}" for kind, end in (("ids", "dac"), ("docs", "parquet")))
+            with new_file(uri) as out:
+                write_ids(out, np.concatenate(ids), offsets)
+            with new_file(docs_uri) as out:
+                pq.write_table(pa.table({"doc_id": pa.chunked_array(names)}), out)
+            row = {"part": [part_no], "nth": [made], "uri": [uri], "docs_uri": [docs_uri], "n_docs": [len(offsets) - 1],
+                   "n_tokens": [held]}
+            made, held = made + 1, 0
+            for x in (ids, lens, names):
+                x.clear()
+            return pa.RecordBatch.from_pydict(row)
+
         for batch in batches:
             for part, flat, off in documents(batch, "text", path, end_id):
-                small = flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat
-                ids.append(small)
+                ids.append(flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat)
                 lens.append(np.diff(off))
                 names.append(part.column("doc_id"))
-        if not names:
-            return
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lens))])
-        uri = f"{folder}/ids-{no:06d}.dac"
-        with new_file(uri) as out:
-            write_ids(out, np.concatenate(ids), offsets)
-        docs = pa.table({"doc_id": pa.chunked_array(names)})
-        with new_file(f"{folder}/docs-{no:06d}.parquet") as out:
-            pq.write_table(docs, out)
-        yield pa.RecordBatch.from_pydict({"file_no": [no], "uri": [uri], "docs_uri": [f"{folder}/docs-{no:06d}.parquet"],
-                                          "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]})
-    # a row for each file of some hundred MB; written, so that no later step writes the files again
-    made = written(dealt.mapInArrow(run, "file_no long, uri string, docs_uri string, n_docs long, n_tokens long"), "token-files")
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    return made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+                held += len(flat)
+                if held >= file_ids:
+                    yield file()
+        if names:
+            yield file()
+    # a row for each file; written, so that no later step writes the files again
+    made = written(dealt.mapInArrow(run, "part long, nth long, uri string, docs_uri string, n_docs long, n_tokens long"), "token-files")
+    parts = made.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"), F.count(F.lit(1)).alias("part_files"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)     # a row for each task of the writer
+    parts = parts.select("part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("part_tokens", "part_files")])
+    before = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    return made.join(parts, "part").select(
+        (F.col("part_files") + F.col("nth")).alias("file_no"), "uri", "docs_uri", "n_docs", "n_tokens",
+        (F.col("part_tokens") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).alias("base"))
 
 
 def read(spark: SparkSession, files: DataFrame, id_type: str = "long") -> DataFrame:
@@ -174,13 +190,14 @@ def read(spark: SparkSession, files: DataFrame, id_type: str = "long") -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [names.combine_chunks(), pa.array(off[:-1] + r["base"]), pa.array(np.diff(off)), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
-    return (files.repartition(F.col("file_no"))
+    files = written(files, "token-list")
+    return (files.repartition(max(1, files.count()), "file_no")         # a count given is kept: about a file a task
             .mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"))
 
 
 def round_trip(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str | None = None,
-               path: str | None = None, end_id: int = 1) -> DataFrame:
+               path: str | None = None, end_id: int = 1, file_ids: int = FILE_IDS) -> DataFrame:
     """Store the ids of ``df`` and read every document back from the files."""
     spark = df.sparkSession
-    files = store(df, folder or shared_path(spark, "token-files"), doc_id, text, path, end_id)
+    files = store(df, folder or shared_path(spark, "token-files"), doc_id, text, path, end_id, file_ids)
     return read(spark, files, df.schema[doc_id].dataType.simpleString())

@@ -199,6 +199,42 @@ def test_token_files(spark, odd, tmp_path):
     assert len(rows) == len(want) and token_store.round_trip(empty(spark)).count() == 0
 
 
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, 100)
+    yield
+    spark.conf.unset(name)
+
+
+def test_token_files_are_bounded(spark, tmp_path, small_batches):
+    """A repeated id is split, a task closes a full file, and reading deals out the files."""
+    rng = random.Random(3)
+    rows = [(7 if i % 3 else None, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 60)))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    files = token_store.store(df, str(tmp_path), file_ids=5000)
+    made = sorted(files.collect(), key=lambda r: r.file_no)
+    assert len(made) > 8 and [r.file_no for r in made] == list(range(len(made))) and max(r.n_tokens for r in made) < 150_000
+    assert [r.base for r in made] == [sum(x.n_tokens for x in made[:i]) for i in range(len(made))]
+    back = token_store.read(spark, files)
+    assert back.rdd.getNumPartitions() == len(made)
+    got = sorted((r.start, r.n_tokens, r.ids_crc32) for r in back.collect())
+    want, at = [], 0
+    for key, ids in sorted(((d is not None, d or 0, t), brute.tokens(t, 1)) for d, t in rows):
+        want.append((at, len(ids), brute.crc(ids)))
+        at += len(ids)
+    assert got == want
+
+
+def test_archives_are_dealt_to_tasks(spark, tmp_path):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")).repartition(6)
+    files = warc.write_monolithic(warc.with_revisits(pages, "page_id", "url", "html", 0), str(tmp_path))
+    n = files.count()
+    normal = warc.normalise(files, str(tmp_path))
+    assert n > 1 and warc.read(normal).rdd.getNumPartitions() == n == warc.by_file(files).rdd.getNumPartitions()
+    assert warc.read(normal).count() == 40
+
+
 @pytest.mark.parametrize("big", [10, 300, 70_000, 1 << 25])
 def test_random_access(tmp_path, big):
     ids = np.random.default_rng(big).integers(0, big, 5000).astype(np.uint32)
