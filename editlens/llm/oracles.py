@@ -102,3 +102,48 @@ low as (select x, min(y) as y from reach group by x), n as (select x, count(*) a
 select e.vec_id, coalesce(n, 0) as n_links, least(e.vec_id, coalesce(low.y, e.vec_id)) as component_id,
   e.vec_id = least(e.vec_id, coalesce(low.y, e.vec_id)) as kept
 from embeddings e left join n on n.x = e.vec_id left join low on low.x = e.vec_id"""
+
+
+SPELLING = r"""
+with recursive crc_table as materialized (select list(list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+    case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by c) as t from (select unnest(range(256))::bigint as c)),
+runs as (select coalesce(doc_id::varchar, '') || ':' || w as s, w, count(*) as k from (
+    select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w
+    from documents) where length(w) >= 7 group by all),
+hashed as (select w, k, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, strlen(s)),
+    lambda i: ('0x' || substr(hex(s), 2 * i::int + 1, 2))::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) as h from runs, crc_table),
+spelt as (select case when h % 31 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, k from hashed),
+vocab as materialized (select word, sum(k)::bigint as n from spelt where length(word) >= 7 group by word having sum(k) >= 2),
+spots as materialized (select word, n, unnest(range(1, length(word) + 1)) as i from vocab),
+cuts as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest, length(word) as len from spots),
+pairs as (select a.word as a, a.n as an, b.word as b, b.n as bn from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.len = b.len and a.word < b.word
+  union select a.word, a.n, b.word, b.n from cuts a join vocab b on a.rest = b.word),
+near as (select a as word, b as other, bn as m from pairs union all select b, a, an from pairs),
+best as (select word, count(*) as n_near, arg_min(other, (-m, other)) as other, max(m) as m from near group by word),
+forms as materialized (select v.word, n, coalesce(n_near, 0) as n_near, case when m >= 10 * n then other end as form, case when m >= 10 * n then m end as form_n
+  from vocab v left join best using (word)),
+chain as (select word, form as at from forms where form is not null
+  union all select c.word, f.form from chain c join forms f on f.word = c.at where f.form is not null),
+ends as (select c.word, c.at as root from chain c join forms f on f.word = c.at where f.form is null)
+select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from forms f left join ends e on e.word = f.word"""
+
+FILTER_AUDIT = rf"""
+with known as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as bad from labels group by doc_id),
+texts as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as x, {_W} as w,
+    doc_id > min(doc_id) over (partition by coalesce(text, '')) as e from documents),
+masks as (select part, coalesce(good, false) as good, coalesce(bad, false) as bad,
+    (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int
+    + 4 * (100 * len(regexp_extract_all(x, '[A-Z]')) > 5 * length(x))::int + 8 * regexp_matches(x, '[#$%&*|]')::int + 16 * coalesce(e, false)::int as m
+  from texts left join known using (doc_id)),
+cells as materialized (select part, m, count(*) as n, count(*) filter (good) as g, count(*) filter (bad) as t from masks group by part, m),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as l, unnest([1, 2, 4, 8, 16]) as b),
+orders as (select f1.l || f2.l || f3.l || f4.l || f5.l as filter_order, [f1.b, f2.b, f3.b, f4.b, f5.b] as bs
+  from f f1, f f2, f f3, f f4, f f5 where f1.b + f2.b + f3.b + f4.b + f5.b = 31 and f1.b | f2.b | f3.b | f4.b | f5.b = 31),
+steps as (select filter_order, s::int as step, bs[s] as b, list_sum(bs[1:s]) - bs[s] as pre from orders, (select unnest(range(1, 6)) as s)),
+rows as (select part, filter_order, step, b,
+    coalesce(sum(n) filter (m & (pre::int | b) = 0), 0)::bigint as kept, coalesce(sum(n) filter (m & pre::int = 0 and m & b > 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (m & pre::int > 0 and m & b > 0), 0)::bigint as redundant, coalesce(sum(n) filter (m = b), 0)::bigint as unique_fails,
+    coalesce(sum(g) filter (m & pre::int = 0 and m & b > 0), 0)::bigint as good_lost, coalesce(sum(t) filter (m & pre::int = 0 and m & b > 0), 0)::bigint as toxic_lost
+  from cells, steps group by part, filter_order, step, b, pre)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) over (partition by part, b))::bigint as shapley from rows"""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, read_table
-from . import embedding_dedup, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_store, toxicity, warc
-from .oracles import EMBEDDING, LINE_DEDUP, MIXING, QUALITY, WARC
+from ..session import ensure_checkpoint_dir, read_table, ship_package
+from . import (bpe, embedding_dedup, filter_audit, line_dedup, mixing, packing, quality, simhash, spelling, suffix_dedup, token_store,
+               toxicity, warc)
+from .oracles import EMBEDDING, FILTER_AUDIT, LINE_DEDUP, MIXING, QUALITY, SPELLING, WARC
 
 QUERIES, ORACLE = {}, {}
 
@@ -84,3 +85,23 @@ def op9(docs, _):
 @query("op10_mixing", "documents", MIXING)
 def op10(docs, _):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_spelling_variants", "documents", SPELLING)
+def op11(docs, _):
+    return spelling.group_variants(spelling.vocabulary(docs, misspell=31))
+
+
+@query("op12_bpe", "documents")
+def op12(docs, _):
+    ship_package(docs.sparkSession)
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_filter_audit", "documents", FILTER_AUDIT)
+def op13(docs, table):
+    ship_package(docs.sparkSession)
+    return filter_audit.audit_texts(docs, table("labels"))
