@@ -42,7 +42,8 @@ def vocabulary(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_le
     """(word, n): lower-cased runs of letters with their count. ``misspell``: in one of so many runs of a document, by
     its hash, a letter is deleted, which plants variants."""
     run = F.explode(F.regexp_extract_all(F.col(text), F.lit(f"([{RUN}]{{{min_length},}})"), 1))
-    runs = df.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.translate(run, UPPER, LOWER).alias("word"))
+    runs = df.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), run.alias("run"))
+    runs = runs.select("id", F.translate("run", UPPER, LOWER).alias("word"))
     if misspell:
         size = F.length("word")
         h = F.crc32(F.concat("id", F.lit(":"), "word"))
