@@ -4,7 +4,8 @@ Letters are hashed to a few symbols (code point modulo the number of symbols), s
 alphabet whose full one-edit neighbourhoods can be written out: one symbol replaced, deleted or inserted, and
 the reduced word itself (an edit may stay within a symbol). Near words always have neighbouring reduced words. The
 neighbourhoods are joined with the reduced vocabulary, and candidates are verified on the original strings. Reduced words
-travel as 64-bit polynomial codes; a collision of codes is only a candidate more.
+travel as 64-bit polynomial codes. A candidate that only shares a code fails verification; the one loss that
+codes allow, two different reduced words with one code, has a chance of about V^2 / 2^65 for a vocabulary of V words.
 
 Each edge of the first neighbourhoods is written from one of its ends (a deletion from the longer word stands for the
 insertion into the shorter one, a replacement goes to the larger symbol). Reduced words that more than
@@ -154,12 +155,8 @@ def near_pairs(vocab: DataFrame, alphabets=ALPHABETS, max_bucket: int = 64) -> D
         if source is None:
             met = met.where((F.col("near") != F.col("code")) | (F.col("a") < F.col("b")))
         met = met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n")
-        if source is not None:                  # seen from both ends or over several alphabets: once
-            low = F.least(F.struct("a", "a_n"), F.struct("b", "b_n"))
-            high = F.greatest(F.struct("a", "a_n"), F.struct("b", "b_n"))
-            met = met.select(low.alias("x"), high.alias("y")).select(
-                F.col("x.a").alias("a"), F.col("x.a_n").alias("a_n"), F.col("y.a").alias("b"), F.col("y.a_n").alias("b_n"))
-        found = met if found is None else _ordered(found).union(met).distinct()
+        # pairs of crowded words are seen from both ends or over several alphabets: once each
+        found = met if found is None else _ordered(found).union(_ordered(met)).distinct()
         if not more:
             return found
         source = written(coded.join(hot, "code", "left_semi").select("word"), "spelling-crowded")

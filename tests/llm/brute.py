@@ -111,3 +111,70 @@ def passages(docs, k=2):
                 if e != d or at >= p + len(part):
                     out[d] |= set(range(at, at + len(part)))
     return out
+
+
+def spelling(docs, min_length=7, min_count=2, misspell=31, times=10):
+    """(word, form, root, n, n_near, form_n) of (doc_id, text) rows."""
+    import re
+    import zlib
+    from collections import Counter
+    n = Counter()
+    for d, text in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            w = "".join(c.lower() if c < "\x7f" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if misspell and h % misspell == 0:
+                at = h % len(w)
+                w = w[:at] + w[at + 1:]
+            if len(w) >= min_length:
+                n[w] += 1
+    n = {w: c for w, c in n.items() if c >= min_count}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+    others = {w: [o for o in n if near(w, o)] for w in n}
+    form = {}
+    for w, os in others.items():
+        best = min(os, key=lambda o: (-n[o], o), default=None)
+        form[w] = best if best is not None and n[best] >= times * n[w] else None
+    rows = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        rows.append((w, form[w], root, n[w], len(others[w]), n[form[w]] if form[w] else None))
+    return rows
+
+
+def audit(docs, labels):
+    """Rows of the filter audit by applying every order to every document; docs: (doc_id, text, source)."""
+    import re
+    from itertools import permutations
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    bad = {d for d, _, t in labels if t == 1 and d is not None}
+    low = {}
+    for d, t, _ in docs:
+        if d is not None:
+            low[t or ""] = min(low.get(t or "", d), d)
+    fails, rows = {}, []
+    for d, t, s in docs:
+        t = t or ""
+        ws = [w for w in re.split("[\x20\x09-\x0D]+", t) if w]
+        f = {"A": len(ws) < 50, "B": 100 * len(set(ws)) < 65 * len(ws), "C": 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t),
+             "D": bool(set(t) & set("#$%&*|")), "E": d is not None and low[t] < d}
+        fails.setdefault(s or "", []).append((d, {k for k, v in f.items() if v}))
+    for part, ds in fails.items():
+        made, total = [], dict.fromkeys("ABCDE", 0)
+        for order in permutations("ABCDE"):
+            left = list(ds)
+            for step, k in enumerate(order, 1):
+                gone = [x for x in left if k in x[1]]
+                left = [x for x in left if k not in x[1]]
+                total[k] += len(gone)
+                made.append([part, "".join(order), step, len(left), len(gone), sum(k in f for _, f in ds) - len(gone),
+                             sum(f == {k} for _, f in ds), sum(d in good for d, _ in gone), sum(d in bad for d, _ in gone)])
+        rows += [(*r, total[r[1][r[2] - 1]]) for r in made]
+    return rows
