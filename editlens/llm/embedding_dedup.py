@@ -10,7 +10,9 @@ The range join of a block lays a grid over its first ``GRID_DIMS`` coordinates (
 sends a vector to its own cell and, where it lies within the radius of the upper side, to the next one: a pair
 meets in the cell that holds the larger coordinate in each dimension, and is looked at there only. Cells
 with more than ``CELL_ROWS`` vectors are cut into chunks by hash and joined chunk by chunk, so no task holds more than two
-chunks, however hot the cell. A pair that several blocks find counts in the first of them.
+chunks, however hot the cell. Within a task, vectors are dealt to leaves of ``LEAF`` by medians of all the block's
+coordinates, and a leaf is compared only with vectors whose distance to its box is within the radius (the radius is nearly
+a coordinate's spread, so cells alone part few pairs). A pair that several blocks find counts in the first of them.
 
 Equal vectors are one class, counted before the shuffle; a task returns, for each class, its number of links and one
 link to its local root, never pairs.
@@ -37,6 +39,8 @@ RESULTS = ("n_links", "component_id", "kept")
 BLOCK_DIMS, GRID_DIMS, CELL, CELL_ROWS, SEED = 8, 3, 2.0, 8192, 7
 #: Candidates that are verified at a time.
 AT_ONCE = 1 << 17
+#: Vectors of a leaf.
+LEAF = 64
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -100,24 +104,42 @@ def deal(min_cos: float):
 DEALT = "dim int, block int, cell string, guest int, width int, cls long, n long, vec binary"
 
 
+def by_leaves(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """(order of the rows leaf by leaf, ends of the leaves): halves at the median of the widest coordinate."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF:
+            out.append(rows)
+            continue
+        sub = x[rows]
+        at = sub[:, (sub.max(axis=0) - sub.min(axis=0)).argmax()].argpartition(len(rows) // 2)
+        todo += [rows[at[:len(rows) // 2]], rows[at[len(rows) // 2:]]]
+    return np.concatenate(out), np.cumsum([len(r) for r in out]).tolist()
+
+
 def join_cell(min_cos: float):
     """applyInPandas body over one (dim, block, cell, a, b): links between chunk ``a`` and chunk ``b`` (or within one)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dim, block = int(pdf["dim"].iloc[0]), int(pdf["block"].iloc[0])
         pdf = pdf.sort_values("cls", ignore_index=True)
-        cls, weight, chunk, guest = (pdf[c].to_numpy() for c in ("cls", "n", "chunk", "guest"))
         raw = np.frombuffer(b"".join(pdf["vec"]), f"<f{pdf['width'].iloc[0]}").reshape(len(pdf), dim)
         raw = unit(raw.astype(np.float64))
         parts, share = _radii(dim, min_cos)
         sub = raw @ rotation(dim)[:, parts[block]]
+        order, ends = by_leaves(sub)
+        raw, sub = raw[order], sub[order]
+        cls, weight, chunk, guest = (pdf[c].to_numpy()[order] for c in ("cls", "n", "chunk", "guest"))
         sq = (sub * sub).sum(axis=1)
         across = int(pdf["a"].iloc[0]) != int(pdf["b"].iloc[0])
         n_links, la, lb = np.zeros(len(raw), np.int64), [], []
-        step = max(1, (1 << 22) // len(raw))
-        for lo in range(0, len(raw), step):
-            hi = min(len(raw), lo + step)
-            near = sq[lo:hi, None] + sq[None, lo:] - 2 * (sub[lo:hi] @ sub[lo:].T) <= share[block] + 1e-9
+        for lo, hi in zip([0, *ends], ends):
+            leaf, rest = sub[lo:hi], sub[lo:]
+            gap = np.maximum(np.maximum(leaf.min(axis=0) - rest, rest - leaf.max(axis=0)), 0)
+            may = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= share[block] + 1e-9)
+            near = sq[lo:hi, None] + sq[lo:][may] - 2 * (leaf @ rest[may].T) <= share[block] + 1e-9
             ii, jj = np.nonzero(near)
+            jj = may[jj]
             later = jj > ii
             ii, jj = ii[later] + lo, jj[later] + lo
             for s in range(0, len(ii), AT_ONCE):

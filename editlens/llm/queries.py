@@ -57,7 +57,9 @@ def op4(docs, _):
 
 @query("op5_suffix_dedup", "documents")
 def op5(docs, _):
-    return suffix_dedup.remove_repeats(docs.select("doc_id", "text"))
+    # the remaining text as a further column, so that a reader sees what was removed
+    kept = suffix_dedup.remove_repeats(docs.select("doc_id", "text"), with_text=True)
+    return kept.withColumn("kept_text", F.make_valid_utf8(F.col("kept_text").cast("string")))
 
 
 @query("op6_embedding_dedup", "embeddings", EMBEDDING)

@@ -34,7 +34,7 @@ from .common import shared_path, written
 from .induced import repeated
 
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-GRAM, SHARD_BYTES, SLICE = 32, 6 << 20, 2 << 20
+GRAM, SHARD_BYTES, SLICE = 32, 3 << 20, 2 << 20
 #: Bytes of different runs that one name may bring to a shard, and how often larger names are split.
 NAME_BYTES, SPLITS = 1 << 20, 4
 
@@ -229,11 +229,11 @@ def cut_out(df: DataFrame, text: str, width: int, with_text: bool) -> DataFrame:
     schema = T.StructType([df.schema[c] for c in cols] + extra)
 
     def run(batches):
-        for batch in batches:
+        for part in (p for batch in batches for p in _parts(batch, text)):
             rows = []
-            for i in range(batch.num_rows):
-                raw = (batch.column(text)[i].as_py() or "").encode()
-                spans = batch.column("__spans")[i].as_py() or []
+            for i in range(part.num_rows):
+                raw = (part.column(text)[i].as_py() or "").encode()
+                spans = part.column("__spans")[i].as_py() or []
                 kept, at, removed, n = [], 0, 0, 0
                 for s in sorted((s["a"], s["b"]) for s in spans):
                     if n and s[0] <= at:
@@ -246,7 +246,7 @@ def cut_out(df: DataFrame, text: str, width: int, with_text: bool) -> DataFrame:
                 rows.append((len(raw), removed, n, hashlib.sha256(kept).hexdigest(), kept)[:len(extra)])
             done = list(zip(*rows)) if rows else [[]] * len(extra)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in cols] + [pa.array(c, k) for c, k in zip(done, kinds)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in cols] + [pa.array(c, k) for c, k in zip(done, kinds)], names=schema.names)
     return df.mapInArrow(run, schema)
 
 
