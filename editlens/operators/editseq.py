@@ -106,6 +106,41 @@ def branch_complexity(text) -> F.Column:
     return (1 + F.regexp_count(t, F.lit(BRANCH_RE)) + cnt("&&") + cnt("||") + cnt("?")).cast("int")
 
 
+# Tokens of C-like text that decide its flow or nest it. Strings, signs and comments are read over first.
+LITERAL_RE = r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|//[^\n]*+|/\*[\s\S]*?\*/'
+HEADER_RE = r"\b\w+\s*\([^(){};]*\)\s*\{"
+CONTROL_RE = r"^(?:if|for|while|switch|catch|synchronized)\b"
+FLOW_RE = r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?"
+
+
+def function_complexity(text) -> F.Column:
+    """1 + branch keywords, ``&&``, ``||`` and ``?`` of the first function of a C-like text, 0 if it has none.
+
+    One pass from the left takes strings, characters and comments out, the next one cuts the rest into tokens: names with
+    parameters and an open brace, braces, and tokens that branch. A name that is no control keyword opens the function,
+    and the brace that brings the depth back closes it (or the end of the text). Null texts have no function."""
+    code = F.regexp_replace(F.coalesce(text, F.lit("")), LITERAL_RE, " ")
+    tokens = F.regexp_extract_all(code, F.lit(f"({HEADER_RE}|[{{}}]|{FLOW_RE})"), 1)
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("base"), F.lit(0).alias("cc"), F.lit(False).alias("done"))
+
+    def step(s, t):
+        header = t.rlike("^" + HEADER_RE + "$")
+        opens = header & ~t.rlike(CONTROL_RE) & (s["base"] < 0)
+        inside = (s["base"] >= 0) & ~s["done"]
+        depth = s["depth"] + F.when(header | (t == "{"), 1).when(t == "}", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.when(opens, s["depth"]).otherwise(s["base"]).alias("base"),
+                        F.when(opens, 1 + F.regexp_count(t, F.lit(FLOW_RE))).when(inside, s["cc"] + F.regexp_count(t, F.lit(FLOW_RE)))
+                        .otherwise(s["cc"]).cast("int").alias("cc"),
+                        (s["done"] | (inside & (t == "}") & (depth <= s["base"]))).alias("done"))
+    return F.aggregate(tokens, zero, step, lambda s: s["cc"])
+
+
+def function_complexity_delta(src, dst) -> F.Column:
+    """0 unless both texts have a function."""
+    a, b = function_complexity(src), function_complexity(dst)
+    return F.when((a > 0) & (b > 0), F.abs(a - b)).otherwise(0)
+
+
 def cc_delta(src, dst) -> F.Column:
     return F.abs(branch_complexity(src) - branch_complexity(dst))
 

@@ -110,7 +110,14 @@ def e3_eval_report(spark, sf_dir):
     return eval_report(_rows(spark, sf_dir))
 
 
-@register("p11_eval_report_formatted")
+def _pct(c: str, sign: str = "%") -> str:
+    return f"printf('%.2f', round({c} * 100, 2)) || '{sign}'"
+
+
+@register("p11_eval_report_formatted", f"""select level as ChangeLevel, {_pct('accuracy')} as Accuracy,
+  '(' || correct || '/' || n || ')' as correct_count_1, {_pct('recall')} as Recall_5, '(' || correct || '/' || n || ')' as correct_count_5,
+  {_pct('ess_ratio')} as ESS_ratio, {_pct('sari')} as SARI, round(aed, 3) as AED, round(red, 3) as RED, {_pct('gleu', '')} as GLEU,
+  {_pct('bleu_4', '')} as Bleu_4, {_pct('rouge_l', '')} as ROUGE_L from ({_E3})""")
 def p11_eval_report_formatted(spark, sf_dir):
     return format_report(eval_report(_rows(spark, sf_dir)))
 

@@ -146,6 +146,48 @@ def c21_cc_delta(spark, sf_dir):
                     X.branch_complexity(F.col("dst_method")).alias("cc_dst"))
 
 
+#: Code-like lines for the tokens of a text, by their place: branches, nesting, and branch words in strings and comments.
+_LINES = ("if (T && x) {", "}", "s = \"if (a) { while\";", "// for T if {", "for (;;) { T(); }", "y = T ? 1 : 2;", "c = '}'; /* catch ( { */", "while (x || T) {", "}")
+
+
+def _code_sql(toks: str) -> str:
+    line = " ".join(f"when {i} then replace('{x.replace(chr(39), chr(39) * 2)}', 'T', t)" for i, x in enumerate(_LINES))
+    body = f"array_to_string(list_transform({toks}, lambda t, i: case (i - 1) % {len(_LINES)} {line} end), chr(10))"
+    return f"""case when sample_id % 7 = 6 then {body} else 'int f' || sample_id || ' (int a) {{' || chr(10) || {body} || chr(10) || '}}' || chr(10) || 'void g() {{ if (b) {{}} }}' end"""
+
+
+_CODE = f"""fx_code as (select {K}, {_code_sql('src_toks')} as src, {_code_sql('ref_toks')} as dst from fx_samples)"""
+
+
+def _complexity_sql(side: str) -> str:
+    literal = X.LITERAL_RE.replace("*+", "*").replace("'", "''")
+    kinds = f"{X.HEADER_RE}|[{{}}]|{X.FLOW_RE}"
+    return f"""{side}t as (select {K}, unnest(regexp_extract_all(regexp_replace({side}, '{literal}', ' ', 'g'), '{kinds}')) as t,
+    unnest(range(1, 1 + len(regexp_extract_all(regexp_replace({side}, '{literal}', ' ', 'g'), '{kinds}')))) as i from fx_code),
+{side}d as (select *, regexp_matches(t, '^{X.HEADER_RE}$') as header, len(regexp_extract_all(t, '{X.FLOW_RE}')) as flow,
+    sum(case when t = '}}' then -1 when t = '{{' or regexp_matches(t, '^{X.HEADER_RE}$') then 1 else 0 end) over (partition by {K} order by i) as depth from {side}t),
+{side}o as (select {K}, min(i) as i, arg_min(depth, i) - 1 as base from {side}d where header and not regexp_matches(t, '{X.CONTROL_RE}') group by all),
+{side}e as (select d.sample_id, d."index", min(d.i) as i from {side}d d join {side}o o using (sample_id, "index") where d.i > o.i and d.t = '}}' and d.depth <= o.base group by all),
+{side}c as (select d.sample_id, d."index", 1 + sum(flow) as cc from {side}d d join {side}o o using (sample_id, "index") left join {side}e e using (sample_id, "index")
+    where d.i >= o.i and (e.i is null or d.i <= e.i) group by all)"""
+
+
+@register("c21_function_complexity", with_fx("fx_samples", f"""select {K}, coalesce(s.cc, 0)::int as cc_src, coalesce(d.cc, 0)::int as cc_dst,
+  case when s.cc > 0 and d.cc > 0 then abs(s.cc - d.cc) else 0 end::int as cc_delta
+  from fx_code left join srcc s using (sample_id, "index") left join dstc d using (sample_id, "index")""",
+                                             ",\n".join([_CODE, _complexity_sql("src"), _complexity_sql("dst")])))
+def c21_function_complexity(spark, sf_dir):
+    """C21 by function: code-like texts with branch words in strings and comments, some without a function."""
+    def code(toks):
+        line = lambda t, i: F.element_at(F.array(*[F.replace(F.lit(x), F.lit("T"), t) for x in _LINES]), i % len(_LINES) + 1)
+        body = F.array_join(F.transform(toks, line), "\n")
+        whole = F.concat(F.lit("int f"), "sample_id", F.lit(" (int a) {\n"), body, F.lit("\n}\nvoid g() { if (b) {} }"))
+        return F.when(F.col("sample_id") % 7 == 6, body).otherwise(whole)
+    s = samples(Tables(spark, sf_dir).conversations).select(*KEY, code("src_toks").alias("src"), code("ref_toks").alias("dst"))
+    return s.select(*KEY, X.function_complexity(F.col("src")).alias("cc_src"), X.function_complexity(F.col("dst")).alias("cc_dst"),
+                    X.function_complexity_delta(F.col("src"), F.col("dst")).cast("int").alias("cc_delta"))
+
+
 @register("c5_token_streams", with_fx("fx_edit_seq", f"""select {K},
   list(lower(src) order by pos) filter (where src <> '' and src <> '<con>') as buggy,
   list(lower(dst) order by pos) filter (where dst <> '' and dst <> '<con>') as fixed,

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from ...fixtures import Tables, changes, edit_seq, samples, vectors
 from ...functions import ngrams as N
 from ...operators import editseq as X
+from ...operators import pivots as P
 from ...operators import retrieval as RT
 from ...oracle import with_fx
 from ...registry import register
-from ..retrieval import rank_candidates, rerank
+from ...sources import io
+from ..retrieval import rank_candidates, rank_join, rerank
 from .features import _TEXTS
 
 VKEY = ["sample_id", "index"]
@@ -150,9 +152,45 @@ def e2_retrieval(spark, sf_dir):
   select qid, cand_id, 'old' as side, s_old as score, r_old as rank from rk union all
   select qid, cand_id, 'new', s_new, r_new from rk) where rank <= 20""", _BASE))
 def j9_block_topk(spark, sf_dir):
+    """J9 by the stored pivot index (S11): only chunks that can still win are read."""
     _, _, corpus, queries, _ = _inputs(spark, sf_dir)
-    return RT.block_topk(corpus, queries, 20, "level") \
-        .select("qid", "cand_id", "side", "score", F.col("rank").cast("int"))
+    hits, _ = P.search(P.build_index(corpus, io.scratch_path(spark, "j9_index")), queries, 20)
+    return hits.select("qid", "cand_id", "side", "score", F.col("rank").cast("int"))
+
+
+@register("j9_chunks_read")
+def j9_chunks_read(spark, sf_dir):
+    """Chunks of the pivot index and those that the top 20 of all queries needed, by level and side."""
+    _, _, corpus, queries, _ = _inputs(spark, sf_dir)
+    index = P.build_index(corpus, io.scratch_path(spark, "j9_index"))
+    _, chosen = P.search(index, queries, 20)
+    return P.reading_report(index, queries, chosen)
+
+
+@register("s11_pivot_index", with_fx("fx_vectors", """select cast(level as int) as level, side, cand_id, old_vec, new_vec, true as within
+  from (select level, vec_id as cand_id, ov as old_vec, nw as new_vec, unnest(['old', 'new']) as side from nv where not is_query)""", _BASE))
+def s11_pivot_index(spark, sf_dir):
+    """The dual index written and loaded; every row once a side, within the extent stored for its chunk."""
+    _, _, corpus, _, _ = _inputs(spark, sf_dir)
+    path = io.scratch_path(spark, "s11_pivots")
+    P.build_index(corpus, path)
+    index = P.PivotIndex(spark, path, "level")
+    within = (F.col("dist") >= F.col("rmin")) & (F.col("dist") <= F.col("rmax"))
+    return (index.rows().join(index.chunks(), ["level", *P.CHUNK])
+            .select(F.col("level").cast("int"), "side", "cand_id", "old_vec", "new_vec", within.alias("within")))
+
+
+@register("w8_rank_join", with_fx("fx_vectors", """select qid, cand_id, sample_id, text, score from (
+  select *, row_number() over (partition by qid order by score desc, cand_id) as pos from w7f) where pos <= K""",
+                                  _BASE + """,
+w6f as (select * from (select *, row_number() over (partition by qid, sample_id order by score desc, cand_id)
+  as rn from pr) where rn = 1),
+w7f as (select * from (select *, row_number() over (partition by qid, text order by score desc, cand_id) as rn2
+  from w6f) where rn2 = 1)"""))
+def w8_rank_join(spark, sf_dir):
+    """W8's end: the K best survivors of the whole level, found by the threshold algorithm."""
+    _, _, corpus, queries, payload = _inputs(spark, sf_dir)
+    return rank_join(corpus, queries, payload)
 
 
 @register("j8_rank_intersection", with_fx("fx_vectors", """select qid, cand_id, score, entry from pr

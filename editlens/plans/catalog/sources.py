@@ -6,10 +6,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...fixtures import KEY, Tables, features, samples, vectors
+from ...fixtures import KEY, Tables, edit_seq, features, samples, vectors
+from ...functions import text as TX
+from ...functions import tokens as T
+from ...operators import editseq as X
 from ...oracle import with_fx
 from ...registry import register
-from ...sources import io
+from ...sources import io, named_files
+from .features import _TEXTS
 from .text import c23_instruction_rows
 from .relational import p5_level_rollup
 
@@ -86,7 +90,13 @@ def s5_nested_jsonl_roundtrip(spark, sf_dir):
                                       "features struct<NMT:double,NMS:double,CC_delta:double>, label int")
 
 
-@register("s6_pretty_json")
+_PRETTY = """'{' || chr(10) || '    "sample_id": ' || sample_id || ',' || chr(10) || '    "index": ' || "index" || ',' || chr(10)
+  || '    "role": "' || role || '",' || chr(10) || '    "level": ' || level || ',' || chr(10) || '    "ref_toks": '
+  || case when len(ref_toks) = 0 then '[]' else '[' || chr(10) || array_to_string(list_transform(ref_toks, lambda t: '        "' || t || '"'),
+     ',' || chr(10)) || chr(10) || '    ]' end || chr(10) || '}'"""
+
+
+@register("s6_pretty_json", with_fx("fx_samples", f"select {_PRETTY} as value from fx_samples"))
 def s6_pretty_json(spark, sf_dir):
     return io.pretty_json_text(_samples(spark, sf_dir))
 
@@ -132,6 +142,24 @@ def s9_append_log(spark, sf_dir):
     return spark.read.schema("level int, n bigint, avg_len double").parquet(path)
 
 
+@register("s10_named_files", with_fx("fx_edit_seq", f"""select 'cup_test_java_file/' || side || '_file' as folder, name, 'public class test{{' || chr(10) || method
+  || chr(10) || '}}' as content from (
+  select case when "index" <> 0 then sample_id || '_' || "index" else cast(sample_id as varchar) end || '.java' as name,
+    'src' as side, src_method as method from tx union all
+  select case when "index" <> 0 then sample_id || '_' || "index" else cast(sample_id as varchar) end || '.java', 'dst', dst_method from tx)""",
+                                     _TEXTS))
+def s10_named_files(spark, sf_dir):
+    """A file for each method and side, named by its key, written and read back."""
+    tx = X.method_texts(edit_seq(samples(Tables(spark, sf_dir).conversations)))
+    name = F.concat(T.file_stem("sample_id", "index"), F.lit(".java"))
+    sides = [tx.select(*KEY, F.lit(f"cup_test_java_file/{s}_file").alias("folder"), name.alias("name"),
+                       TX.java_file_text(f"{s}_method").alias("content")) for s in ("src", "dst")]
+    files, _ = named_files.last_of_name(sides[0].unionByName(sides[1]), KEY)
+    path = io.scratch_path(spark, "s10_files")
+    named_files.write_named_files(files, path)
+    return named_files.read_named_files(spark, path)
+
+
 @register("s11_index_roundtrip", with_fx("fx_vectors", """select vec_id, sample_id, "index", len(old_vec) as dim,
   cast(level as int) as level from fx_vectors where level = 1 and not is_query"""))
 def s11_index_roundtrip(spark, sf_dir):

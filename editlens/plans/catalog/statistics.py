@@ -245,7 +245,18 @@ def e5_significance(spark, sf_dir):
     return _significance(spark, sf_dir, with_p=False)
 
 
-@register("a15_mann_whitney_p")
+_Z = """(greatest(u1, n0 * n1 - u1) - n0 * n1 / 2.0 - 0.5) / sqrt(n0 * n1 / 12.0 * ((n + 1) - ties / (n * (n - 1))))"""
+
+
+@register("a15_mann_whitney_p", with_fx("fx_features", """select feature, u_stat, z, cliffs_delta, magnitude,
+  case when not isnan(z) then least(1.0, greatest(0.0, case when z < 0 then 2 - e else e end)) end as p_value from (
+  select *, case when x < 2 then 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda k: pow(-1, k) * pow(x, 2 * k + 1) / (factorial(least(k, 30)::int)
+      * list_product(list_transform(range(31, greatest(k, 30) + 1), lambda j: j::double)) * (2 * k + 1))))
+    else exp(-x * x) / sqrt(pi()) / (x + list_reduce(list_prepend(0.0::double, list_transform(range(0, 200), lambda i: (200 - i)::double)), lambda t, k: k / 2 / (x + t))) end as e
+  from (select *, abs(z) / sqrt(2) as x from (select feature, u1 as u_stat, """ + _Z + """ as z, (gt - (n0 * n1 - ge)) / (n0 * n1) as cliffs_delta,
+  case when abs((gt - (n0 * n1 - ge)) / (n0 * n1)) < 0.147 then 'negligible'
+       when abs((gt - (n0 * n1 - ge)) / (n0 * n1)) < 0.33 then 'small'
+       when abs((gt - (n0 * n1 - ge)) / (n0 * n1)) < 0.474 then 'medium' else 'large' end as magnitude from mw)))""", _E1_CTE + ",\n" + _SIG))
 def a15_mann_whitney_p(spark, sf_dir):
     return _significance(spark, sf_dir, with_p=True)
 

@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
 from ..session import ensure_checkpoint_dir
 
@@ -68,9 +68,41 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def pretty_json_text(df: DataFrame) -> DataFrame:
-    """One pretty-printed JSON document per row (indent width differs from 4)."""
-    return df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value"))
+def json_string(text: F.Column) -> F.Column:
+    """A JSON string with every sign but printable ASCII escaped, hex digits in lower case."""
+    short = F.create_map(*[F.lit(x) for pair in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+                            for x in pair])
+    units = lambda c: F.lower(F.hex(F.encode(c, "UTF-16BE")))
+    far = lambda c: F.concat(F.lit("\\u"), F.substring(units(c), 1, 4),
+                             F.when(F.length(units(c)) > 4, F.concat(F.lit("\\u"), F.substring(units(c), 5, 4))).otherwise(""))
+    one = lambda c: F.coalesce(F.try_element_at(short, c), F.when((c >= " ") & (c <= "~"), c), far(c))
+    odd = text.rlike(r'[^ -~]|["\\]')
+    return F.concat(F.lit('"'), F.when(odd, F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text), F.lit('"'))
+
+
+def pretty_json(value: F.Column, kind: DataType, indent: int = 4, depth: int = 0) -> F.Column:
+    """``value`` as indented JSON: fields and entries on lines of their own, nulls written, empty ones as ``{}`` and ``[]``."""
+    pad, end = "\n" + " " * indent * (depth + 1), "\n" + " " * indent * depth
+    if isinstance(kind, StructType):
+        inner = [F.concat(json_string(F.lit(f.name)), F.lit(": "), pretty_json(value[f.name], f.dataType, indent, depth + 1)) for f in kind]
+        made = F.concat(F.lit("{" + pad), F.concat_ws("," + pad, *inner), F.lit(end + "}")) if inner else F.lit("{}")
+    elif isinstance(kind, ArrayType):
+        inner = F.transform(value, lambda x: pretty_json(x, kind.elementType, indent, depth + 1))
+        made = F.when(F.size(value) == 0, "[]").otherwise(F.concat(F.lit("[" + pad), F.array_join(inner, "," + pad), F.lit(end + "]")))
+    elif isinstance(kind, MapType):
+        inner = F.transform(F.map_entries(value), lambda e: F.concat(json_string(e["key"].cast("string")), F.lit(": "),
+                                                                     pretty_json(e["value"], kind.valueType, indent, depth + 1)))
+        made = F.when(F.size(value) == 0, "{}").otherwise(F.concat(F.lit("{" + pad), F.array_join(inner, "," + pad), F.lit(end + "}")))
+    elif isinstance(kind, StringType):
+        made = json_string(value)
+    else:                                                   # numbers and truth values as Spark writes them, the rest as strings
+        made = F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1)
+    return F.when(value.isNull(), F.lit("null")).otherwise(made)
+
+
+def pretty_json_text(df: DataFrame, indent: int = 4) -> DataFrame:
+    """One pretty-printed JSON document per row, each field on its line."""
+    return df.select(pretty_json(F.struct(*df.columns), df.schema, indent).alias("value"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
