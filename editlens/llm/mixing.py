@@ -132,10 +132,10 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     cuts = thresholds(slim, plan)
     # one row per source, written: Spark broadcasts it if its size allows, else splits the hot source
     per_source = written(plan.alias("a").join(cuts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
-                         .select(F.col("a.source").alias("__source"), "source_size", "target", "passes", "cut", "sub_cut"), "mix-plan")
+                         .select(F.col("a.source").alias("__source"), "source_size", "target", *[F.col(c).alias(f"__{c}") for c in ("passes", "cut", "sub_cut")]), "mix-plan")
     out = sized.join(per_source, F.col(source).eqNullSafe(F.col("__source")))
-    copies = F.col("passes") + F.when(
-        (F.col("__hash") < F.col("cut")) | ((F.col("__hash") == F.col("cut")) & (F.col("__sub") < F.col("sub_cut"))), 1).otherwise(0)
+    copies = F.col("__passes") + F.when(
+        (F.col("__hash") < F.col("__cut")) | ((F.col("__hash") == F.col("__cut")) & (F.col("__sub") < F.col("__sub_cut"))), 1).otherwise(0)
     # a source of 0 words has nothing to repeat: its documents stay once
     copies = F.when(F.col("source_size") == 0, F.lit(1)).otherwise(copies).cast("long")
     copies = F.least(copies, F.lit(int(max_passes)).cast("long"))

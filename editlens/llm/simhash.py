@@ -56,14 +56,14 @@ def fingerprint(text: str | None, k: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", k: int = 3) -> DataFrame:
-    """All columns of ``df`` but the text, plus ``fp`` (the 64 bits as a long)."""
+    """All columns of ``df`` but the text, plus ``__fp`` (the 64 bits as a long)."""
     cols = [c for c in df.columns if c != text]
-    schema = df.select(*cols, F.lit(0).cast("long").alias("fp")).schema
+    schema = df.select(*cols, F.lit(0).cast("long").alias("__fp")).schema
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, k) for t in b.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in cols] + [pa.array(fp)], names=[*cols, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in cols] + [pa.array(fp)], names=[*cols, "__fp"])
     return df.mapInArrow(run, schema)
 
 
@@ -180,7 +180,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     """All columns of ``df`` but the text, plus ``fingerprint`` (16 hex digits) and ``component_id``."""
     keep = [c for c in df.columns if c not in RESULTS and c != text]
     marked = written(fingerprints(df.select(*keep, text), text, k), "simhash-fp")
-    nodes = written(marked.groupBy("fp").agg(F.min(doc_id).alias("first")), "simhash-nodes")
+    nodes = written(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(doc_id).alias("first")), "simhash-nodes")
     dealt = shards(nodes.select("fp"), radius)
     links = (dealt.repartition("shard").sortWithinPartitions("shard")
              .mapInArrow(shard_links(radius), "u long, v long"))
@@ -189,6 +189,6 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     rooted = written(nodes.join(comp, nodes.fp == comp.u, "left")
                      .select("fp", "first", F.coalesce("v", "fp").alias("root")), "simhash-root")
     low = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-low")
-    named = written(rooted.join(low, "root").select(F.col("fp").alias("__fp"), "component_id"), "simhash-named")
-    return (marked.join(named, F.col("fp") == F.col("__fp"))
-            .select(*keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+    named = written(rooted.join(low, "root").select(F.col("fp").alias("__node"), "component_id"), "simhash-named")
+    return (marked.join(named, F.col("__fp") == F.col("__node"))
+            .select(*keep, F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id"))

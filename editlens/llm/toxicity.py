@@ -11,9 +11,10 @@ only the longer. At most ``SAMPLE`` labelled documents (those of the smallest id
 one bound here; every text is scored whole.
 
 Defined cases: null and empty texts have no words and get the curve's value at 0; without labels, or with
-labels of one kind only, the lexicon is empty and all scores are the share of toxic labels (0 without
-labels); rows that repeat an id are scored one by one and learned from once; null ids are never learned from; extra
-columns pass through, result names are replaced; an empty table gives no rows.
+labels of one kind only, the lexicon is empty and all scores are alike: 40/41 if all labels are toxic, else (nearly) 0;
+rows that repeat an id are scored one by one and learned from once, by the smallest of their texts; null ids are never learned from; extra
+columns pass through, result names are replaced; an empty table gives no rows. The lexicon holds the ``PATTERNS`` strongest patterns
+and as many harmless words, which bounds the automaton that goes with every task.
 """
 
 from __future__ import annotations
@@ -141,8 +142,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             .groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
             .orderBy(F.xxhash64("id"), "id").limit(sample))
     # the labelled side is bounded by ``sample``
-    train = written(docs.join(F.broadcast(seen), F.col(doc_id) == F.col("id")).dropDuplicates(["id"])
-                    .select("id", "y", F.col(text).alias("text")), "toxic-train")
+    train = written(docs.join(F.broadcast(seen), F.col(doc_id) == F.col("id"))
+                    .groupBy("id", "y").agg(F.min(F.col(text)).alias("text")), "toxic-train")
     n = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:

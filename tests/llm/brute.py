@@ -178,3 +178,32 @@ def audit(docs, labels):
                              sum(f == {k} for _, f in ds), sum(d in good for d, _ in gone), sum(d in bad for d, _ in gone)])
         rows += [(*r, total[r[1][r[2] - 1]]) for r in made]
     return rows
+
+
+def lexicon(rows, patterns=500, min_docs=4, min_odds=2.5):
+    """(weights, harmless words) learned from (folded words, label) rows by plain counting."""
+    import math
+    import re
+    bad, good = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    t, c = {}, {}
+    for ws, y in rows:
+        for g in {p for w in ws for p in [w[:k] for k in range(3, min(len(w), 10) + 1)] + [w + " "]}:
+            d = t if y else c
+            d[g] = d.get(g, 0) + 1
+    odds = {g: math.log((t.get(g, 0) + 0.5) / (bad + 1)) - math.log((c.get(g, 0) + 0.5) / (good + 1)) for g in t.keys() | c.keys()}
+    strong = [g for g in t if t[g] >= min_docs and odds[g] >= min_odds]
+    strong = sorted(strong, key=lambda g: (-odds[g], -t[g], -len(g), g))[:8 * patterns]
+    keep = [g for g in strong if not any(o != g and o.startswith(g) and t[o] >= 0.8 * t[g] for o in strong)][:patterns]
+    begins = [g for g in keep if not g.endswith(" ")]
+    harmless = [g for g in c if begins and g.endswith(" ") and odds[g] < 0 and c[g] >= min_docs and re.match("|".join(map(re.escape, begins)), g)]
+    return {g: odds[g] for g in keep}, [g.strip() for g in sorted(harmless, key=lambda g: (odds[g], g))[:patterns]]
+
+
+def toxic_sum(words, weights, exceptions):
+    """Sum over the words of the largest weight of their patterns, nothing where an exception phrase starts."""
+    total = 0.0
+    for i in range(len(words)):
+        rest = " ".join(words[i:]) + " "
+        if not any(rest.startswith(e + " ") for e in exceptions):
+            total += max((w for g, w in weights.items() if rest.startswith(g)), default=0.0)
+    return total

@@ -84,7 +84,7 @@ def test_line_chunks_resist_shifts(spark, odd):
     for i, t in rows:
         left = got[i].dedup_text.split("\n")
         assert len(left) + got[i].n_removed_lines == len(t.split("\n")) and got[i].dedup_text.startswith(f"own {i} 0")
-    r = line_dedup.remove_repeated_chunks(clash(odd, "n_lines")).collect()
+    r = line_dedup.remove_repeated_chunks(clash(odd, "n_lines", *HELPERS)).collect()
     assert len(r) == len(ODD) and {x.doc_id: x.n_removed_lines for x in r}[5] == 3
     assert [x.n_removed_lines for x in r if x.doc_id == 4] == [0, 0]
     assert line_dedup.remove_repeated_chunks(empty(spark)).count() == 0
@@ -119,7 +119,7 @@ def test_passages_against_brute_force(spark, odd):
             assert r.dedup_text == ("\n".join(x for i, x in enumerate(lines) if i not in gone) if r.text is not None else None)
             assert r.n_removed_lines == len(gone) >= chunks[d].n_removed_lines
             assert r.n_removed_passages == sum(i - 1 not in gone for i in gone)
-    r = line_dedup.remove_repeated_passages(clash(odd, "n_lines")).collect()
+    r = line_dedup.remove_repeated_passages(clash(odd, "n_lines", *HELPERS)).collect()
     assert len(r) == len(ODD) and {x.doc_id: x.n_removed_lines for x in r}[5] == 3
     assert [x.n_removed_lines for x in r if x.doc_id == 4] == [0, 0]
     assert line_dedup.remove_repeated_passages(empty(spark)).count() == 0
@@ -137,7 +137,7 @@ def test_encoder_equals_tokenizer():
 
 def test_packing(spark, odd):
     docs = read_table(spark, SF, "documents").select("doc_id", "text").union(odd.select("doc_id", "text").where("doc_id is null or doc_id in (4, 6)"))
-    rows = packing.pack(clash(docs, "offset", "start")).collect()
+    rows = packing.pack(clash(docs, "offset", "start", *HELPERS)).collect()
     want = {}
     for r in docs.collect():
         want.setdefault(r.doc_id, []).append(brute.tokens(r.text, 2))
@@ -256,13 +256,43 @@ def test_toxicity_held_out(spark, odd):
     got = toxicity.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where("held_out").collect()
     hit = sum(r.predicted and r.toxic for r in got)
     assert hit / sum(r.predicted for r in got) > 0.95 and hit / sum(r.toxic for r in got) > 0.9
-    r = toxicity.score(clash(odd, "score"), model).collect()
+    r = toxicity.score(clash(odd, "score", *HELPERS), model).collect()
     assert len(r) == len(ODD) and all(0 <= x.score <= 1 and x.more == 1 for x in r) and not any(x.predicted for x in r)
     none = toxicity.learn(docs, labels.limit(0))
     assert toxicity.score(odd, none).agg(F.max("score")).first()[0] < 1e-9
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_against_plain_version(spark):
+    rng = random.Random(9)
+    plain, ill = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)], ["idiot", "idiots", "moronic", "trash", "scum"]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(plain) for _ in range(rng.randint(0, 40))]
+        y = int(i % 4 == 0)
+        words += [rng.choice(ill if y else ["trashcan", "idiom", "clown", "trash can"]) for _ in range(rng.randint(1, 3) if y or i % 3 == 0 else 0)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), y))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(8, "zzz later text"), (None, "idiot")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    seen = [(i, t, y) for i, t, y in rows if __import__("zlib").crc32(str(i).encode()) % 3 != 1]
+    weights, harmless = brute.lexicon([(set(toxicity.fold(min(t, "zzz later text") if i == 8 else t)), y) for i, t, y in seen])
+    assert model.weights.keys() == weights.keys() and all(abs(model.weights[g] - w) < 1e-9 for g, w in weights.items()) and weights
+    assert model.exceptions == toxicity.EXCEPTIONS + harmless
+    s, n = model.sums([t for _, t, _ in rows], model.automaton())
+    for (_, t, _), a, k in zip(rows, s, n):
+        words = toxicity.fold(t)
+        assert k == len(words) and abs(a - brute.toxic_sum(words, weights, model.exceptions)) < 1e-9
+    # the curve is the optimum: no gradient of the penalised likelihood is left
+    s, n = model.sums([min(t, "zzz later text") if i == 8 else t for i, t, _ in seen], model.automaton())
+    y = np.array([y for *_, y in seen])
+    w = np.array(model.curve)
+    left = toxicity.features(s, n).T @ (y - model.scores(s, n)) - 1e-2 * np.array([0, 1, 1]) * w
+    assert np.abs(left).max() < 1e-4
+    assert toxicity.learn(docs, labels) == model
+
+
 def test_toxicity_folding_and_exceptions():
     m = toxicity.Model({"idiot ": 5.0, "trash ": 4.0, "moro": 3.0}, ["trash can"], (-3.0, 2.0, 0.0))
     a = m.automaton()
@@ -276,7 +306,7 @@ def test_toxicity_folding_and_exceptions():
 
 def test_simhash(spark, odd):
     docs = read_table(spark, SF, "documents").select("doc_id", "text")
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(clash(docs, "component_id")).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(clash(docs, "component_id", *HELPERS)).collect()}
     assert got == brute.simhash([tuple(r) for r in docs.collect()])
     r = simhash.near_duplicates(odd).collect()
     assert len(r) == len(ODD) and {x.component_id for x in r if x.doc_id in (0, 1, 2)} == {0}
@@ -330,7 +360,7 @@ def test_suffix_dedup(spark, odd, width):
     rows = [(i, "".join(rng.choice(["é", "x", "yy"]) if rng.random() < .3 else rng.choice(shared) for _ in range(6))) for i in range(40)]
     rows += [(100, None), (101, ""), (102, "ab" * width), (103, "q" * (width + 3)), (104, rows[0][1]), (104, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = suffix_dedup.remove_repeats(clash(df, "n_spans"), width=width, with_text=True).collect()
+    got = suffix_dedup.remove_repeats(clash(df, "n_spans", *HELPERS), width=width, with_text=True).collect()
     key = lambda i, r: (i, *r)
     want = sorted(key(i, r) for (i, _), r in zip(rows, brute.repeats([t for _, t in rows], width)))
     assert sorted(key(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
@@ -381,7 +411,7 @@ def test_embeddings(spark, dim, rows_a_cell, monkeypatch):
                                      (1004, [None] + [1.0] * (dim - 1)), (1005, [1.0] * (dim + 1)), (1006, [float("inf")] * dim)]
     rows += [(2000 + i, rows[5][1]) for i in range(20)] + [(3000, [2 * x for x in rows[5][1]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(clash(df, "kept", "n_links")).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(clash(df, "kept", "n_links", *HELPERS)).collect()}
     assert got == brute.embeddings(rows)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
@@ -418,7 +448,7 @@ def test_mixing(spark, odd):
     assert abs(sum(r.g for r in per) - got.agg(F.sum("size")).first()[0]) < 1e-3
     again = mixing.mix(docs.repartition(7))
     assert sorted((r.doc_id, r.taken) for r in got.collect()) == sorted((r.doc_id, r.taken) for r in again.collect())
-    r = mixing.mix(clash(odd, "size", "target")).collect()
+    r = mixing.mix(clash(odd, "size", "target", *HELPERS)).collect()
     assert len(r) == len(ODD) and all(x.more == 1 and 0 <= x.taken <= 3 * x.size for x in r)
     assert mixing.mix(empty(spark)).count() == 0
 
