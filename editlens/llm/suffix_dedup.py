@@ -11,7 +11,8 @@ common prefixes: a window whose prefix with its neighbour reaches ``width`` is r
 grows with the documents: the windows of its runs are named again by the smallest gram under another hash, counted and
 cut as before, ``SPLITS`` times; the windows of names that are still too large (long passages a little shorter than ``width``)
 are counted one by one by 128 bits of hash, as runs are. Tables that grow with
-the documents are joined by shuffles at every size, never by a broadcast.
+the documents are joined by shuffles at every size, never by a broadcast; a bitmap of ``FILTER_BITS`` bits over the documents that
+such a join needs (a fixed size, so it may be broadcast) keeps the texts of most others out of the shuffle.
 
 Defined cases: null and empty texts have no bytes; matches never cross documents; rows that repeat an id and a text
 repeat each other; a null id is a document like others; extra columns pass through, result names are replaced; an empty
@@ -37,6 +38,8 @@ RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 GRAM, SHARD_BYTES, SLICE = 32, 3 << 20, 2 << 20
 #: Bytes of different runs that one name may bring to a shard, and how often larger names are split.
 NAME_BYTES, SPLITS = 1 << 20, 4
+#: Bits of the filter of documents (8 MB), and of one of its bitmaps (fixed by Spark's bitmap functions).
+FILTER_BITS, MAP_BITS = 1 << 26, 1 << 15
 
 
 def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -250,6 +253,18 @@ def cut_out(df: DataFrame, text: str, width: int, with_text: bool) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def may_stand_in(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` with ``__may``: false only where (id, th) is not among ``keys``."""
+    def placed(df):
+        at = F.pmod(F.xxhash64("id", "th"), F.lit(FILTER_BITS))
+        return df.withColumns({"__map": F.floor(at / MAP_BITS), "__bit": at % MAP_BITS})
+    maps = written(placed(keys.select("id", "th")).groupBy("__map").agg(F.expr("bitmap_construct_agg(__bit)").alias("__bits")), "suffix-filter")
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = placed(docs).join(F.broadcast(maps), "__map", "left").withColumn("__byte", byte)      # FILTER_BITS at most
+    on = F.coalesce(F.expr("getbit(__byte, cast(__bit % 8 as int))"), F.lit(0)) == 1
+    return marked.withColumn("__may", on).drop("__map", "__bit", "__bits", "__byte")
+
+
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 400,
                    with_text: bool = False, memory: int = 1 << 22, name_bytes: int = NAME_BYTES) -> DataFrame:
     """All columns of ``df`` but the text, plus ``RESULTS`` (and the remaining bytes as ``kept_text``)."""
@@ -260,7 +275,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     def with_bytes(rows):
         per_doc = written(rows.groupBy("id", "th").agg(F.collect_list(F.struct(*content, "start", "n")).alias("runs")), "suffix-docs")
-        at = docs.alias("d").join(per_doc.hint("merge").alias("r"),
+        at = may_stand_in(docs, per_doc).where("__may").alias("d").join(per_doc.hint("merge").alias("r"),
                                   F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.th") == F.col("r.th")))
         return cut_runs(at.select("d.id", "d.th", "d.text", "r.runs"), width)
 
@@ -295,9 +310,13 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     shards = with_bytes(sort).repartition(max(1, -(-int(n_bytes) // SHARD_BYTES)), "name")
     some = sort_shards(shards, width, _local(shared_path(spark, "suffix-queues")), memory)
     spans = written(whole.union(some).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("__spans")), "suffix-spans")
-    marked = (df.select(*cols, text).withColumn("__th", F.xxhash64(F.col(text))).alias("x")
-              .join(spans.hint("merge").alias("s"), F.col(f"x.{doc_id}").eqNullSafe(F.col("s.id")) & (F.col("x.__th") == F.col("s.th")), "left")
-              .select(*[F.col(f"x.{c}") for c in cols], F.col(f"x.{text}"), "__spans"))
+    rest = may_stand_in(df.select(*[F.col(c).alias(f"__x_{c}") for c in cols], F.col(text).alias("__text"), F.col(doc_id).alias("id"),
+                                  F.xxhash64(F.col(text)).alias("th")), spans)
+    named = [*[F.col(f"__x_{c}").alias(c) for c in cols], F.col("__text").alias(text)]
+    found = (rest.where("__may").alias("x").join(spans.hint("merge").alias("s"), F.col("x.id").eqNullSafe(F.col("s.id")) & (F.col("x.th") == F.col("s.th")), "left")
+             .select(*named, "__spans"))
+    whole = rest.where(~F.col("__may")).select(*named, F.lit(None).cast(spans.schema["__spans"].dataType).alias("__spans"))
+    marked = found.union(whole)
     return cut_out(marked, text, width, with_text)
 
 
