@@ -31,6 +31,8 @@ from .tokens import documents, public_path
 FINE = 128
 #: The linear program ends this near to its optimum.
 GAP = 1e-3
+#: Bytes of the encoder's cache in a worker: less than op9's, as the pipeline's executors hold other stages' memory.
+CACHE_BYTES = 48 << 20
 RESULTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: Rows that one ranking group holds at least on average (the square root of its class if that is more).
 GROUP = 500
@@ -44,7 +46,7 @@ def pieces(df: DataFrame, text: str, max_len: int, path: str, end_id: int) -> Da
 
     def run(batches):
         for batch in batches:
-            for part, ids, off in documents(batch, text, path, end_id):
+            for part, ids, off in documents(batch, text, path, end_id, CACHE_BYTES):
                 row, start, length, crc = [], [], [], []
                 for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
                     for lo in range(a, b, max_len):

@@ -120,15 +120,15 @@ class TextRules:
 class Encoder:
     """``batch(texts)`` -> (flat uint32 ids, offsets by text). One per worker and file."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, int], Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
+        if (path, cache_bytes) not in cls._made:
+            cls._made[path, cache_bytes] = cls(path, cache_bytes)
+        return cls._made[path, cache_bytes]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -136,7 +136,7 @@ class Encoder:
         self.model = whole.model
         self.rules = TextRules(whole, json.loads(whole.to_str()))
         self.sign = byte_signs()
-        self.seen = Halves(CACHE_BYTES)                     # little-endian ids of words
+        self.seen = Halves(cache_bytes)                     # little-endian ids of words
 
     def word(self, w: str) -> bytes:
         if w[0] == "\n":
@@ -165,9 +165,9 @@ def slices(batch: pa.RecordBatch, text: str):
         lo = hi
 
 
-def documents(batch: pa.RecordBatch, text: str, path: str, end_id: int):
+def documents(batch: pa.RecordBatch, text: str, path: str, end_id: int, cache_bytes: int = CACHE_BYTES):
     """(part of the batch, flat ids with ``end_id`` after each text, offsets) for each slice."""
-    enc = Encoder.of(path)
+    enc = Encoder.of(path, cache_bytes)
     for part in slices(batch, text):
         ids, off = enc.batch(part.column(text))
         rows = np.arange(part.num_rows)
