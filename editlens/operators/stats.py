@@ -67,7 +67,7 @@ def two_sided_p(z_df: DataFrame, z: str = "z", out: str = "p_value") -> DataFram
     """p = 2 * sf(z) = erfc(z / sqrt 2), clipped to [0, 1]; null where z is null or not a number."""
     v = F.col(z) / math.sqrt(2)
     p = F.when(v < 0, 2 - erfc(-v)).otherwise(erfc(v))
-    return z_df.withColumn(out, F.when(~F.isnan(z), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))))
+    return z_df.withColumn(out, F.when(F.col(z).isNotNull() & ~F.isnan(z), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))))
 
 
 def ovr_auc(pred_long: DataFrame, part_col: str, score: str, positive: str,
