@@ -4,21 +4,20 @@ Texts are split at ``\\n``. Each line has a hash; a polynomial rolling hash over
 last ``WINDOW`` lines marks a possible cut after a line, and a cut is made where a mark does not
 follow another mark. Cuts depend on the nearby lines alone, so the same passage is cut alike wherever
 it stands and inserted lines move no later cut. Chunks then hold two lines or more, except at the
-ends of a text. Of each chunk of two lines or more (with a word in it) that occurs more than once in
+ends of a text. Of each chunk of ``min_lines`` lines or more (with a word in it) that occurs more than once in
 all texts, the first occurrence (smallest id, then earliest place) stays and the others are removed.
 
-Two steps keep the shuffles small: chunk hashes are counted first; only chunks whose hash repeats
-carry their bytes to the second step, which groups by the bytes themselves. Tables that grow with the
-documents are joined by shuffles at every size, never by a broadcast.
+Cuts enclose a passage of a few lines only by chance, so each chunk edge is followed up exactly: every window of ``min_lines``
+lines (with a word in it), across cuts or not, is counted like a chunk, and its lines are removed where its bytes stand before it
+(smaller id, or earlier in its text without overlap). Thus every repeated run of ``min_lines`` lines is found, and every removed line
+stays in an earlier place.
 
-``remove_repeated_passages`` also finds what cuts can't enclose, in texts of a few lines most of all: every window of
-``min_lines`` lines (with a word in it) is counted by the same two steps, and the lines of each window whose bytes
-stand before it (smaller id, or earlier in its text without overlap) are removed. Every removed line stays in an
-earlier place. That holds all repeated chunks but lines without a word next to one another, so chunks with such lines are
-counted as well: its removed lines include those of the chunks alone.
+The shuffles stay narrow: pieces (chunks and windows) are counted by hash without their bytes; only pieces whose hash repeats are cut
+out of the texts again and compared by their bytes. Tables that grow with the documents are joined by shuffles at every size, never by
+a broadcast.
 
 Defined cases: a null text stays null and has no chunk; an empty text has no chunk with a word; rows
-that repeat an id are one document per different text (equal rows keep or lose the same chunks, and
+that repeat an id are one document per different text (equal rows keep or lose the same lines, and
 the first row of an id counts as first occurrence); a null id orders before all others; extra columns pass through.
 """
 
@@ -32,7 +31,7 @@ from .common import let, written
 WINDOW, BASE = 3, 31
 RESULTS = ("n_lines", "n_removed_lines", "n_removed_chunks", "dedup_text")
 PASSAGE_RESULTS = ("n_lines", "n_removed_lines", "n_removed_passages", "dedup_text")
-WORD, BLANK_LINE = r"[^\x20\x09-\x0D]", r"(?:^|\n)[\x20\x09\x0B-\x0D]*(?:\n|$)"
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def line_hash(line: Column) -> Column:
@@ -67,88 +66,73 @@ def chunks(text: Column, mean_lines: int = 4, with_start: bool = False) -> Colum
 
 
 def windows(text: Column, min_lines: int) -> Column:
-    """Array of (lines before it, lines, bytes) of each run of ``min_lines`` lines of a text."""
+    """Array of (kind, lines before it, lines, bytes) of each run of ``min_lines`` lines of a text."""
     def of(lines):
         starts = F.when(F.size(lines) >= min_lines, F.sequence(F.lit(0), F.size(lines) - min_lines)).otherwise(
             F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(
-            i.alias("at"), F.lit(min_lines).alias("k"), F.array_join(F.slice(lines, i + 1, min_lines), "\n").alias("body")))
+            F.lit(1).alias("kind"), i.alias("at"), F.lit(min_lines).alias("k"),
+            F.array_join(F.slice(lines, i + 1, min_lines), "\n").alias("body")))
     return let(F.split(text, "\n"), of)
 
 
-def blank_chunks(text: Column, mean_lines: int, min_lines: int) -> Column:
-    """Like ``windows``, of the chunks of more lines in which a line has no word."""
-    whole = F.transform(chunks(text, mean_lines, True), lambda c: F.struct(
-        c["at"].alias("at"), F.size(c["lines"]).alias("k"), F.array_join(c["lines"], "\n").alias("body")))
-    return F.when(text.rlike(BLANK_LINE), F.filter(whole, lambda c: (c["k"] > min_lines) & c["body"].rlike(BLANK_LINE))).otherwise(
-        F.array().cast("array<struct<at:int,k:int,body:string>>"))
+def whole_chunks(text: Column, mean_lines: int, min_lines: int) -> Column:
+    """Like ``windows``, of the chunks of ``min_lines`` lines or more."""
+    enough = F.filter(chunks(text, mean_lines, True), lambda c: F.size(c["lines"]) >= min_lines)
+    return F.transform(enough, lambda c: F.struct(
+        F.lit(0).alias("kind"), c["at"].alias("at"), F.size(c["lines"]).alias("k"), F.array_join(c["lines"], "\n").alias("body")))
 
 
-def remove_repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                             mean_lines: int = 4, min_lines: int = 2) -> DataFrame:
-    """All columns of ``df`` plus ``PASSAGE_RESULTS``; ``dedup_text`` is the text without its repeated lines,
-    ``n_removed_passages`` counts the runs of removed lines."""
-    keep = [c for c in df.columns if c not in PASSAGE_RESULTS]
+def _removed(df: DataFrame, doc_id: str, text: str, mean_lines: int, min_lines: int, results: tuple[str, ...]) -> DataFrame:
+    keep = [c for c in df.columns if c not in results]
     base = df.select(*keep)
-    found = F.concat(windows(F.col(text), min_lines), blank_chunks(F.col(text), mean_lines, min_lines))
+    found = F.concat(whole_chunks(F.col(text), mean_lines, min_lines), windows(F.col(text), min_lines))
     parts = base.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.inline(found))
-    parts = parts.where(F.col("body").rlike(WORD)).withColumn("h", F.xxhash64("body"))
-    hashes = written(parts.groupBy("h").count().where("count > 1").select("h"), "passage-hashes")
-    again = written(parts.join(hashes.hint("merge"), "h"), "passages")
-    first = written(again.groupBy("h", "body").agg(F.min(F.struct("id", "th", "at")).alias("first"),
-                                                   F.count(F.lit(1)).alias("n")).where("n > 1"), "passage-first")
+        F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.inline(found)).where(F.col("body").rlike(WORD))
+    parts = written(parts.select("id", "th", "kind", "at", "k", F.xxhash64("kind", "body").alias("h")), "line-parts")
+    hashes = written(parts.groupBy("h").count().where("count > 1").select("h"), "line-hashes")
+    hits = parts.join(hashes.hint("merge"), "h").groupBy("id", "th").agg(
+        F.collect_set(F.struct("kind", "at", "k", "h")).alias("__hits")).withColumnsRenamed({"id": "__id", "th": "__th"})
+    same_text = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
+    texts = base.where(F.col(text).isNotNull()).select(
+        F.col(doc_id).alias("__key"), F.col(text).alias("__text"), F.xxhash64(F.col(text)).alias("__h"))
+    bodies = let(F.split("__text", "\n"), lambda lines: F.transform("__hits", lambda p: F.struct(
+        p["kind"].alias("kind"), p["at"].alias("at"), p["k"].alias("k"), p["h"].alias("h"),
+        F.array_join(F.slice(lines, p["at"] + 1, p["k"]), "\n").alias("body"))))
+    again = written(texts.join(written(hits, "line-hits").hint("merge"), same_text).select(
+        F.col("__id").alias("id"), F.col("__th").alias("th"), F.inline(bodies)), "line-bodies")
+    first = written(again.groupBy("h", "kind", "body").agg(F.min(F.struct("id", "th", "at")).alias("first"),
+                                                           F.count(F.lit(1)).alias("n")).where("n > 1"), "line-first")
     own = F.col("a.id").eqNullSafe(F.col("first.id")) & (F.col("a.th") == F.col("first.th"))
-    later = (again.alias("a").join(first.hint("merge").alias("f"),
-                                   (F.col("a.h") == F.col("f.h")) & (F.col("a.body") == F.col("f.body")))
+    later = (again.alias("a").join(first.hint("merge").alias("f"), (F.col("a.h") == F.col("f.h"))
+                                   & (F.col("a.kind") == F.col("f.kind")) & (F.col("a.body") == F.col("f.body")))
              .where(~(own & (F.col("a.at") < F.col("first.at") + F.col("a.k")))))
-    lines_gone = later.select("a.id", "a.th", F.explode(F.expr("sequence(a.at, a.at + a.k - 1)")).alias("no"))
-    gone = written(lines_gone.groupBy("id", "th").agg(F.collect_set("no").alias("__gone"))
-                   .select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone"), "passage-gone")
+    spans = later.groupBy("a.id", "a.th").agg(F.collect_set(F.struct("a.kind", "a.at", "a.k")).alias("spans"))
+    numbers = F.array_distinct(F.flatten(F.transform("spans", lambda p: F.sequence(p["at"], p["at"] + p["k"] - 1))))
+    gone = written(spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), numbers.alias("__gone"),
+                                F.size(F.filter("spans", lambda p: p["kind"] == 0)).alias("__chunks")), "line-gone")
     marked = base.withColumn("__h", F.xxhash64(F.col(text))).join(
         gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     none, lines = F.col("__gone").isNull(), F.split(F.col(text), "\n")
     left = let(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")),
                                             lambda i: F.element_at(x, i + 1)))
     runs = F.size(F.array_except("__gone", F.transform("__gone", lambda i: i + 1)))
-    return marked.select(
-        *keep, F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(none, 0).otherwise(F.size("__gone")).cast("long").alias("n_removed_lines"),
-        F.when(none, 0).otherwise(runs).cast("long").alias("n_removed_passages"),
-        F.when(none, F.col(text)).otherwise(F.array_join(left, "\n")).alias("dedup_text"))
+    made = {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+            "n_removed_lines": F.when(none, 0).otherwise(F.size("__gone")).cast("long"),
+            "n_removed_chunks": F.when(none, 0).otherwise(F.col("__chunks")).cast("long"),
+            "n_removed_passages": F.when(none, 0).otherwise(runs).cast("long"),
+            "dedup_text": F.when(none, F.col(text)).otherwise(F.array_join(left, "\n"))}
+    return marked.select(*keep, *[made[c].alias(c) for c in results])
 
 
 def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                            mean_lines: int = 4, min_lines: int = 2) -> DataFrame:
-    """All columns of ``df`` plus ``RESULTS``; ``dedup_text`` is the text without its repeated chunks."""
-    keep = [c for c in df.columns if c not in RESULTS]
-    base = df.select(*keep)
-    parts = base.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"),
-        F.posexplode(chunks(F.col(text), mean_lines)).alias("no", "lines"))
-    parts = parts.where(F.size("lines") >= min_lines).withColumn("body", F.array_join("lines", "\n"))
-    parts = parts.where(F.col("body").rlike(WORD)).select(
-        "id", "th", "no", "body", F.xxhash64("body").alias("h"))
-    hashes = written(parts.groupBy("h").count().where("count > 1").select("h"), "line-hashes")
-    again = written(parts.join(hashes.hint("merge"), "h"), "line-chunks")
-    first = written(again.groupBy("h", "body").agg(F.min(F.struct("id", "th", "no")).alias("first"),
-                                                   F.count(F.lit(1)).alias("n")).where("n > 1"), "line-first")
-    later = (again.alias("a").join(first.hint("merge").alias("f"),
-                                   (F.col("a.h") == F.col("f.h")) & (F.col("a.body") == F.col("f.body")))
-             .where(~(F.col("a.id").eqNullSafe(F.col("first.id")) & (F.col("a.th") == F.col("first.th"))
-                      & (F.col("a.no") == F.col("first.no")))))
-    gone = written(later.groupBy("a.id", "a.th").agg(F.collect_set("a.no").alias("__gone"))
-                   .select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone"), "line-gone")
-    marked = base.withColumn("__h", F.xxhash64(F.col(text))).join(
-        gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
-    none = F.col("__gone").isNull()
-    cut = let(chunks(F.col(text), mean_lines), lambda c: F.struct(
-        F.filter(c, lambda x, i: ~F.array_contains("__gone", i)).alias("left"),
-        F.aggregate(F.col("__gone"), F.lit(0).cast("long"), lambda a, i: a + F.size(F.element_at(c, i + 1))).alias("n")))
-    marked = marked.withColumn("__cut", F.when(~none, cut))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n")))
-    return marked.select(
-        *keep, n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.col("__cut.n"), F.lit(0)).cast("long").alias("n_removed_lines"),
-        F.when(none, 0).otherwise(F.size("__gone")).cast("long").alias("n_removed_chunks"),
-        F.when(none, F.col(text)).otherwise(F.array_join(F.flatten(F.col("__cut.left")), "\n")).alias("dedup_text"))
+    """All columns of ``df`` plus ``RESULTS``; ``dedup_text`` is the text without its repeated lines, ``n_removed_chunks``
+    counts the removed content-defined chunks."""
+    return _removed(df, doc_id, text, mean_lines, min_lines, RESULTS)
+
+
+def remove_repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                             mean_lines: int = 4, min_lines: int = 2) -> DataFrame:
+    """Like ``remove_repeated_chunks``; ``n_removed_passages`` counts the runs of removed lines."""
+    return _removed(df, doc_id, text, mean_lines, min_lines, PASSAGE_RESULTS)

@@ -46,16 +46,19 @@ marks as (select *, (h + 31 * coalesce(lag(h, 1) over d, 0) + 961 * coalesce(lag
   from lines window d as (partition by doc_id order by n)),
 cuts as (select *, coalesce(n > 1 and n < n_lines and mark and not (n > 2 and lag(mark) over (partition by doc_id order by n)), false) as cut from marks),
 nos as (select *, coalesce(sum(cut::int) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) as no from cuts),
-chunks as (select doc_id, no, count(*) as k, string_agg(line, chr(10) order by n) as body from nos group by doc_id, no),
-first as (select *, row_number() over (partition by body order by doc_id, no) as nth
-  from chunks where k > 1 and regexp_matches(body, '[^\x20\x09-\x0D]')),
-gone as (select doc_id, no, k from first where nth > 1),
-per as (select doc_id, sum(k)::bigint as n_removed_lines, count(*) as n_removed_chunks from gone group by doc_id),
-kept as (select doc_id, string_agg(body, chr(10) order by no) as t from chunks anti join gone using (doc_id, no) group by doc_id)
+parts as (select doc_id, 0 as kind, min(n) as pos, count(*) as k, string_agg(line, chr(10) order by n) as body from nos group by doc_id, no
+  union all select doc_id, 1, n, 2, line || chr(10) || lead(line) over (partition by doc_id order by n) from lines),
+nth as (select *, first_value(doc_id) over p as first_id, first_value(pos) over p as first_pos
+  from parts where k > 1 and regexp_matches(body, '[^\x20\x09-\x0D]') window p as (partition by kind, body order by doc_id, pos)),
+later as (select * from nth where doc_id <> first_id or pos >= first_pos + k),
+gone as (select distinct doc_id, n from (select doc_id, unnest(generate_series(pos, pos + k - 1)) as n from later)),
+per as (select doc_id, count(*) as n_removed_lines from gone group by doc_id),
+cut_out as (select doc_id, count(*) as n_removed_chunks from later where kind = 0 group by doc_id),
+kept as (select doc_id, string_agg(line, chr(10) order by n) as t from lines anti join gone using (doc_id, n) group by doc_id)
 select d.doc_id, case when text is null then 0 else len(string_split(text, chr(10))) end::bigint as n_lines,
   coalesce(n_removed_lines, 0) as n_removed_lines, coalesce(n_removed_chunks, 0) as n_removed_chunks,
   case when text is not null then sha256(coalesce(t, '')) end as kept_sha256
-from documents d left join per using (doc_id) left join kept using (doc_id)"""
+from documents d left join per using (doc_id) left join cut_out using (doc_id) left join kept using (doc_id)"""
 
 MIXING_VIEW = rf"""
 md as (select *, len({_W}) as size, ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint as h from documents),

@@ -113,6 +113,17 @@ def passages(docs, k=2):
     return out
 
 
+def removed_chunks(docs, k=2):
+    """[(id, text)] -> {id: number of content-defined chunks to remove}; ids distinct and not null."""
+    seen, out = set(), {}
+    for d, t in sorted((d, t) for d, t in docs if t is not None):
+        for _, part in line_chunks(t.split("\n")):
+            if len(part) >= k and SPLIT.search("\n".join(part)):
+                out[d] = out.get(d, 0) + (tuple(part) in seen)
+                seen.add(tuple(part))
+    return out
+
+
 def spelling(docs, min_length=7, min_count=2, misspell=31, times=10):
     """(word, form, root, n, n_near, form_n) of (doc_id, text) rows."""
     import re

@@ -102,6 +102,8 @@ def test_short_passages_are_found(spark, size):
     for i, t in rows[1:]:
         assert got[i].dedup_text.split("\n") == [x for x in t.split("\n") if x not in shared]
         assert (got[i].n_removed_lines, got[i].n_removed_passages) == (size, 1)
+    same = line_dedup.remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.dedup_text for r in same} == {i: r.dedup_text for i, r in got.items()}
 
 
 def test_passages_against_brute_force(spark, odd):
@@ -110,14 +112,17 @@ def test_passages_against_brute_force(spark, odd):
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, "z\nz\nz"), (204, "y\ny\ny\ny\ny")]
     for df in (spark.createDataFrame(rows, "doc_id long, text string"),
                read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")):
-        want = brute.passages([tuple(r) for r in df.collect()])
+        texts = [tuple(r) for r in df.collect()]
+        want, n_chunks = brute.passages(texts), brute.removed_chunks(texts)
+        assert sum(n_chunks.values()) > 0
         got = {r.doc_id: r for r in line_dedup.remove_repeated_passages(df).collect()}
         chunks = {r.doc_id: r for r in line_dedup.remove_repeated_chunks(df).collect()}
         assert sum(map(len, want.values())) > 100
         for d, r in got.items():
             lines, gone = (r.text or "").split("\n"), want.get(d, set())
             assert r.dedup_text == ("\n".join(x for i, x in enumerate(lines) if i not in gone) if r.text is not None else None)
-            assert r.n_removed_lines == len(gone) >= chunks[d].n_removed_lines
+            assert r.n_removed_lines == len(gone) == chunks[d].n_removed_lines and r.dedup_text == chunks[d].dedup_text
+            assert chunks[d].n_removed_chunks == n_chunks.get(d, 0)
             assert r.n_removed_passages == sum(i - 1 not in gone for i in gone)
     r = line_dedup.remove_repeated_passages(clash(odd, "n_lines", *HELPERS)).collect()
     assert len(r) == len(ODD) and {x.doc_id: x.n_removed_lines for x in r}[5] == 3
