@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without passages of two lines or more that stand in an earlier place."""
-    return _columns(line_dedup.remove_repeated_passages(docs), docs, "dedup_text")
+    """Every document, without repeated chunks and other runs of two lines or more that stand in an earlier place."""
+    return _columns(line_dedup.remove_repeated_chunks(docs), docs, "dedup_text")
 
 
 def dedup_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
