@@ -21,8 +21,8 @@ SURROGATES = (0xD800, 0x800)      # first, and how many: code points that stand
 
 def _encode(tokens: str, vocab: str) -> str:
     first, n = SURROGATES
-    at = f"({BASE_CODE_POINT} + array_position({vocab}, t))"
-    return (f"concat_ws('', transform({tokens}, t -> decode(unhex(lpad(hex({at} + if({at} >= {first}, {n}, 0)), 8, '0')), "
+    places = f"transform({tokens}, t -> {BASE_CODE_POINT} + array_position({vocab}, t))"
+    return (f"concat_ws('', transform({places}, at -> decode(unhex(lpad(hex(at + if(at >= {first}, {n}, 0)), 8, '0')), "
             f"'UTF-32')))")
 
 
@@ -76,10 +76,22 @@ def lcs_length_udf(a, b) -> Column:
     return _UDF["lcs"](a, b)
 
 
-def rouge_from_lcs(lcs: str, cand: str, ref: str, beta: float = 1.2) -> str:
-    """ROUGE-L F-score from a computed LCS length column."""
+def _lcs_texts_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    split = lambda s: [None if t is None else t.split(" ") for t in s]      # noqa: E731
+    return _lcs_batch(split(a), split(b))
+
+
+def lcs_texts_udf(a, b) -> Column:
+    """``lcs_length_udf`` of two texts split on single spaces: what enters the UDF is short."""
+    if "texts" not in _UDF:
+        _UDF["texts"] = F.pandas_udf(_lcs_texts_batch, "long")
+    return _UDF["texts"](a, b)
+
+
+def rouge_from_lcs(lcs: str, n_cand: str, n_ref: str, beta: float = 1.2) -> str:
+    """ROUGE-L F-score from columns of the LCS length and the two sizes."""
     lcs = f"cast({lcs} as double)"
-    p, r = f"({lcs} / size({cand}))", f"({lcs} / size({ref}))"
+    p, r = f"({lcs} / {n_cand})", f"({lcs} / {n_ref})"
     b2 = beta * beta
     return f"if({p} != 0 and {r} != 0, ((1 + {b2}D) * {p} * {r}) / ({r} + {b2}D * {p}), 0.0D)"
 

@@ -123,14 +123,19 @@ def recall_at_k(ref, preds, k: int, ignore_case: bool = True) -> Column:
     return F.exists(F.slice(_c(preds), 1, k), lambda p: normalized_text(p, ignore_case) == r)
 
 
-def gleu_normalize(tokens) -> Column:
-    """C8 GLEU ``split``: connector clean-up, strip punctuation at both ends,
-    lower-case, split on single spaces (an empty result is one empty token)."""
+def gleu_text(tokens) -> Column:
+    """The text that ``gleu_normalize`` splits."""
     s = F.array_join(_c(tokens), " ")
     for a, b in GLEU_CON_RULES:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.btrim(s, F.lit(GLEU_STRIP))
-    return F.split(F.lower(s), " ")
+    return F.lower(s)
+
+
+def gleu_normalize(tokens) -> Column:
+    """C8 GLEU ``split``: connector clean-up, strip punctuation at both ends,
+    lower-case, split on single spaces (an empty result is one empty token)."""
+    return F.split(gleu_text(tokens), " ")
 
 
 def change_types(triples) -> Column:

@@ -1,7 +1,7 @@
 """Corpus evaluation of generated comments (A3-A11, P5, P11 -> E3).
 
 Per row: exact match (C7), word edit distances (C11), SARI (C10), GLEU and BLEU
-statistics (C9) and ROUGE-L, all as column expressions. Per level and overall:
+statistics (C9) and ROUGE-L, as column expressions and Arrow UDFs over texts. Per level and overall:
 one ``rollup(level)`` aggregate (grouping sets ``(level), ()``) whose partial
 aggregation runs map-side, so the four reports of the reference (three levels and
 ``-1`` = all) come from a single scan instead of four.
@@ -27,12 +27,12 @@ def eval_rows(df: DataFrame, ref_tokens: str, src_tokens: str, pred_text: str, r
 
     ``ref_tokens`` / ``src_tokens``: token lists of the reference and source comment;
     ``pred_text``: first generated comment (tokenised with C3); ``ref_text``: raw
-    reference comment (exact match). Expressions are staged so that every bag and
-    count map is computed once per row.
+    reference comment (exact match). Expressions are staged so that every text is
+    made once per row. Rows cost CPU: callers spread them before they are widened.
     """
     low = _lower_all if ignore_case else (lambda a: a)
     k = [f"`{c}`" for c in key]
-    d = df.hint("rebalance").select(*key, F.col(level).cast("int").alias("level"),
+    d = df.select(*key, F.col(level).cast("int").alias("level"),
                   low(T.nonempty(F.col(ref_tokens))).alias("ref_l"),
                   low(T.nonempty(F.col(src_tokens))).alias("src_l"),
                   low(T.tokenize_with_con(F.col(pred_text))).alias("pred_l"),
@@ -45,48 +45,33 @@ def eval_rows(df: DataFrame, ref_tokens: str, src_tokens: str, pred_text: str, r
     d = d.withColumn("acc", (F.col("__ref_norm") == pred_norm).cast("int")).drop("__ref_norm", "__pred_norm")
     detok = lambda c: f"regexp_replace(array_join({c}, ' '), ' <con> ', '')"     # noqa: E731
     ws = lambda s: f"filter(split({s}, '(?U)\\\\s+'), t -> t != '')"             # noqa: E731
-    d = d.select("*", *[T.gleu_normalize(c).alias(a) for c, a in
-                        (("src_l", "gs"), ("ref_l", "gr"), ("pred_l", "gh"))])
+    d = d.selectExpr("*", "array_distinct(concat(pred_l, ref_l)) as v1", "array_distinct(concat(src_l, ref_l)) as v2",
+                     *[f"{detok(f'{x}_l')} as {x}_t" for x in ("src", "pred", "ref")])
+    d = d.select("*", *[T.gleu_text(f"{x}_l").alias(f"{x}_g") for x in ("src", "pred", "ref")],
+                 *[F.expr(ws(f"{x}_t")).alias(f"{x}_b") for x in ("pred", "ref")])
+    # what passes the UDFs is short: texts and numbers (a row waits beside its UDF, on disk if need be)
+    sizes = {"n_gh": "split(pred_g, ' ')", "n_gr": "split(ref_g, ' ')", "n_bh": "pred_b", "n_br": "ref_b",
+             "n_rc": "split(pred_t, ' ')", "n_rr": "split(ref_t, ' ')"}
     d = d.selectExpr(
-        *k, "level", "acc", "pred_l", "ref_l", "src_l", "gs", "gr", "gh",
-        f"split(lower({detok('src_l')}), ' ') as s_w", f"split(lower({detok('pred_l')}), ' ') as c_w",
-        f"split(lower({detok('ref_l')}), ' ') as r_w",
-        f"{ws(detok('pred_l'))} as bh", f"{ws(detok('ref_l'))} as br",
-        f"split({detok('pred_l')}, ' ') as rc", f"split({detok('ref_l')}, ' ') as rr")
-    bags = {"s": "s_w", "c": "c_w", "r": "r_w", "gs": "gs", "gr": "gr", "gh": "gh", "bh": "bh", "br": "br"}
-    d = d.selectExpr("*", *[f"{N.ngrams(col, n)} as bag_{b}{n}" for b, col in bags.items() for n in range(1, 5)])
-    tables = {"sari": ("s", "c", "r"), "gleu": ("gh", "gr", "gs"), "bleu": ("bh", "br")}
-    names = [(name, n, sides) for name, sides in tables.items() for n in range(1, 5)]
-    cols = [*k, "level", "acc", "pred_l", "ref_l", "src_l", "gh", "gr", "bh", "br", "rc", "rr"]
-    # count tables in three stages (sorted tagged grams -> run starts -> counts per run)
-    d = d.selectExpr(*cols, "array_distinct(concat(pred_l, ref_l)) as v1", "array_distinct(concat(src_l, ref_l)) as v2",
-                     *[f"{N.tagged_sorted([f'bag_{b}{n}' for b in sides])} as srt_{name}{n}" for name, n, sides in names])
-    cols += ["v1", "v2"]
-    d = d.selectExpr(*cols, *[f"srt_{name}{n}" for name, n, _ in names],
-                     *[f"{N.run_starts(f'srt_{name}{n}')} as run_{name}{n}" for name, n, _ in names])
-    d = d.selectExpr(*cols, *[f"{N.counts_from_runs(f'srt_{name}{n}', f'run_{name}{n}', len(sides))} as cnt_{name}{n}"
-                              for name, n, sides in names])
-    sari_parts = [N.sari_from_counts(f"cnt_sari{n}", "1") for n in range(1, 5)]
-    keep = " + ".join(p[0] for p in sari_parts)
-    dele = " + ".join(p[1] for p in sari_parts)
-    add = " + ".join(p[2] for p in sari_parts)
-    gleu_fields = (["cast(size(gh) as bigint) as c", "cast(size(gr) as bigint) as r"]
-                   + [f"{N.gleu_from_counts(f'cnt_gleu{n}')} as m{n}" for n in range(1, 5)]
-                   + [f"cast(greatest(size(gh) + 1 - {n}, 0) as bigint) as d{n}" for n in range(1, 5)])
-    bleu_fields = (["cast(size(bh) as bigint) as testlen", "cast(size(br) as bigint) as reflen"]
-                   + [f"cast(greatest(size(bh) - {n} + 1, 0) as bigint) as guess{n}" for n in range(1, 5)]
-                   + [f"{N.clipped_from_counts(f'cnt_bleu{n}')} as correct{n}" for n in range(1, 5)])
-    d = d.withColumn("lcs", D.lcs_length_udf("rr", "rc"))
-    return d.selectExpr(
         *k, "level", "acc", "pred_l", "ref_l", "src_l",
         f"{D.word_edit_distance('pred_l', 'ref_l', 'v1')} as ed_hyp",
         f"{D.word_edit_distance('src_l', 'ref_l', 'v2')} as ed_src",
-        f"(({keep}) / 4 + ({dele}) / 4 + ({add}) / 4) / 3 as sari",
-        "named_struct(" + ", ".join(f"'{f.split(' as ')[-1]}', {f.rsplit(' as ', 1)[0]}" for f in gleu_fields)
-        + ") as gleu",
-        "named_struct(" + ", ".join(f"'{f.split(' as ')[-1]}', {f.rsplit(' as ', 1)[0]}" for f in bleu_fields)
-        + ") as bleu",
-        f"{D.rouge_from_lcs('lcs', 'rc', 'rr')} as rouge_l")
+        *[f"{x}_t" for x in ("src", "pred", "ref")], *[f"{x}_g" for x in ("src", "pred", "ref")],
+        "array_join(pred_b, ' ') as pred_b", "array_join(ref_b, ' ') as ref_b", *[f"size({x}) as {n}" for n, x in sizes.items()])
+    d = d.select(
+        *key, "level", "acc", "pred_l", "ref_l", "src_l", "ed_hyp", "ed_src", *sizes,
+        N.sari_udf(F.lower("src_t"), F.lower("pred_t"), F.array(F.lower("ref_t"))).alias("sari"),
+        N.gleu_udf("pred_g", "ref_g", "src_g").alias("gm"), N.clipped_udf("pred_b", "ref_b").alias("bm"),
+        D.lcs_texts_udf("ref_t", "pred_t").alias("lcs"))
+    gleu_fields = (["'c', cast(n_gh as bigint)", "'r', cast(n_gr as bigint)"] + [f"'m{n}', gm[{n - 1}]" for n in range(1, 5)]
+                   + [f"'d{n}', cast(greatest(n_gh + 1 - {n}, 0) as bigint)" for n in range(1, 5)])
+    bleu_fields = (["'testlen', cast(n_bh as bigint)", "'reflen', cast(n_br as bigint)"]
+                   + [f"'guess{n}', cast(greatest(n_bh - {n} + 1, 0) as bigint)" for n in range(1, 5)]
+                   + [f"'correct{n}', bm[{n - 1}]" for n in range(1, 5)])
+    return d.selectExpr(
+        *k, "level", "acc", "pred_l", "ref_l", "src_l", "ed_hyp", "ed_src", "sari",
+        f"named_struct({', '.join(gleu_fields)}) as gleu", f"named_struct({', '.join(bleu_fields)}) as bleu",
+        f"{D.rouge_from_lcs('lcs', 'n_rc', 'n_rr')} as rouge_l")
 
 
 def eval_report(rows: DataFrame) -> DataFrame:
