@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+from editlens.fixtures import FEATURE_SQL, features
 from editlens.functions import ngrams as N
 from editlens.operators.evaluation import eval_report, eval_rows
 
@@ -35,3 +36,23 @@ def test_rows_beside_a_udf_are_narrow(spark):
         assert not [k for k in kinds if "struct" in k or k.count("array") > 1], kinds
     got = {r["sample_id"]: r for r in rows.collect()}
     assert got[1]["gleu"]["m1"] == 1 and got[1]["bleu"]["correct1"] == 1 and got[2]["gleu"]["m1"] == 0
+
+
+def _lines(spark, n=400):
+    rnd = random.Random(5)
+    pick = lambda *v: rnd.choice([None, *v])                # noqa: E731
+    rows = [(pick(1, 2, 3, 4, 5, 6), pick(1, 2, 3), pick(*range(900, 1100)), pick(*range(12)), pick(1.0, 2.0, 50.0), pick(0.0, 0.05), pick(0.01, 0.08))
+            for _ in range(n)]
+    return spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, "
+                                       "l_discount double, l_tax double")
+
+
+def test_features_are_those_of_their_sql_behind_one_shuffle(spark):
+    li = _lines(spark)
+    got = features(li)
+    want = spark.sql(f"select l_orderkey as sample_id, cast(l_linenumber as bigint) as index, {FEATURE_SQL} from {{li}} "
+                     "group by l_orderkey, l_linenumber", li=li)
+    assert got.columns == want.columns
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1, plan
