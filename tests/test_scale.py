@@ -6,6 +6,7 @@ from collections import Counter
 from editlens.fixtures import FEATURE_SQL, features
 from editlens.functions import ngrams as N
 from editlens.operators.evaluation import eval_report, eval_rows
+from editlens.operators.ranking import materialize
 
 
 def _nodes(plan, name):
@@ -56,3 +57,12 @@ def test_features_are_those_of_their_sql_behind_one_shuffle(spark):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1, plan
+
+
+def test_tables_read_again_are_columns_on_disk(spark):
+    df = spark.createDataFrame([(1, 0.5, None), (2, None, [0.25])], "sample_id long, score double, p array<double>")
+    kept = materialize(df)
+    assert len(_nodes(kept._jdf.queryExecution().optimizedPlan(), "LogicalRelation")) == 1      # a file scan: it reads the columns asked for
+    assert kept.dtypes == df.dtypes and sorted(kept.collect()) == sorted(df.collect())
+    odd = df.selectExpr("sample_id", "null as nothing")
+    assert sorted(materialize(odd).collect()) == sorted(odd.collect())
