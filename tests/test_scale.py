@@ -3,10 +3,13 @@
 import random
 from collections import Counter
 
+from editlens import fixtures
 from editlens.fixtures import FEATURE_SQL, features
 from editlens.functions import ngrams as N
 from editlens.operators.evaluation import eval_report, eval_rows
 from editlens.operators.ranking import materialize
+from editlens.operators.stats import value_table
+from editlens.plans.labeling import complexity_labels
 
 
 def _nodes(plan, name):
@@ -59,6 +62,37 @@ def test_features_are_those_of_their_sql_behind_one_shuffle(spark):
     assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1, plan
 
 
+def test_partitions_of_features_follow_the_lines(spark, monkeypatch):
+    """No task's tables hold more lines as the table grows; before, their number was that of the shuffle partitions."""
+    monkeypatch.setattr(fixtures, "LINES", 20, raising=False)
+    monkeypatch.setattr(fixtures, "FEW_LINES", 5, raising=False)
+    for n, parts in ((30, 6), (100, 8), (400, 20)):
+        got = features(_lines(spark, n))
+        assert got.rdd.getNumPartitions() == parts
+        assert got.count() == got.select("sample_id", "index").distinct().count()
+
+
+def test_labels_make_features_once(spark):
+    """Statistics and scores read the features that were written; before, they were aggregated for either."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    f = features(_lines(spark, 300))
+    complexity_labels(f.mapInArrow(note, f.schema)).collect()
+    assert seen.value == f.count()
+
+
+def test_value_table_is_derived_once(spark):
+    """Boundaries, windows and totals read the distinct values that were written."""
+    df = spark.createDataFrame([("f", float(i % 7), 2 * (i % 2)) for i in range(60)], "feature string, value double, label int")
+    t = value_table(df, ["feature"], "value", "label", (0, 2), n_buckets=3)
+    assert not _nodes(t._jdf.queryExecution().optimizedPlan(), "LogicalRDD")      # of the source; what is left scans files
+    assert t.agg({"cnt": "sum"}).first()[0] == 60
+
+
 def test_tables_read_again_are_columns_on_disk(spark):
     df = spark.createDataFrame([(1, 0.5, None), (2, None, [0.25])], "sample_id long, score double, p array<double>")
     kept = materialize(df)
