@@ -10,14 +10,23 @@ would win by chance; null contents are empty files, rows without a name are an e
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from .io import scratch_path
+
 SCHEMA = "folder string, name string, content string"
+#: Files of a reading task: at most and, while there are shuffle partitions left, at least.
+FILES, FEW_FILES = 20_000, 200
+#: Names of a batch, and the signs after which a batch of contents is passed on.
+ROWS, BATCH = 10_000, 1 << 24
 
 
 def open_store(uri: str):
@@ -103,9 +112,52 @@ def write_named_files(df: DataFrame, path: str) -> None:
     df.select(*[F.col(c).cast("string").alias(c) for c in ("folder", "name", "content")]).write.format("named_files").option("path", path).mode("append").save()
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over, and every file with a leading underscore."""
+    return name.startswith(("_", ".")) or name.endswith("._COPYING_")
+
+
+def _listed(path: str):
+    """(folder, name) of the files below ``path``; a local folder is never held whole."""
+    from pyarrow import fs
+    store, base = open_store(path)
+    local, open_ = isinstance(store, fs.LocalFileSystem), [""]
+    while open_:
+        folder = open_.pop()
+        at = f"{base}/{folder}" if folder else base
+        found = (((e.name, e.is_dir()) for e in os.scandir(at)) if local else
+                 ((e.base_name, e.type == fs.FileType.Directory) for e in store.get_file_info(fs.FileSelector(at))))
+        for name, is_folder in found:
+            if is_folder and (not _hidden(name) or name.startswith("_") and "=" in name):
+                open_.append(f"{folder}/{name}" if folder else name)
+            elif not is_folder and not _hidden(name):
+                yield folder, name
+
+
 def read_named_files(spark: SparkSession, path: str) -> DataFrame:
-    """(folder, name, content) of the files two levels below ``path`` or one."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!_]*").text(path, wholetext=True)
-    rest = F.element_at(F.split(F.input_file_name(), F.lit(path.rstrip("/").rsplit("/", 1)[1] + "/")), -1)
-    return text.select(F.regexp_extract(rest, "^(.*)/[^/]*$", 1).alias("folder"), F.substring_index(rest, "/", -1).alias("name"),
-                       F.col("value").alias("content"))
+    """(folder, name, content) of the files below ``path``. A task lists the names, which are stored as a table and dealt to the tasks that
+    read the files: the driver holds no list of them."""
+    def names(_):
+        listed = _listed(path)
+        while some := list(islice(listed, ROWS)):
+            yield pd.DataFrame(some, columns=["folder", "name"])
+
+    def contents(batches):
+        store, base = open_store(path)
+        for batch in batches:
+            made, size = [], 0
+            for folder, name in zip(batch["folder"], batch["name"]):
+                with store.open_input_stream(f"{base}/{folder}/{name}" if folder else f"{base}/{name}", compression=None) as f:
+                    made.append((folder, name, f.read().decode("utf-8", "replace")))
+                size += len(made[-1][2])
+                if size >= BATCH:
+                    yield pd.DataFrame(made, columns=["folder", "name", "content"])
+                    made, size = [], 0
+            if made:
+                yield pd.DataFrame(made, columns=["folder", "name", "content"])
+    at, kind = scratch_path(spark, "names"), "folder string, name string"
+    spark.range(0, 1, 1, 1).mapInPandas(names, kind).write.parquet(at)
+    table = spark.read.schema(kind).parquet(at)
+    n = table.count()
+    spread = max(1, -(-n // FILES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // FEW_FILES))
+    return table.repartition(spread, "folder", "name").mapInPandas(contents, SCHEMA)

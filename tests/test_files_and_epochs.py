@@ -46,6 +46,23 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
     assert not os.path.exists(tmp_path / "w/d/x")
 
 
+def test_driver_lists_no_files(spark, tmp_path):
+    """The plan of a read holds a table of names (was: every file, with its state, in the driver)."""
+    rows = [(f"d{i % 3}/x", f"{i}.txt", f"{i}\n" * (i % 4)) for i in range(300)] + [(None, "top", "é")]
+    path = str(tmp_path / "out")
+    named_files.write_named_files(spark.createDataFrame(rows, named_files.SCHEMA).repartition(3), path)
+    for odd in ("_hidden", ".hidden", "d0/_x.txt", "_folder/x"):
+        os.makedirs(os.path.dirname(f"{path}/{odd}"), exist_ok=True)
+        open(f"{path}/{odd}", "w").close()
+    back = named_files.read_named_files(spark, path)
+    assert len(back.inputFiles()) < 10
+    assert sorted(tuple(r) for r in back.collect()) == sorted((f or "", n, c) for f, n, c in rows)
+    with pytest.MonkeyPatch.context() as m:                 # contents in several batches, files in several tasks
+        m.setattr(named_files, "BATCH", 5)
+        m.setattr(named_files, "FEW_FILES", 50)
+        assert sorted(tuple(r) for r in named_files.read_named_files(spark, "file:" + path).collect()) == sorted((f or "", n, c) for f, n, c in rows)
+
+
 # indented JSON ------------------------------------------------------------------------------------------------
 
 def test_pretty_json_is_pythons(spark):
