@@ -421,6 +421,29 @@ def test_embeddings(spark, dim, rows_a_cell, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_chunks_meet_once(spark):
+    """Any two chunks of a cell meet in one task, and a vector goes to half of its cell's tasks and one more (was: to all)."""
+    rows = [(c, n) for n in range(1, 10) for c in range(n)]
+    got = spark.createDataFrame(rows, "chunk int, chunks int").select("*", embedding_dedup.tasks_of("chunk", "chunks").alias("at")).collect()
+    for n in range(1, 10):
+        met = sorted(tuple(sorted((r.chunk, a))) for r in got if r.chunks == n for a in r["at"])
+        assert met == [(a, b) for a in range(n) for b in range(a, n)]
+        assert max(len(r["at"]) for r in got if r.chunks == n) <= n // 2 + 1
+
+
+def test_embedding_chunks_in_batches(spark, monkeypatch):
+    """Small held chunks, batches that end within a chunk, chunks that the hash leaves empty."""
+    for name, value in (("CELL_ROWS", 3), ("HELD_ROWS", 3), ("AT_ONCE", 5), ("SLICE", 4)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rows = vectors(2, 40, 2)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute.embeddings(rows)
+
+
 # warc ---------------------------------------------------------------------------------------------------------
 
 def test_warc(spark, tmp_path):
